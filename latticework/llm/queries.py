@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, itq, langid, lines, minhash, mixing, suffix, tokencount, toxicity
+from . import bpe, itq, langid, lines, media, minhash, mixing, suffix, tokencount, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.page_pictures(table(spark, sf_dir, "pages")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -58,6 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_bpe": op2_bpe,
     "op3_suffix": op3_suffix,
     "op4_language": op4_language,
