@@ -99,18 +99,22 @@ def full_sets(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
+BUCKET = ["band", "value"]
+
+
 def alike(a: str, b: str) -> str:
     return f"bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) <= {SKETCH_MOST}"
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose full sets are similar enough."""
+def distances(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """For ``pairs`` (a, b) the Jaccard distance d of their full sets, and whether they are similar enough (ok)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(full_sets(texts(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.where((F.col("common") * 100 >= (F.col("n") - F.col("common")) * percent)).select("a", "b")
+    whole = F.col("n") - F.col("common")
+    return both.select("a", "b", (1 - F.col("common") / whole).alias("d"), (F.col("common") * 100 >= whole * percent).alias("ok"))
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,36 +125,57 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     with nothing. Rows with one id are expected to be one document (of repeated rows the one with the
     largest text counts); a null id is left out. Other columns are not read.
 
-    Equal sets are put together first, so that only one document of each goes further. In
-    each bucket of a band all are compared with the smallest one; where one of them fails, it is
-    compared with those of the bucket that are not already in its class. So a large group of
-    copies costs as many comparisons as it has members, not pairs. Size and bit sketches rule
-    out pairs inside the join that makes them.
+    Equal sets are put together first, so that only one document of each goes further. In each
+    bucket of a band all are compared with one head, the document with most company in all
+    buckets. What is in another class than the head then gets the head of its own for the next round,
+    until a round links nothing or few pairs are left; these are compared one by one. So a
+    large group of copies costs some comparisons per member, not all pairs. Sizes, bit sketches
+    and the triangle inequality of the Jaccard distance (over the known distances to a bucket's first
+    head) rule out pairs inside the join that makes them.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     signed = written(sign(docs, words), "signed")
     signed = signed.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_id", "bands", "s1", "s2")).alias("r")).select("doc_id", "r.*")
     whole = signed.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "s1", "s2", "bands")).alias("r"))
     whole = written(whole.select("set_id", F.col("r.doc_id").alias("doc"), F.col("r.n_shingles").alias("n"), "r.s1", "r.s2", "r.bands"), "whole")
     rows = whole.select("doc", "n", "s1", "s2", F.posexplode("bands").alias("band", "value"))
-    head = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n", "s1", "s2")).alias("head")).where("size > 1")
-    shared = written(rows.join(head.select("band", "value", "size", "head"), ["band", "value"]), "shared")
-
+    sizes = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = written(rows.join(sizes, BUCKET), "shared")
+    # the more company a document has over all buckets, the nearer it is to what its copies have in common
+    company = shared.groupBy("doc").agg(F.sum("size").alias("company"))
+    member = written(shared.join(company, "doc").withColumn("class", F.col("doc")), "member")
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    near = spark.createDataFrame([], "a bigint, b bigint, d double")
     sized = lambda x, y: f"least({x}.n, {y}.n) * 100 >= greatest({x}.n, {y}.n) * {percent}"
-    star = shared.alias("x").where("doc <> head.doc").where(f"{sized('x', 'head')} and {alike('x', 'head')}")
-    links = written(confirmed(star.select(F.col("head.doc").alias("a"), F.col("doc").alias("b")).distinct(), docs, words, percent), "links")
-
-    # buckets with a member that is not linked to the smallest one
-    linked = links.withColumn("ok", F.lit(True))
-    member = shared.where("size > 2").join(linked, (F.col("head.doc") == F.col("a")) & (F.col("doc") == F.col("b")), "left")
-    member = member.select("band", "value", "doc", "n", "s1", "s2", F.coalesce("ok", F.col("doc") == F.col("head.doc")).alias("ok"))
-    known = components(links)
-    member = member.join(known, F.col("doc") == F.col("node"), "left").withColumn("class", F.coalesce("component_id", "doc")).drop("node", "component_id")
-    member = written(member, "member")
-    odd, other = member.where("not ok").alias("x"), member.alias("y")
-    rest = odd.join(other, F.expr(f"x.band = y.band and x.value = y.value and x.class <> y.class and (y.ok or x.doc < y.doc) and {sized('x', 'y')} and {alike('x', 'y')}"))
+    place = "struct(company, -doc as o, doc, n, s1, s2, class)"
+    first = written(member.groupBy(*BUCKET).agg(F.max(F.expr(place)).alias("head")), "heads")
+    head = first
+    while True:
+        tried = member.join(head.select(*BUCKET, "head"), BUCKET).alias("x")
+        tried = tried.where(f"x.class <> head.class and {sized('x', 'head')} and {alike('x', 'head')}")
+        if "d" in member.columns:
+            tried = tried.where("abs(x.d - head.d) <= reach or x.d is null or head.d is null")
+        pairs = tried.select(F.least("doc", "head.doc").alias("a"), F.greatest("doc", "head.doc").alias("b")).distinct()
+        found = written(distances(pairs, docs, words, percent), "distances")
+        new = found.where("ok")
+        links, near = links.union(new.select("a", "b")), near.union(found.select("a", "b", "d"))
+        known = written(components(links), "classes")
+        member = member.drop("class", "d", "reach").join(known, F.col("doc") == F.col("node"), "left").withColumn("class", F.coalesce("component_id", "doc")).drop("node", "component_id")
+        to_first = first.select(*BUCKET, F.col("head.doc").alias("f")).join(known, F.col("f") == F.col("node"), "left").select(*BUCKET, "f", F.coalesce("component_id", "f").alias("main"))
+        member = member.join(to_first, BUCKET).withColumn("a", F.least("doc", "f")).withColumn("b", F.greatest("doc", "f")).join(near.groupBy("a", "b").agg(F.min("d").alias("d")), ["a", "b"], "left")
+        member = member.select("doc", "n", "s1", "s2", *BUCKET, "company", "class", "main", F.when(F.col("doc") == F.col("f"), 0.0).otherwise(F.col("d")).alias("d"), F.lit((100 - percent) / 100 + 1e-9).alias("reach"))
+        member = written(member, "member")
+        odd = member.where("class <> main")
+        # pairs that are still to be told apart, at most
+        state = member.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") != F.col("main")).alias("odd")).agg(F.sum(F.col("n") * F.col("odd")), F.sum("n")).first()
+        if not state[0] or state[0] <= 2 * state[1] or not new.limit(1).count():
+            break
+        head = odd.groupBy(*BUCKET).agg(F.max(F.expr(place.replace("class)", "class, d)"))).alias("head"))
+    x, y = odd.alias("x"), member.alias("y")
+    rest = x.join(y, F.expr(f"x.band = y.band and x.value = y.value and x.class <> y.class and (y.class = y.main or x.doc < y.doc) and {sized('x', 'y')} and (abs(x.d - y.d) <= x.reach or x.d is null or y.d is null) and {alike('x', 'y')}"))
     rest = rest.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    more = confirmed(rest.join(links, ["a", "b"], "left_anti"), docs, words, percent)
+    more = distances(rest.join(near.select("a", "b"), ["a", "b"], "left_anti"), docs, words, percent).where("ok").select("a", "b")
 
     found = components(links.union(more))
     classes = whole.join(found, F.col("doc") == F.col("node"), "left").select("set_id", F.coalesce("component_id", "doc").alias("class"))
