@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GRID = 32  # intervals that one round of the bisection looks at
 ROUNDS = 6
+PARTS = 64
 
 
 def draw(*parts: Column | str) -> Column:
@@ -93,7 +94,9 @@ def mixed(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_co
     rows = rows.groupBy("doc_id", "source").agg(F.sum("n").alias("n_tokens"))
     sources = plan(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), mix)
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = rows.join(sources.drop("n_docs", "n_tokens"), "source")
+    # one source may have a third of the rows: each part of it meets a copy of the source's plan
+    spread = sources.drop("n_docs", "n_tokens").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).join(spread, ["source", "part"]).drop("part")
     rows = rows.withColumn("block", F.pmod(draw(mix.seed, "block", named), F.col("blocks"))).withColumn("group", F.pmod(F.col("block"), F.col("groups")))
     rows = rows.withColumn("turn", draw(mix.seed, "doc", F.col("whole"), named))
 
