@@ -117,7 +117,7 @@ def distances(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", (1 - F.col("common") / whole).alias("d"), (F.col("common") * 100 >= whole * percent).alias("ok"))
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, few: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents linked by shingle sets with a Jaccard similarity of ``percent`` or more.
 
     Rows (doc_id, n_shingles, component_id, kept): one per id, component_id being the smallest id
@@ -128,7 +128,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     Equal sets are put together first, so that only one document of each goes further. In each
     bucket of a band all are compared with one head, the document with most company in all
     buckets. What is in another class than the head then gets the head of its own for the next round,
-    until a round links nothing or few pairs are left; these are compared one by one. So a
+    until a round links nothing or at most ``few`` pairs per row are left; these are compared one by one. So a
     large group of copies costs some comparisons per member, not all pairs. Sizes, bit sketches
     and the triangle inequality of the Jaccard distance (over the known distances to a bucket's first
     head) rule out pairs inside the join that makes them.
@@ -161,7 +161,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         new = found.where("ok")
         links, near = links.union(new.select("a", "b")), near.union(found.select("a", "b", "d"))
         known = written(components(links), "classes")
-        member = member.drop("class", "d", "reach").join(known, F.col("doc") == F.col("node"), "left").withColumn("class", F.coalesce("component_id", "doc")).drop("node", "component_id")
+        member = member.drop("class", "d", "reach", "main").join(known, F.col("doc") == F.col("node"), "left").withColumn("class", F.coalesce("component_id", "doc")).drop("node", "component_id")
         to_first = first.select(*BUCKET, F.col("head.doc").alias("f")).join(known, F.col("f") == F.col("node"), "left").select(*BUCKET, "f", F.coalesce("component_id", "f").alias("main"))
         member = member.join(to_first, BUCKET).withColumn("a", F.least("doc", "f")).withColumn("b", F.greatest("doc", "f")).join(near.groupBy("a", "b").agg(F.min("d").alias("d")), ["a", "b"], "left")
         member = member.select("doc", "n", "s1", "s2", *BUCKET, "company", "class", "main", F.when(F.col("doc") == F.col("f"), 0.0).otherwise(F.col("d")).alias("d"), F.lit((100 - percent) / 100 + 1e-9).alias("reach"))
@@ -169,7 +169,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         odd = member.where("class <> main")
         # pairs that are still to be told apart, at most
         state = member.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") != F.col("main")).alias("odd")).agg(F.sum(F.col("n") * F.col("odd")), F.sum("n")).first()
-        if not state[0] or state[0] <= 2 * state[1] or not new.limit(1).count():
+        if not state[0] or state[0] <= few * state[1] or not new.limit(1).count():
             break
         head = odd.groupBy(*BUCKET).agg(F.max(F.expr(place.replace("class)", "class, d)"))).alias("head"))
     x, y = odd.alias("x"), member.alias("y")
