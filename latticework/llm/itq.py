@@ -42,7 +42,7 @@ def tables_for(least: float, bits: int, recall: float) -> int:
 
 
 class Codes:
-    """Centre and rotations; ``keys`` gives the table keys of vectors."""
+    """Rotations; ``keys`` gives the table keys of vectors."""
 
     def __init__(self, sample: np.ndarray, bits: int, tables: int):
         self.bits, self.tables = bits, tables
@@ -50,12 +50,13 @@ class Codes:
         # one key never takes bits from two rotations, so a rotation gives dimensions // bits keys (narrow vectors: one shorter key)
         self.width = min(bits, sample.shape[1])
         self.per = sample.shape[1] // self.width
-        self.centre = unit.mean(0)
-        self.turns = np.hstack([learn_rotation(unit - self.centre, k)[:, : self.per * self.width] for k in range(-(-tables // self.per))])
+        # the axes are those of the centred sample; bits are taken about the origin, since only there the angle of two vectors bounds how many differ
+        centred = unit - unit.mean(0)
+        self.turns = np.hstack([learn_rotation(centred, k)[:, : self.per * self.width] for k in range(-(-tables // self.per))])
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        on = ((unit - self.centre) @ self.turns > 0).reshape(len(x), -1, self.width)
+        on = (unit @ self.turns > 0).reshape(len(x), -1, self.width)
         return (on @ (1 << np.arange(self.width, dtype=np.int64)))[:, : self.tables].astype(np.int32)
 
 
