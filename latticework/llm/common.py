@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,35 @@ def pieces(batches: Iterator, n_rows: int = 512) -> Iterator:
             yield batch.slice(at, n_rows)
 
 
+def groups_of(batches: Iterator, keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches in which equal keys stand together."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        name = np.stack([table.column(k).to_numpy() for k in keys], 1)
+        edge = [0, *(np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1).tolist()]
+        for a, b in zip(edge, edge[1:], strict=False):
+            yield table.slice(a, b - a)
+        rest = table.slice(edge[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def smallest_reached(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place the smallest of ``ids`` that it reaches over the links between places a and b."""
+    label = ids.copy()
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        if (new == label).all():
+            return label
+        label = new
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by Newton steps; returns (coefficients, intercept)."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
