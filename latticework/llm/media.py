@@ -2,13 +2,13 @@
 
 Corners at several scales of a grey picture get a main direction (from the centre of mass of the
 patch around them) and a code of binary brightness tests turned into that direction. Codes are cut into
-substrings, each the key of a Hamming table; pictures that share a key are a candidate match of two
-corners. A pair of pictures is linked when enough of its matches agree on one
-scale, turn and shift.
+substrings, each the key of a Hamming table; two corners that share a key are a match. A pair of
+pictures is linked when enough of all its matches, over all keys, agree on one scale, turn and shift.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, groups_of, smallest_reached, written
 
 TABLES, TABLE_BITS = 5, 48
 RADIUS = 9
 MARGIN = RADIUS + 4
 PER_LEVEL = (40, 20)
-SMALL = 64  # pictures of one key that are all matched with each other
+LEVEL_STEP = 2.0  # factor in size from one level to the next
+SMALL = 64  # pictures of a block at least, before the table is dealt into more of them
+SPREAD, BLOCK = 4, 1_000_000  # blocks of a table that fits fewer, and corners of a block
+MATCHES, PAIRS = 2_000_000, 1 << 24  # matches and pairs of pictures that a task counts at once
+CORNER = np.dtype([("y", "<i4"), ("x", "<i4"), ("level", "i1"), ("angle", "<f4"), ("keys", "u1", (TABLES, TABLE_BITS // 8))])
 
 _random = np.random.default_rng(77)
 TESTS = np.clip(_random.normal(0, RADIUS / 2.2, (TABLES * TABLE_BITS, 4)), -RADIUS * 0.7, RADIUS * 0.7).astype(np.float32)
@@ -98,47 +102,157 @@ def grey(width: int, height: int, channels: int, data: bytes) -> np.ndarray | No
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """Corners of each picture: (image_id, corner, y, x, level, angle, keys)."""
+    """Corners of each picture as records CORNER in one binary: (image_id, same, n_corners, corners)."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             shapes: dict[tuple, list] = {}
             for row in batch.to_pylist():
                 img = grey(row["width"], row["height"], row["nChannels"], row["data"])
-                if img is not None:
-                    shapes.setdefault(img.shape, []).append((row["image_id"], img))
-            for same in shapes.values():
-                for at in range(0, len(same), 64):
-                    names = np.array([s[0] for s in same[at : at + 64]], np.int64)
-                    z, y, x, level, angle, keys = describe(np.stack([s[1] for s in same[at : at + 64]]))
-                    order = np.argsort(z, kind="stable")
-                    z, y, x, level, angle, keys = (v[order] for v in (z, y, x, level, angle, keys))
-                    corner = np.arange(len(z)) - np.searchsorted(z, z)
-                    arrays = [pa.array(names[z]), *[pa.array(v.astype(np.int32)) for v in (corner, y, x, level)], pa.array(angle.astype(float)), pa.array(list(keys), pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["image_id", "corner", "y", "x", "level", "angle", "keys"])
-
-    return df.mapInArrow(run, "image_id bigint, corner int, y int, x int, level int, angle double, keys array<bigint>")
-
-
-def agreeing(matches: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of pictures with ``least`` corners in ``matches`` that agree on scale, turn and shift.
-
-    Bins of turn and shift overlap by half, so that a border between bins splits no consensus.
+                shapes.setdefault(None if img is None else img.shape, []).append((row["image_id"], row["same"], img))
+            for shape, of_shape in shapes.items():
+                for at in range(0, len(of_shape), 64):
+                    part = of_shape[at : at + 64]
+                    found = [np.empty(0, CORNER)] * len(part)
+                    if shape is not None:
+                        z, y, x, level, angle, keys = describe(np.stack([s[2] for s in part]))
+                        order = np.argsort(z, kind="stable")
+                        rows = np.empty(len(z), CORNER)
+                        for name, v in (("y", y), ("x", x), ("level", level), ("angle", angle), ("keys", keys.astype("<i8").view(np.uint8).reshape(len(z), TABLES, 8)[..., : TABLE_BITS // 8])):
+                            rows[name] = v[order]
+                        found = np.split(rows, np.searchsorted(z[order], np.arange(1, len(part))))
+                    arrays = [pa.array([s[0] for s in part], pa.int64()), pa.array([s[1] for s in part], pa.string()), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["image_id", "same", "n_corners", "corners"])
+
+    return df.mapInArrow(run, "image_id bigint, same string, n_corners bigint, corners binary")
+
+
+class Side:
+    """Corners of the pictures on one side of a cell, and their table keys in order."""
+
+    def __init__(self, blobs: list[bytes]):
+        rows = np.frombuffer(b"".join(blobs), CORNER)
+        sizes = np.array([len(b) // CORNER.itemsize for b in blobs])
+        self.picture = np.repeat(np.arange(len(blobs)), sizes)
+        self.y, self.x, self.level, self.angle = (rows[c].astype(float) for c in ("y", "x", "level", "angle"))
+        self.keys = rows["keys"].reshape(-1, TABLES, TABLE_BITS // 8).astype(np.int64) @ (1 << 8 * np.arange(TABLE_BITS // 8, dtype=np.int64))
+        # one key space for all tables: the number of the table stands above its bits
+        self.keys |= np.arange(TABLES, dtype=np.int64) << TABLE_BITS
+        order = np.argsort(self.keys, axis=None, kind="stable")
+        self.sorted, self.corner = self.keys.ravel()[order], order // TABLES
+
+
+def often(groups: np.ndarray, least: int) -> np.ndarray:
+    """Rows whose group has ``least`` rows; groups that share a hash may leave more rows, never fewer."""
+    h = (groups.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+    return np.flatnonzero((np.bincount(h.astype(np.int64), minlength=1 << 22) >= least)[h.astype(np.int64)])
+
+
+def distinct(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of different ``value`` in each of ``n`` groups."""
+    order = np.lexsort((value, group))
+    g, v = group[order], value[order]
+    first = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
+    return np.bincount(g[first], minlength=n)
+
+
+def agreeing(a: Side, b: Side, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
+    """Pairs (picture of a, picture of b) with ``least`` corners on either side in the matches (i, j) that agree on scale, turn and shift.
+
+    The matches are all that the pictures have, over all keys. Bins of turn and shift overlap by half,
+    so that a border between bins splits no consensus.
     """
-    turn = F.col("angle_b") - F.col("angle_a")
-    scale = F.pow(F.lit(2.0), F.col("level_b") - F.col("level_a"))
+    pair = a.picture[i] * (b.picture.max(initial=0) + 1) + b.picture[j]
+    turn = b.angle[j] - a.angle[i]
+    s = (b.level[j] - a.level[i]).astype(np.int64)
     half = np.pi / 12
-    bin_ = F.floor(F.pmod(turn, F.lit(2 * np.pi)) / half)
-    # the turn of the bin, not of the match, moves the first picture's corner: directions are coarse
-    rows = matches.withColumn("r", F.explode(F.array(bin_, F.pmod(bin_ + 23, F.lit(24))))).withColumn("mid", F.when(F.abs(F.sin(turn / 2)) < 0.16, F.lit(0.0)).otherwise((F.col("r") + 1) * half))
-    sy = F.col("y_b") - scale * (F.col("y_a") * F.cos("mid") + F.col("x_a") * F.sin("mid"))
-    sx = F.col("x_b") - scale * (F.col("x_a") * F.cos("mid") - F.col("y_a") * F.sin("mid"))
-    rows = rows.withColumn("s", F.col("level_b") - F.col("level_a"))
-    for c, v in (("ty", sy), ("tx", sx)):
-        step = F.floor(v / 8)
-        rows = rows.withColumn(c, F.explode(F.array(step, step - 1)))
-    found = rows.groupBy("a", "b", "s", "r", "ty", "tx").agg(F.count_distinct("corner_a").alias("n"), F.count_distinct("corner_b").alias("m"))
-    return found.where(F.least("n", "m") >= least).select("a", "b").distinct()
+    r = np.floor(np.mod(turn, 2 * np.pi) / half).astype(np.int64) % 24
+    group, match, bins = pair, np.arange(len(i)), None
+    for step in ("turn", "ty", "tx"):
+        if step == "turn":
+            match, bins = np.concatenate([match, match]), np.concatenate([r, (r + 23) % 24])
+            group = np.unique((pair[match] * 64 + s[match] + 32) * 24 + bins, return_inverse=True)[1]
+            # the turn of the bin, not of the match, moves the first picture's corner: directions are coarse
+            mid = np.where(np.abs(np.sin(turn[match] / 2)) < 0.16, 0.0, (bins + 1) * half)
+        else:
+            k, scale = match, LEVEL_STEP ** s[match].astype(float)
+            if step == "ty":
+                v = b.y[j[k]] - scale * (a.y[i[k]] * np.cos(mid) + a.x[i[k]] * np.sin(mid))
+            else:
+                v = b.x[j[k]] - scale * (a.x[i[k]] * np.cos(mid) - a.y[i[k]] * np.sin(mid))
+            v = np.floor(v / 8).astype(np.int64)
+            match, mid, group, v = np.tile(match, 2), np.tile(mid, 2), np.tile(group, 2), np.concatenate([v, v - 1])
+            group = np.unique(group * (1 << 32) + v + (1 << 31), return_inverse=True)[1]
+        keep = np.flatnonzero((np.bincount(group) >= least)[group]) if len(group) else match
+        match, mid, group = match[keep], mid[keep], group[keep]
+    if not len(group):
+        return np.empty((0, 2), int)
+    group = np.unique(group, return_inverse=True)[1]
+    n = group.max() + 1
+    good = (distinct(group, i[match], n) >= least) & (distinct(group, j[match], n) >= least)
+    found = np.unique(pair[match[good[group]]])
+    return np.stack(np.divmod(found, b.picture.max(initial=0) + 1), 1)
+
+
+def matched(names_a: np.ndarray, a: Side, names_b: np.ndarray, b: Side, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, smallest id it reaches) among the pictures of two sides.
+
+    The matches of a picture of ``a`` are counted in one go over all keys, so every pair is judged once on all its
+    votes. Pictures that earlier links of the cell already join are not judged again.
+    """
+    names, where = np.unique(np.concatenate([names_a, names_b]), return_inverse=True)
+    of_a, of_b = where[: len(names_a)], where[len(names_a) :]
+    label = np.arange(len(names))
+    keys = a.keys.ravel()
+    low = np.searchsorted(b.sorted, keys, "left")
+    size = np.searchsorted(b.sorted, keys, "right") - low
+    spot_picture = np.repeat(a.picture, TABLES)
+    border = np.searchsorted(spot_picture, np.arange(len(names_a) + 1))  # spots of a picture stand together
+    total = np.concatenate([[0], np.cumsum(size)])[border]
+    at = 0
+    while at < len(names_a):
+        # at least one picture, and as many as have MATCHES matches together
+        end = max(at + 1, min(int(np.searchsorted(total, total[at] + MATCHES, "right")) - 1, at + max(1, PAIRS // max(1, len(names_b)))))
+        spots = np.arange(border[at], border[end])
+        n = size[spots]
+        j = b.corner[np.repeat(low[spots] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        i = np.repeat(spots // TABLES, n)
+        pair = (a.picture[i] - at) * len(names_b) + b.picture[j]
+        counts = np.bincount(pair, minlength=(end - at) * len(names_b)).reshape(end - at, -1)
+        open_ = (counts >= least) & (label[of_a[at:end], None] != label[of_b][None, :])
+        keep = open_.ravel()[pair]
+        i, j, table = i[keep], j[keep], np.repeat(spots % TABLES, n)[keep]
+        # two corners are one match however many tables they share
+        equal = a.keys[i] == b.keys[j]
+        first = equal.argmax(1) == table
+        i, j = i[first], j[first]
+        keep = often((a.picture[i] - at) * len(names_b) + b.picture[j], least)
+        got = agreeing(a, b, i[keep], j[keep], least)
+        if len(got):
+            label = smallest_reached(label, np.concatenate([of_a[got[:, 0]], label]), np.concatenate([of_b[got[:, 1]], np.arange(len(label))]))
+        at = end
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def linked(least: int):
+    """Links among the pictures of each cell (i, j): those of block i against those of block j."""
+
+    def run(batches: Iterator) -> Iterator:
+        for cell in groups_of(batches, ["i", "j"]):
+            second = cell.column("second").combine_chunks().to_numpy(zero_copy_only=False)
+            names, blobs = cell.column("image_id").to_numpy(), cell.column("corners").to_pylist()
+            sides = []
+            for k in (np.flatnonzero(~second), np.flatnonzero(second)):
+                k = k[np.unique(names[k], return_index=True)[1]]
+                if len(k):
+                    sides += [names[k], Side([blobs[x] for x in k])]
+            if cell.column("i")[0].as_py() == cell.column("j")[0].as_py():
+                sides += sides
+            if len(sides) == 4:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in matched(*sides, least)], ["a", "b"])
+
+    return run
 
 
 def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame:
@@ -147,40 +261,31 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
     ``df`` has Spark's image columns (width, height, nChannels, data) beside the id. Rows
     (image_id, n_corners, component_id, kept), one per id; a null id is left out. Pictures that are
     null, empty, of wrong size or without corners link with nothing; equal bytes are put together first. Of
-    rows with one id the largest by bytes counts.
+    rows with one id the largest by a hash of its bytes counts.
 
-    All pictures of a key are matched with each other if they are SMALL or fewer. In a larger key all are matched with
-    the smallest id; those that agree with it leave the key, and the rest goes on in
-    the same way until SMALL are left. So a large group of copies costs as many matches as it has members.
+    Two pictures are linked by ``least`` agreeing corners out of all their matches, whichever keys
+    these stand under and however many other pictures share them. Pictures are dealt into blocks of about BLOCK
+    corners, and every two blocks meet in one cell inside a task; a cell gives one link per picture
+    towards the smallest that it reaches. No matches or votes are written; corners are, once per block.
     """
     rows = df.select(F.col(id_col).cast("long").alias("image_id"), "width", "height", "nChannels", "data").where("image_id is not null")
     rows = rows.withColumn("same", F.sha2(F.concat_ws("|", "width", "height", "nChannels", F.sha2("data", 256)), 256))
-    ids = rows.groupBy("image_id").agg(F.max("same").alias("same"))
-    heads = rows.groupBy("same").agg(F.min("image_id").alias("image_id"), F.first("width").alias("width"), F.first("height").alias("height"), F.first("nChannels").alias("nChannels"), F.first("data").alias("data"))
-    found = written(describe_all(heads.drop("same")), "corners")
-    spots = found.select("image_id", "corner", "y", "x", "level", "angle", F.posexplode("keys").alias("table", "key"))
-    counted = spots.groupBy("table", "key").agg(F.count_distinct("image_id").alias("n")).where("n > 1")
-    spots = written(spots.join(counted, ["table", "key"]), "spots")
-    side = lambda d, s: d.select("table", "key", "n", F.col("image_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("corner", "y", "x", "level", "angle")])
-    small = spots.where(F.col("n") <= SMALL)
-    links = written(agreeing(side(small, "a").join(side(small, "b").drop("n"), ["table", "key"]).where("a < b"), least), "links")
-    large = spots.where(F.col("n") > SMALL)
-    while large.limit(1).count():
-        first = large.groupBy("table", "key").agg(F.min("image_id").alias("head"))
-        near = large.join(first, ["table", "key"])
-        matches = side(near.where("image_id = head"), "a").join(side(near.where("image_id <> head"), "b").drop("n"), ["table", "key"])
-        more = written(agreeing(matches, least), "links")
-        links = links.union(more)
-        left = near.where("image_id <> head").join(more, (F.col("head") == F.col("a")) & (F.col("image_id") == F.col("b")), "left_anti").drop("head", "n")
-        counted = left.groupBy("table", "key").agg(F.count_distinct("image_id").alias("n")).where("n > 1")
-        left = written(left.join(counted, ["table", "key"]), "spots")
-        rest = left.where(F.col("n") <= SMALL)
-        links = links.union(written(agreeing(side(rest, "a").join(side(rest, "b").drop("n"), ["table", "key"]).where("a < b"), least), "links"))
-        large = left.where(F.col("n") > SMALL)
-    classes = heads.select("same", "image_id").join(components(links), F.col("image_id") == F.col("node"), "left")
-    classes = classes.join(found.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_corners")), "image_id", "left")
-    classes = classes.select("same", F.coalesce("component_id", "image_id").alias("class"), F.coalesce("n_corners", F.lit(0)).alias("n_corners"))
-    out = ids.join(classes, "same").select("image_id", "n_corners", F.col("class").alias("component_id"))
+    found = written(describe_all(rows), "corners")
+    ids = found.groupBy("image_id").agg(F.max(F.struct("same", "n_corners")).alias("r")).select("image_id", "r.*")
+    groups = ids.groupBy("same").agg(F.min("image_id").alias("head"), F.max("n_corners").alias("n"))
+    heads = written(groups.where(F.col("n") >= least), "heads")
+    size = heads.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("corners")).first()
+    blocks = max(1, min(math.ceil(size["n"] / SMALL), max(SPREAD, math.ceil((size["corners"] or 0) / BLOCK))))
+    # repeated rows of a head are dropped inside the cells, so corners move only to these
+    heads = found.join(heads.select("same", F.col("head").alias("image_id")), ["same", "image_id"], "left_semi")
+    mine = heads.select("image_id", "corners", F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int").alias("mine"))
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = mine.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "image_id", "corners")
+    cells = cells.repartition(4 * blocks * (blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j")
+    links = written(cells.mapInArrow(linked(least), "a bigint, b bigint"), "links")
+    groups = groups.join(components(links), F.col("head") == F.col("node"), "left")
+    groups = groups.select("same", F.coalesce("component_id", "head").alias("class"))
+    out = ids.join(groups, "same").select("image_id", "n_corners", F.col("class").alias("component_id"))
     return out.withColumn("kept", F.col("image_id") == F.col("component_id"))
 
 

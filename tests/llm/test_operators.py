@@ -290,3 +290,51 @@ def test_pictures(spark, monkeypatch):
     assert media.copies(df.limit(0)).count() == 0
 
 
+
+
+def brute_pictures(pictures, least=5):
+    """Smallest id that each picture reaches over pairs judged one by one on all their matches."""
+    found, reach = {k: [v[1:] for v in zip(*media.describe(p[None].astype(float)), strict=True)] for k, p in pictures.items()}, {k: k for k in pictures}
+
+    def linked(a, b):
+        votes = defaultdict(set)
+        for i, (ya, xa, la, ta, ka) in enumerate(a):
+            for j, (yb, xb, lb, tb, kb) in enumerate(b):
+                if (ka == kb).any():
+                    scale, turn = media.LEVEL_STEP ** float(lb - la), tb - ta
+                    first = int(np.floor(np.mod(turn, 2 * np.pi) / (np.pi / 12)))
+                    for r in (first, (first + 23) % 24):
+                        mid = 0.0 if abs(np.sin(turn / 2)) < 0.16 else (r + 1) * np.pi / 12
+                        ty = int(np.floor((yb - scale * (ya * np.cos(mid) + xa * np.sin(mid))) / 8))
+                        tx = int(np.floor((xb - scale * (xa * np.cos(mid) - ya * np.sin(mid))) / 8))
+                        for y, x in ((ty, tx), (ty - 1, tx), (ty, tx - 1), (ty - 1, tx - 1)):
+                            votes[lb - la, r, y, x].add((i, j))
+        return any(min(len({v[k] for v in x}) for k in (0, 1)) >= least for x in votes.values())
+
+    for a in sorted(pictures):
+        for b in sorted(pictures):
+            if a < b and reach[a] != reach[b] and linked(found[a], found[b]):
+                low, high = sorted((reach[a], reach[b]))
+                reach = {k: low if v == high else v for k, v in reach.items()}
+    return reach
+
+
+def edited(img, seed, least=60):
+    r = np.random.default_rng(seed)
+    h, w = r.integers(least, img.shape[0] - 3, 2)
+    top, left = r.integers(0, img.shape[0] - h), r.integers(0, img.shape[1] - w)
+    img = np.clip(img[top : top + h, left : left + w] * r.uniform(0.8, 1.05) + r.integers(-8, 12) + r.integers(-3, 4, (h, w)), 0, 255)
+    return img.astype(np.uint8)
+
+
+def picture_table(spark, pictures):
+    return spark.createDataFrame([(k, p.shape[1], p.shape[0], 1, bytearray(p.tobytes())) for k, p in pictures.items()], "image_id bigint, width int, height int, nChannels int, data binary")
+
+
+def test_votes_of_a_large_group_of_pictures_are_added_up(spark, monkeypatch):
+    pictures = {k: media.scene(900 + k) for k in range(40)} | {40 + k: edited(media.scene(7), k) for k in range(90)}
+    want = brute_pictures(pictures)
+    assert sum(v == 40 for v in want.values()) > 64
+    for small in (64, 10):
+        monkeypatch.setattr(media, "SMALL", small)
+        assert {r["image_id"]: r["component_id"] for r in media.copies(picture_table(spark, pictures)).collect()} == want
