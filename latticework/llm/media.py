@@ -21,8 +21,7 @@ from .common import components, groups_of, smallest_reached, written
 TABLES, TABLE_BITS = 5, 48
 RADIUS = 9
 MARGIN = RADIUS + 4
-PER_LEVEL = (40, 20)
-LEVEL_STEP = 2.0  # factor in size from one level to the next
+LEVEL_STEP = 2.0**0.5  # factor in size from one level to the next
 SMALL = 64  # pictures of a block at least, before the table is dealt into more of them
 SPREAD, BLOCK = 4, 1_000_000  # blocks of a table that fits fewer, and corners of a block
 MATCHES, PAIRS = 2_000_000, 1 << 24  # matches and pairs of pictures that a task counts at once
@@ -43,8 +42,8 @@ def box(a: np.ndarray, r: int = 2) -> np.ndarray:
     return a
 
 
-def corners(img: np.ndarray, most: int) -> np.ndarray:
-    """(picture, row, column) of the strongest ``most`` corners of each, at least MARGIN from the border."""
+def corners(img: np.ndarray) -> np.ndarray:
+    """(picture, row, column) of all corners of each, the strongest first, at least MARGIN from the border."""
     if min(img.shape[1:]) <= 2 * MARGIN + 2:
         return np.empty((0, 3), int)
     gy, gx = np.zeros_like(img), np.zeros_like(img)
@@ -60,35 +59,46 @@ def corners(img: np.ndarray, most: int) -> np.ndarray:
     top = (c == top) & (c > 1e-3 * np.maximum(r.max((1, 2)), 1e-9)[:, None, None])
     z, y, x = np.nonzero(top)
     best = np.lexsort((x, y, -c[z, y, x], z))
-    z, y, x = z[best], y[best], x[best]
-    place = np.arange(len(z)) - np.searchsorted(z, z)
-    keep = place < most
-    return np.stack([z[keep], y[keep] + m, x[keep] + m], 1)
-
-
-def describe(img: np.ndarray) -> list[np.ndarray]:
-    """Picture, row and column (of the full picture), level, direction and table keys of the corners of a stack of grey pictures."""
-    found, img = [], img.astype(np.float32)
-    for level, most in enumerate(PER_LEVEL):
-        if level:
-            h, w = img.shape[1] // 2 * 2, img.shape[2] // 2 * 2
-            img = img[:, :h, :w].reshape(-1, h // 2, 2, w // 2, 2).mean((2, 4))
-        at = corners(img, most)
-        if not len(at):
-            continue
-        smooth = box(img)
-        z, y, x = at[:, 0, None], at[:, 1, None], at[:, 2, None]
-        patch = img[z, y + DISC[:, 0], x + DISC[:, 1]]
-        angle = np.arctan2(patch @ DISC[:, 0].astype(np.float32), patch @ DISC[:, 1].astype(np.float32))
-        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        value = []
-        for k in (0, 2):
-            dy = np.rint(TESTS[:, k] * cos + TESTS[:, k + 1] * sin).astype(np.int32)
-            dx = np.rint(TESTS[:, k + 1] * cos - TESTS[:, k] * sin).astype(np.int32)
-            value.append(smooth[z, y + dy, x + dx])
-        bits = (value[0] < value[1]).reshape(len(at), TABLES, TABLE_BITS)
-        keys = np.packbits(bits, axis=2).astype(np.int64) @ (1 << 8 * np.arange(TABLE_BITS // 8, dtype=np.int64))
-        found.append((at[:, 0], at[:, 1] << level, at[:, 2] << level, np.full(len(at), level), angle.astype(float), keys))
+    return np.stack([z[best], y[best] + m, x[best] + m], 1)
+
+
+def shrunk(img: np.ndarray, factor: float) -> np.ndarray:
+    """A stack of pictures made smaller by ``factor`` along both sides; each cell is the mean of the area it covers."""
+    for axis in (1, 2):
+        edge = np.arange(int(img.shape[axis] / factor + 1e-9) + 1) * factor
+        low = np.minimum(edge.astype(int), img.shape[axis] - 1)
+        total = np.insert(np.cumsum(img, axis=axis, dtype=float), 0, 0, axis=axis)
+        part = (edge - low).reshape([-1 if k == axis else 1 for k in range(3)])
+        at = total.take(low, axis)
+        img = np.diff(at + part * (total.take(low + 1, axis) - at), axis=axis) / factor
+    return img.astype(np.float32)
+
+
+def describe(full: np.ndarray) -> list[np.ndarray]:
+    """Picture, row and column (of the full picture), level, direction and table keys of all corners of a stack of grey pictures.
+
+    Level k is smaller by LEVEL_STEP ** k; levels go on until no place is far enough from the border.
+    """
+    found, full, level = [], full.astype(np.float32), 0
+    while min(full.shape[1:]) / LEVEL_STEP**level > 2 * MARGIN + 2:
+        img = shrunk(full, LEVEL_STEP**level) if level else full
+        every, smooth = corners(img), box(img)
+        for k in range(0, len(every), 1 << 14):
+            at = every[k : k + (1 << 14)]
+            z, y, x = at[:, 0, None], at[:, 1, None], at[:, 2, None]
+            patch = img[z, y + DISC[:, 0], x + DISC[:, 1]]
+            angle = np.arctan2(patch @ DISC[:, 0].astype(np.float32), patch @ DISC[:, 1].astype(np.float32))
+            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+            value = []
+            for c in (0, 2):
+                dy = np.rint(TESTS[:, c] * cos + TESTS[:, c + 1] * sin).astype(np.int32)
+                dx = np.rint(TESTS[:, c + 1] * cos - TESTS[:, c] * sin).astype(np.int32)
+                value.append(smooth[z, y + dy, x + dx])
+            bits = (value[0] < value[1]).reshape(len(at), TABLES, TABLE_BITS)
+            keys = np.packbits(bits, axis=2).astype(np.int64) @ (1 << 8 * np.arange(TABLE_BITS // 8, dtype=np.int64))
+            place = [np.rint((at[:, c] + 0.5) * LEVEL_STEP**level - 0.5).astype(int) for c in (1, 2)]
+            found.append((at[:, 0], *place, np.full(len(at), level), angle.astype(float), keys))
+        level += 1
     if not found:
         return [np.empty(0, int)] * 5 + [np.empty((0, TABLES), np.int64)]
     return [np.concatenate(c) for c in zip(*found, strict=True)]
@@ -111,8 +121,9 @@ def describe_all(df: DataFrame) -> DataFrame:
                 img = grey(row["width"], row["height"], row["nChannels"], row["data"])
                 shapes.setdefault(None if img is None else img.shape, []).append((row["image_id"], row["same"], img))
             for shape, of_shape in shapes.items():
-                for at in range(0, len(of_shape), 64):
-                    part = of_shape[at : at + 64]
+                step = 64 if shape is None else max(1, min(64, (1 << 22) // math.prod(shape)))
+                for at in range(0, len(of_shape), step):
+                    part = of_shape[at : at + step]
                     found = [np.empty(0, CORNER)] * len(part)
                     if shape is not None:
                         z, y, x, level, angle, keys = describe(np.stack([s[2] for s in part]))
@@ -264,7 +275,8 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
     rows with one id the largest by a hash of its bytes counts.
 
     Two pictures are linked by ``least`` agreeing corners out of all their matches, whichever keys
-    these stand under and however many other pictures share them. Pictures are dealt into blocks of about BLOCK
+    these stand under and however many other pictures share them. All corners of a picture count, at levels a factor of
+    LEVEL_STEP apart, so that their number grows with its area. Pictures are dealt into blocks of about BLOCK
     corners, and every two blocks meet in one cell inside a task; a cell gives one link per picture
     towards the smallest that it reaches. No matches or votes are written; corners are, once per block.
     """

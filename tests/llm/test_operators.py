@@ -338,3 +338,12 @@ def test_votes_of_a_large_group_of_pictures_are_added_up(spark, monkeypatch):
     for small in (64, 10):
         monkeypatch.setattr(media, "SMALL", small)
         assert {r["image_id"]: r["component_id"] for r in media.copies(picture_table(spark, pictures)).collect()} == want
+
+
+def test_small_crops_and_other_scales_of_large_pictures(spark):
+    large = {k: np.block([[media.scene(1000 * k + 4 * r + c) for c in range(4)] for r in range(4)]) for k in (1, 2)}
+    crop = {k + 10: edited(large[k][200:320, 40:160], k, least=110) for k in large}  # about a twelfth of the area
+    scaled = {k + 20: media.shrunk(large[k][None].astype(np.float32), 1.43)[0].astype(np.uint8) for k in large}
+    got = {r["image_id"]: r["component_id"] for r in media.copies(picture_table(spark, large | crop | scaled)).collect()}
+    assert got == {k: k % 10 for k in got} and len(got) == 6
+    assert len(media.describe(large[1][None])[0]) > 10 * len(media.describe(media.scene(1)[None])[0])
