@@ -1,9 +1,15 @@
 """Cropped and edited copies of pictures, found by local image descriptors.
 
-Corners at several scales of a grey picture get a main direction (from the centre of mass of the
-patch around them) and a code of binary brightness tests turned into that direction. Codes are cut into
-substrings, each the key of a Hamming table; two corners that share a key are a match. A pair of
-pictures is linked when enough of all its matches, over all keys, agree on one scale, turn and shift.
+Corners on the levels of a pyramid get a main direction (from the centre of mass of the patch around
+them) and a code of binary brightness tests turned into that direction. Codes are cut into substrings,
+each the key of a Hamming table. Pictures that share keys are candidates; two corners match when their
+whole codes differ in few bits, and a pair of pictures is linked when enough of its matches agree on one
+scale, turn and shift.
+
+Each key has a head, the picture with most corners among those that hold it, and every picture is
+judged against its heads. Two pictures under one head are either both linked to it, or one of them is
+odd; odd ones meet all pictures of that head, block by block inside tasks. So the number of passes
+over the table is fixed, and no pairs inside a group are written.
 """
 
 from __future__ import annotations
@@ -16,50 +22,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups_of, smallest_reached, written
+from .common import components, forget, groups_of, written
 
-TABLES, TABLE_BITS = 5, 48
-RADIUS = 9
-MARGIN = RADIUS + 4
+TABLES, TABLE_BITS = 4, 56
+RADIUS, MARGIN = 9, 12
+APART = 5  # a corner is the strongest within so many cells, so corners grow with the area and shift with the picture
 LEVEL_STEP = 2.0**0.5  # factor in size from one level to the next
-SMALL = 64  # pictures of a block at least, before the table is dealt into more of them
-SPREAD, BLOCK = 4, 1_000_000  # blocks of a table that fits fewer, and corners of a block
-MATCHES, PAIRS = 2_000_000, 1 << 24  # matches and pairs of pictures that a task counts at once
-CORNER = np.dtype([("y", "<i4"), ("x", "<i4"), ("level", "i1"), ("angle", "<f4"), ("keys", "u1", (TABLES, TABLE_BITS // 8))])
+TURNS = 64
+DIFFER = 32  # bits of a code in which two matching corners differ at most
+EVIDENCE = 2  # keys that two pictures share at least
+BLOCK = 256  # pictures on either side of a cell
+BATCH = 64  # pictures described, and pairs judged, at once
+CORNER = np.dtype([("y", "<u2"), ("x", "<u2"), ("level", "u1"), ("angle", "u1"), ("code", "u1", TABLES * TABLE_BITS // 8)])
 
 _random = np.random.default_rng(77)
-TESTS = np.clip(_random.normal(0, RADIUS / 2.2, (TABLES * TABLE_BITS, 4)), -RADIUS * 0.7, RADIUS * 0.7).astype(np.float32)
+TESTS = np.clip(_random.normal(0, RADIUS / 2.2, (TABLES * TABLE_BITS, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
+_turn = (np.arange(TURNS) * 2 * np.pi / TURNS)[:, None, None]
+DOWN = np.rint(TESTS[..., 0] * np.cos(_turn) + TESTS[..., 1] * np.sin(_turn)).astype(np.int32)  # (turn, test, end)
+ACROSS = np.rint(TESTS[..., 1] * np.cos(_turn) - TESTS[..., 0] * np.sin(_turn)).astype(np.int32)
 DISC = np.array([(y, x) for y in range(-7, 8) for x in range(-7, 8) if x * x + y * y <= 49])
 
 
-def box(a: np.ndarray, r: int = 2) -> np.ndarray:
-    """Sums over squares of 2 r + 1 in each picture of a stack, the border repeated."""
+def slid(a: np.ndarray, n: int, join: np.ufunc) -> np.ndarray:
+    """``join`` (add or maximum) over squares of n cells of each picture of a stack; sides shrink by n - 1."""
     for axis in (1, 2):
-        pad = [(r, r) if k == axis else (0, 0) for k in range(3)]
-        wide, n = np.pad(a, pad, mode="edge"), a.shape[axis]
-        cut = (slice(None),) * axis
-        a = sum(wide[(*cut, slice(k, k + n))] for k in range(2 * r + 1))
+        cut = lambda v, at, size: v[(slice(None),) * axis + (slice(at, at + size),)]  # noqa: B023, E731
+        if join is np.add:
+            size = a.shape[axis] - n + 1
+            a = sum(cut(a, k, size) for k in range(n))
+            continue
+        have = 1
+        while have < n:  # runs of 2, 4, 8, ... cells
+            more = min(have, n - have)
+            size = a.shape[axis] - more
+            a = np.maximum(cut(a, 0, size), cut(a, more, size))
+            have += more
     return a
 
 
-def corners(img: np.ndarray) -> np.ndarray:
-    """(picture, row, column) of all corners of each, the strongest first, at least MARGIN from the border."""
-    if min(img.shape[1:]) <= 2 * MARGIN + 2:
-        return np.empty((0, 3), int)
-    gy, gx = np.zeros_like(img), np.zeros_like(img)
-    gy[:, 1:-1] = img[:, 2:] - img[:, :-2]
-    gx[:, :, 1:-1] = img[:, :, 2:] - img[:, :, :-2]
-    xx, yy, xy = box(gx * gx, 1), box(gy * gy, 1), box(gx * gy, 1)
-    r = xx * yy - xy * xy - np.float32(0.05) * (xx + yy) ** 2
-    m, h, w = MARGIN, r.shape[1], r.shape[2]
-    c = r[:, m:-m, m:-m]
-    wide = r[:, m - 2 : h - m + 2, m - 2 : w - m + 2]
-    rows = np.maximum.reduce([wide[:, k : k + c.shape[1]] for k in range(5)])
-    top = np.maximum.reduce([rows[:, :, k : k + c.shape[2]] for k in range(5)])
-    top = (c == top) & (c > 1e-3 * np.maximum(r.max((1, 2)), 1e-9)[:, None, None])
-    z, y, x = np.nonzero(top)
-    best = np.lexsort((x, y, -c[z, y, x], z))
-    return np.stack([z[best], y[best] + m, x[best] + m], 1)
+def corners(img: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Picture, row and column of all corners of a stack, at least MARGIN from the border."""
+    m, (h, w) = MARGIN, img.shape[1:]
+    gy, gx = img[:, 2:, 1:-1] - img[:, :-2, 1:-1], img[:, 1:-1, 2:] - img[:, 1:-1, :-2]
+    xx, yy, xy = (slid(p, 3, np.add) for p in (gx * gx, gy * gy, gx * gy))
+    r = xx * yy - xy * xy - np.float32(0.05) * (xx + yy) ** 2  # cell 0 is cell 2 of the picture
+    far = m - 2 - APART
+    top = slid(r[:, far : h - 4 - far, far : w - 4 - far], 2 * APART + 1, np.maximum)
+    c = r[:, m - 2 : h - 2 - m, m - 2 : w - 2 - m]
+    z, y, x = np.nonzero((c == top) & (c > 1e-3 * np.maximum(r.max((1, 2)), 1e-9)[:, None, None]))
+    return z, y + m, x + m
 
 
 def shrunk(img: np.ndarray, factor: float) -> np.ndarray:
@@ -74,194 +85,185 @@ def shrunk(img: np.ndarray, factor: float) -> np.ndarray:
     return img.astype(np.float32)
 
 
-def describe(full: np.ndarray) -> list[np.ndarray]:
-    """Picture, row and column (of the full picture), level, direction and table keys of all corners of a stack of grey pictures.
+def describe(full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Picture number and CORNER record of all corners of a stack of grey pictures.
 
     Level k is smaller by LEVEL_STEP ** k; levels go on until no place is far enough from the border.
+    Places are those of the full picture.
     """
-    found, full, level = [], full.astype(np.float32), 0
-    while min(full.shape[1:]) / LEVEL_STEP**level > 2 * MARGIN + 2:
-        img = shrunk(full, LEVEL_STEP**level) if level else full
-        every, smooth = corners(img), box(img)
-        for k in range(0, len(every), 1 << 14):
-            at = every[k : k + (1 << 14)]
-            z, y, x = at[:, 0, None], at[:, 1, None], at[:, 2, None]
-            patch = img[z, y + DISC[:, 0], x + DISC[:, 1]]
-            angle = np.arctan2(patch @ DISC[:, 0].astype(np.float32), patch @ DISC[:, 1].astype(np.float32))
-            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-            value = []
-            for c in (0, 2):
-                dy = np.rint(TESTS[:, c] * cos + TESTS[:, c + 1] * sin).astype(np.int32)
-                dx = np.rint(TESTS[:, c + 1] * cos - TESTS[:, c] * sin).astype(np.int32)
-                value.append(smooth[z, y + dy, x + dx])
-            bits = (value[0] < value[1]).reshape(len(at), TABLES, TABLE_BITS)
-            keys = np.packbits(bits, axis=2).astype(np.int64) @ (1 << 8 * np.arange(TABLE_BITS // 8, dtype=np.int64))
-            place = [np.rint((at[:, c] + 0.5) * LEVEL_STEP**level - 0.5).astype(int) for c in (1, 2)]
-            found.append((at[:, 0], *place, np.full(len(at), level), angle.astype(float), keys))
+    full = full.astype(np.float32)
+    who, found, level, above = [np.empty(0, int)], [np.empty(0, CORNER)], 0, []
+    while True:
+        # two levels on, sides are halved
+        img = full if not level else shrunk(full, LEVEL_STEP) if level == 1 else shrunk(above[level - 2], 2)
+        above.append(img)
+        h, w = img.shape[1:]
+        if min(h, w) < 2 * MARGIN + 3:
+            return np.concatenate(who), np.concatenate(found)
+        every = corners(img)
+        smooth = np.zeros_like(img)
+        smooth[:, 1:-1, 1:-1] = slid(img, 3, np.add)
+        bright, smooth = img.ravel(), smooth.ravel()
+        around, away = DISC[:, 0] * w + DISC[:, 1], DOWN * w + ACROSS
+        for k in range(0, len(every[0]), 1 << 13):
+            z, y, x = (v[k : k + (1 << 13)] for v in every)
+            at = (z * h + y) * w + x
+            patch = bright[at[:, None] + around]
+            patch -= patch.mean(1, keepdims=True)
+            angle = np.arctan2(patch @ DISC[:, 0].astype(np.float32), patch @ DISC[:, 1].astype(np.float32)) / (2 * np.pi)
+            value = smooth[at[:, None, None] + away[np.rint(angle * TURNS).astype(int) % TURNS]]
+            rows = np.empty(len(z), CORNER)
+            for name, v in (("y", y), ("x", x)):
+                rows[name] = np.minimum(np.rint((v + 0.5) * LEVEL_STEP**level - 0.5), 65535)
+            rows["level"], rows["angle"] = level, np.rint(angle * 256).astype(int) % 256
+            rows["code"] = np.packbits(value[..., 0] < value[..., 1], axis=1)
+            who.append(z)
+            found.append(rows)
         level += 1
-    if not found:
-        return [np.empty(0, int)] * 5 + [np.empty((0, TABLES), np.int64)]
-    return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
 def grey(width: int, height: int, channels: int, data: bytes) -> np.ndarray | None:
     """Brightness of an uncompressed picture in row order; None if the sizes do not fit."""
     if not width or not height or not channels or data is None or len(data) != width * height * channels:
         return None
-    return np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, :3].mean(2)
+    return np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, :3].mean(2, dtype=np.float32)
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """Corners of each picture as records CORNER in one binary: (image_id, same, n_corners, corners)."""
+    """Corners of each picture as CORNER records in one binary: (image_id, same, n_corners, corners)."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            shapes: dict[tuple, list] = {}
-            for row in batch.to_pylist():
-                img = grey(row["width"], row["height"], row["nChannels"], row["data"])
-                shapes.setdefault(None if img is None else img.shape, []).append((row["image_id"], row["same"], img))
-            for shape, of_shape in shapes.items():
-                step = 64 if shape is None else max(1, min(64, (1 << 22) // math.prod(shape)))
-                for at in range(0, len(of_shape), step):
-                    part = of_shape[at : at + step]
-                    found = [np.empty(0, CORNER)] * len(part)
-                    if shape is not None:
-                        z, y, x, level, angle, keys = describe(np.stack([s[2] for s in part]))
-                        order = np.argsort(z, kind="stable")
-                        rows = np.empty(len(z), CORNER)
-                        for name, v in (("y", y), ("x", x), ("level", level), ("angle", angle), ("keys", keys.astype("<i8").view(np.uint8).reshape(len(z), TABLES, 8)[..., : TABLE_BITS // 8])):
-                            rows[name] = v[order]
-                        found = np.split(rows, np.searchsorted(z[order], np.arange(1, len(part))))
-                    arrays = [pa.array([s[0] for s in part], pa.int64()), pa.array([s[1] for s in part], pa.string()), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["image_id", "same", "n_corners", "corners"])
-
-    return df.mapInArrow(run, "image_id bigint, same string, n_corners bigint, corners binary")
-
-
-class Side:
-    """Corners of the pictures on one side of a cell, and their table keys in order."""
-
-    def __init__(self, blobs: list[bytes]):
-        rows = np.frombuffer(b"".join(blobs), CORNER)
-        sizes = np.array([len(b) // CORNER.itemsize for b in blobs])
-        self.picture = np.repeat(np.arange(len(blobs)), sizes)
-        self.y, self.x, self.level, self.angle = (rows[c].astype(float) for c in ("y", "x", "level", "angle"))
-        self.keys = rows["keys"].reshape(-1, TABLES, TABLE_BITS // 8).astype(np.int64) @ (1 << 8 * np.arange(TABLE_BITS // 8, dtype=np.int64))
-        # one key space for all tables: the number of the table stands above its bits
-        self.keys |= np.arange(TABLES, dtype=np.int64) << TABLE_BITS
-        order = np.argsort(self.keys, axis=None, kind="stable")
-        self.sorted, self.corner = self.keys.ravel()[order], order // TABLES
-
-
-def often(groups: np.ndarray, least: int) -> np.ndarray:
-    """Rows whose group has ``least`` rows; groups that share a hash may leave more rows, never fewer."""
-    h = (groups.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
-    return np.flatnonzero((np.bincount(h.astype(np.int64), minlength=1 << 22) >= least)[h.astype(np.int64)])
-
-
-def distinct(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of different ``value`` in each of ``n`` groups."""
-    order = np.lexsort((value, group))
-    g, v = group[order], value[order]
-    first = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
-    return np.bincount(g[first], minlength=n)
-
-
-def agreeing(a: Side, b: Side, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
-    """Pairs (picture of a, picture of b) with ``least`` corners on either side in the matches (i, j) that agree on scale, turn and shift.
-
-    The matches are all that the pictures have, over all keys. Bins of turn and shift overlap by half,
-    so that a border between bins splits no consensus.
+            for start in range(0, batch.num_rows, 4 * BATCH):
+                shapes: dict[tuple | None, list] = {}
+                for row in batch.slice(start, 4 * BATCH).to_pylist():
+                    img = grey(row["width"], row["height"], row["nChannels"], row["data"])
+                    shapes.setdefault(None if img is None else img.shape, []).append((row["image_id"], row["same"], img))
+                for shape, of_shape in shapes.items():
+                    step = BATCH if shape is None else max(1, min(BATCH, (1 << 22) // math.prod(shape)))
+                    for at in range(0, len(of_shape), step):
+                        part = of_shape[at : at + step]
+                        found = [np.empty(0, CORNER)] * len(part)
+                        if shape is not None:
+                            z, rows = describe(np.stack([s[2] for s in part]))
+                            order = np.argsort(z, kind="stable")
+                            found = np.split(rows[order], np.searchsorted(z[order], np.arange(1, len(part))))
+                        arrays = [pa.array([s[0] for s in part], pa.int64()), pa.array([s[1] for s in part], pa.binary())]
+                        arrays += [pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(arrays, ["image_id", "same", "n_corners", "corners"])
+
+    return df.mapInArrow(run, "image_id bigint, same binary, n_corners bigint, corners binary")
+
+
+def table_keys(rows: np.ndarray) -> np.ndarray:
+    """Keys (corners x TABLES) of CORNER records; the number of the table stands above the bits."""
+    parts = rows["code"].reshape(len(rows), TABLES, TABLE_BITS // 8).astype(np.int64)
+    return parts @ (1 << 8 * np.arange(TABLE_BITS // 8, dtype=np.int64)) | np.arange(TABLES, dtype=np.int64) << TABLE_BITS
+
+
+def spots(batches: Iterator) -> Iterator:
+    """(key, n, doc) for each key of each picture, once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            part = batch.slice(at, BATCH)
+            keys = [np.unique(table_keys(np.frombuffer(b, CORNER))) for b in part.column("corners").to_pylist()]
+            doc, n = (np.repeat(part.column(c).to_numpy(), [len(k) for k in keys]) for c in ("doc", "n_corners"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(n), pa.array(doc)], ["key", "n_corners", "doc"])
+
+
+def heads_of(batches: Iterator) -> Iterator:
+    """(doc, head) for the rows of each key, which come one after the other with the head in front; no key is held."""
+    last, head = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
+        new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        heads = np.where(first < 0, head if head is not None else 0, doc[first])
+        last, head = key[-1], heads[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[~new]), pa.array(heads[~new])], ["doc", "head"])
+
+
+def agrees(a: np.ndarray, b: np.ndarray, least: int) -> bool:
+    """Whether ``least`` corners on either side match and agree on scale, turn and shift.
+
+    Bins of turn and shift overlap by half, so that a border between bins splits no consensus.
     """
-    pair = a.picture[i] * (b.picture.max(initial=0) + 1) + b.picture[j]
-    turn = b.angle[j] - a.angle[i]
-    s = (b.level[j] - a.level[i]).astype(np.int64)
-    half = np.pi / 12
-    r = np.floor(np.mod(turn, 2 * np.pi) / half).astype(np.int64) % 24
-    group, match, bins = pair, np.arange(len(i)), None
-    for step in ("turn", "ty", "tx"):
-        if step == "turn":
-            match, bins = np.concatenate([match, match]), np.concatenate([r, (r + 23) % 24])
-            group = np.unique((pair[match] * 64 + s[match] + 32) * 24 + bins, return_inverse=True)[1]
-            # the turn of the bin, not of the match, moves the first picture's corner: directions are coarse
-            mid = np.where(np.abs(np.sin(turn[match] / 2)) < 0.16, 0.0, (bins + 1) * half)
-        else:
-            k, scale = match, LEVEL_STEP ** s[match].astype(float)
-            if step == "ty":
-                v = b.y[j[k]] - scale * (a.y[i[k]] * np.cos(mid) + a.x[i[k]] * np.sin(mid))
-            else:
-                v = b.x[j[k]] - scale * (a.x[i[k]] * np.cos(mid) - a.y[i[k]] * np.sin(mid))
-            v = np.floor(v / 8).astype(np.int64)
-            match, mid, group, v = np.tile(match, 2), np.tile(mid, 2), np.tile(group, 2), np.concatenate([v, v - 1])
-            group = np.unique(group * (1 << 32) + v + (1 << 31), return_inverse=True)[1]
-        keep = np.flatnonzero((np.bincount(group) >= least)[group]) if len(group) else match
-        match, mid, group = match[keep], mid[keep], group[keep]
-    if not len(group):
-        return np.empty((0, 2), int)
-    group = np.unique(group, return_inverse=True)[1]
-    n = group.max() + 1
-    good = (distinct(group, i[match], n) >= least) & (distinct(group, j[match], n) >= least)
-    found = np.unique(pair[match[good[group]]])
-    return np.stack(np.divmod(found, b.picture.max(initial=0) + 1), 1)
-
-
-def matched(names_a: np.ndarray, a: Side, names_b: np.ndarray, b: Side, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (id, smallest id it reaches) among the pictures of two sides.
-
-    The matches of a picture of ``a`` are counted in one go over all keys, so every pair is judged once on all its
-    votes. Pictures that earlier links of the cell already join are not judged again.
-    """
-    names, where = np.unique(np.concatenate([names_a, names_b]), return_inverse=True)
-    of_a, of_b = where[: len(names_a)], where[len(names_a) :]
-    label = np.arange(len(names))
-    keys = a.keys.ravel()
-    low = np.searchsorted(b.sorted, keys, "left")
-    size = np.searchsorted(b.sorted, keys, "right") - low
-    spot_picture = np.repeat(a.picture, TABLES)
-    border = np.searchsorted(spot_picture, np.arange(len(names_a) + 1))  # spots of a picture stand together
-    total = np.concatenate([[0], np.cumsum(size)])[border]
-    at = 0
-    while at < len(names_a):
-        # at least one picture, and as many as have MATCHES matches together
-        end = max(at + 1, min(int(np.searchsorted(total, total[at] + MATCHES, "right")) - 1, at + max(1, PAIRS // max(1, len(names_b)))))
-        spots = np.arange(border[at], border[end])
-        n = size[spots]
-        j = b.corner[np.repeat(low[spots] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        i = np.repeat(spots // TABLES, n)
-        pair = (a.picture[i] - at) * len(names_b) + b.picture[j]
-        counts = np.bincount(pair, minlength=(end - at) * len(names_b)).reshape(end - at, -1)
-        open_ = (counts >= least) & (label[of_a[at:end], None] != label[of_b][None, :])
-        keep = open_.ravel()[pair]
-        i, j, table = i[keep], j[keep], np.repeat(spots % TABLES, n)[keep]
-        # two corners are one match however many tables they share
-        equal = a.keys[i] == b.keys[j]
-        first = equal.argmax(1) == table
-        i, j = i[first], j[first]
-        keep = often((a.picture[i] - at) * len(names_b) + b.picture[j], least)
-        got = agreeing(a, b, i[keep], j[keep], least)
-        if len(got):
-            label = smallest_reached(label, np.concatenate([of_a[got[:, 0]], label]), np.concatenate([of_b[got[:, 1]], np.arange(len(label))]))
-        at = end
-    moved = np.flatnonzero(label != np.arange(len(names)))
-    return names[moved], names[label[moved]]
+    # codes as 64-bit words, the last one padded
+    words = [np.pad(r["code"], ((0, 0), (0, -r["code"].shape[1] % 8))).view(np.uint64) for r in (a, b)]
+    apart = sum(np.bitwise_count(words[0][:, None, k] ^ words[1][None, :, k]).astype(np.uint16) for k in range(words[0].shape[1]))
+    i, j = np.nonzero(apart <= DIFFER)
+    if len(i) < least:
+        return False
+    scale = b["level"][j].astype(int) - a["level"][i]
+    turn = (b["angle"][j].astype(int) - a["angle"][i]) % 256
+    half = 256 // 24 + 1
+    bins = turn // half
+    wraps = -(-256 // half)
+    match, bins = np.tile(np.arange(len(i)), 2), np.concatenate([bins, (bins - 1) % wraps])
+    # the turn of the bin, not of the match, moves the first corner: directions are coarse. Near 0 it is 0, as most edits do not turn
+    near = np.minimum(turn[match], 256 - turn[match]) < half // 2 + 2
+    mid = np.where(near, 0.0, (bins + 1) * half * 2 * np.pi / 256)
+    size = LEVEL_STEP ** scale[match].astype(float)
+    y, x = a["y"][i[match]].astype(float), a["x"][i[match]].astype(float)
+    ty = np.floor((b["y"][j[match]] - size * (y * np.cos(mid) + x * np.sin(mid))) / 8).astype(np.int64)
+    tx = np.floor((b["x"][j[match]] - size * (x * np.cos(mid) - y * np.sin(mid))) / 8).astype(np.int64)
+    group = (scale[match] + 64) * 64 + np.where(near, 63, bins)
+    shift = np.stack([ty, tx])
+    for k in (0, 1):
+        match, group, shift = np.tile(match, 2), np.tile(group, 2), np.tile(shift, 2)
+        t = shift[k] - np.repeat([0, 1], len(match) // 2)
+        _, group, n = np.unique(group * (1 << 40) + t + (1 << 39), return_inverse=True, return_counts=True)
+        keep = n[group] >= least
+        match, group, shift = match[keep], group[keep], shift[:, keep]
+    for side in (i, j):
+        if len(group):
+            pairs = np.unique(np.stack([group, side[match]], 1), axis=0)[:, 0]
+            keep = np.bincount(pairs, minlength=group.max() + 1)[group] >= least
+            match, group = match[keep], group[keep]
+    return len(group) > 0
+
+
+def judged(least: int):
+    """(doc, head, odd) for pairs with the corners of both, x and y."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                sides = zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)
+                odd = [not agrees(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER), least) for x, y in sides]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("head"), pa.array(odd)], ["doc", "head", "odd"])
+
+    return run
 
 
 def linked(least: int):
-    """Links among the pictures of each cell (i, j): those of block i against those of block j."""
+    """Links among the pictures of each cell: odd ones against all of a block of their head's pictures."""
 
     def run(batches: Iterator) -> Iterator:
-        for cell in groups_of(batches, ["i", "j"]):
-            second = cell.column("second").combine_chunks().to_numpy(zero_copy_only=False)
-            names, blobs = cell.column("image_id").to_numpy(), cell.column("corners").to_pylist()
-            sides = []
-            for k in (np.flatnonzero(~second), np.flatnonzero(second)):
-                k = k[np.unique(names[k], return_index=True)[1]]
-                if len(k):
-                    sides += [names[k], Side([blobs[x] for x in k])]
-            if cell.column("i")[0].as_py() == cell.column("j")[0].as_py():
-                sides += sides
-            if len(sides) == 4:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in matched(*sides, least)], ["a", "b"])
+        for cell in groups_of(batches, ["head", "i", "j"]):
+            odd = cell.column("odd").combine_chunks().to_numpy(zero_copy_only=False)
+            doc, blobs = cell.column("doc").to_numpy(), cell.column("corners").to_pylist()
+            rows = [np.frombuffer(b, CORNER) for b in blobs]
+            keys = [np.unique(table_keys(r)) for r in rows]
+            names, name = np.unique(doc, return_inverse=True)
+            label = np.arange(len(names))
+            right = np.flatnonzero(~odd)
+            spot, of = np.concatenate([keys[k] for k in right] or [np.empty(0, np.int64)]), np.repeat(right, [len(keys[k]) for k in right])
+            order = np.argsort(spot, kind="stable")
+            spot, of = spot[order], of[order]
+            for k in np.flatnonzero(odd):
+                low = np.searchsorted(spot, keys[k], "left")
+                n = np.searchsorted(spot, keys[k], "right") - low
+                shared = np.bincount(of[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(doc))
+                for other in np.flatnonzero(shared >= EVIDENCE):
+                    one, two = sorted((label[name[k]], label[name[other]]))
+                    if one != two and agrees(rows[k], rows[other], least):
+                        label[label == two] = one
+            got = np.flatnonzero(label != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[got]), pa.array(names[label[got]])], ["a", "b"])
 
     return run
 
@@ -271,73 +273,48 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
 
     ``df`` has Spark's image columns (width, height, nChannels, data) beside the id. Rows
     (image_id, n_corners, component_id, kept), one per id; a null id is left out. Pictures that are
-    null, empty, of wrong size or without corners link with nothing; equal bytes are put together first. Of
-    rows with one id the largest by a hash of its bytes counts.
-
-    Two pictures are linked by ``least`` agreeing corners out of all their matches, whichever keys
-    these stand under and however many other pictures share them. All corners of a picture count, at levels a factor of
-    LEVEL_STEP apart, so that their number grows with its area. Pictures are dealt into blocks of about BLOCK
-    corners, and every two blocks meet in one cell inside a task; a cell gives one link per picture
-    towards the smallest that it reaches. No matches or votes are written; corners are, once per block.
+    null, empty, of wrong size or without corners link with nothing; equal ones are put together first. Of
+    rows with one id the largest by a hash of its bytes counts. Other columns are not read.
+
+    Two pictures are candidates when they share EVIDENCE keys with each other and with a common head, and are linked when
+    ``least`` corners on either side match in all but DIFFER bits and agree on scale, turn and shift. All
+    corners count; they are the strongest within APART cells at levels a factor of LEVEL_STEP apart, so
+    their number grows with the area of the picture, and copies find the same ones.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("image_id"), "width", "height", "nChannels", "data").where("image_id is not null")
-    rows = rows.withColumn("same", F.sha2(F.concat_ws("|", "width", "height", "nChannels", F.sha2("data", 256)), 256))
-    found = written(describe_all(rows), "corners")
-    ids = found.groupBy("image_id").agg(F.max(F.struct("same", "n_corners")).alias("r")).select("image_id", "r.*")
-    groups = ids.groupBy("same").agg(F.min("image_id").alias("head"), F.max("n_corners").alias("n"))
-    heads = written(groups.where(F.col("n") >= least), "heads")
-    size = heads.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("corners")).first()
-    blocks = max(1, min(math.ceil(size["n"] / SMALL), max(SPREAD, math.ceil((size["corners"] or 0) / BLOCK))))
-    # repeated rows of a head are dropped inside the cells, so corners move only to these
-    heads = found.join(heads.select("same", F.col("head").alias("image_id")), ["same", "image_id"], "left_semi")
-    mine = heads.select("image_id", "corners", F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int").alias("mine"))
-    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = mine.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "image_id", "corners")
-    cells = cells.repartition(4 * blocks * (blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j")
-    links = written(cells.mapInArrow(linked(least), "a bigint, b bigint"), "links")
-    groups = groups.join(components(links), F.col("head") == F.col("node"), "left")
-    groups = groups.select("same", F.coalesce("component_id", "head").alias("class"))
-    out = ids.join(groups, "same").select("image_id", "n_corners", F.col("class").alias("component_id"))
+    rows = rows.withColumn("same", F.unhex(F.sha2(F.concat_ws("|", "width", "height", "nChannels", F.sha2("data", 256)), 256)))
+    # corners of a picture depend on what ``same`` is a hash of, so those of any one of equal pictures do
+    ids = written(rows.groupBy("image_id").agg(F.max("same").alias("same")), "ids")
+    whole = describe_all(rows).groupBy("same").agg(F.min("image_id").alias("at"), F.first("n_corners").alias("n_corners"), F.first("corners").alias("corners"))
+    groups = ids.groupBy("same").agg(F.min("image_id").alias("doc"))
+    whole = written(whole.join(groups, "same").select("same", "doc", "n_corners", "corners"), "whole")
+    rich = whole.where(F.col("n_corners") >= least)
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rich.select("doc", "n_corners", "corners").mapInArrow(spots, "key bigint, n_corners bigint, doc bigint")
+    keyed = keyed.repartition(tasks, "key").sortWithinPartitions("key", F.desc("n_corners"), "doc")
+    pairs = keyed.mapInArrow(heads_of, "doc bigint, head bigint").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= EVIDENCE).select("doc", "head")
+    pairs = written(pairs, "pairs")
+
+    wanted = pairs.select("doc").union(pairs.select("head")).distinct()
+    sets = written(rich.select("doc", "corners").join(wanted, "doc", "left_semi"), "sets")
+    stars = pairs.join(sets.toDF("doc", "x"), "doc").join(sets.toDF("head", "y"), "head")
+    stars = written(stars.mapInArrow(judged(least), "doc bigint, head bigint, odd boolean"), "stars")
+
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    crowd = stars.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("odd").cast("int")).alias("odds")).where("n > 1 and odds > 0")
+    crowd = crowd.select("head", parts("odds").alias("odd_parts"), parts("n").alias("all_parts"))
+    member = stars.join(crowd, "head")
+    spread = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = member.where("odd").select("head", spread("odd_parts").alias("i"), every("all_parts").alias("j"), F.lit(True).alias("odd"), "doc")
+    right = member.select("head", every("odd_parts").alias("i"), spread("all_parts").alias("j"), F.lit(False).alias("odd"), "doc")
+    cells = left.union(right).join(sets, "doc").repartition(tasks, "head", "i", "j").sortWithinPartitions("head", "i", "j")
+    more = cells.mapInArrow(linked(least), "a bigint, b bigint")
+
+    links = written(stars.where("not odd").select(F.col("doc").alias("a"), F.col("head").alias("b")).union(more), "found")
+    for done in (pairs, sets, stars):
+        forget(done)
+    classes = whole.select("same", "doc", "n_corners").join(components(links), F.col("doc") == F.col("node"), "left")
+    out = ids.join(classes, "same").select("image_id", "n_corners", F.coalesce("component_id", "doc").alias("component_id"))
     return out.withColumn("kept", F.col("image_id") == F.col("component_id"))
-
-
-def scene(seed: int, side: int = 96) -> np.ndarray:
-    """An invented picture: a slope of light, boxes and discs of different greys, and grain."""
-    r = np.random.default_rng(seed)
-    line = np.arange(side, dtype=np.float32)
-    slope = r.uniform(-0.4, 0.4, 2)
-    img = (90 + slope[0] * line[None, :] + slope[1] * line[:, None]).astype(np.float32)
-    shapes = r.uniform((0, 0, 4, 4, 20), (side, side, 16, 16, 230), (18, 5))
-    for k, (cy, cx, a, b, v) in enumerate(shapes.tolist()):
-        if k % 3:
-            img[int(max(0, cy - a)) : int(cy + a) + 1, int(max(0, cx - b)) : int(cx + b) + 1] = v
-        else:
-            t, l = int(max(0, cy - a)), int(max(0, cx - a))
-            part = img[t : int(cy + a) + 1, l : int(cx + a) + 1]
-            part[(line[: part.shape[0], None] + t - cy) ** 2 + (line[None, : part.shape[1]] + l - cx) ** 2 < a * a] = v
-    return np.clip(img + r.integers(-4, 5, img.shape, np.int8), 0, 255).astype(np.uint8)
-
-
-def page_pictures(pages: DataFrame) -> DataFrame:
-    """A picture for each page, since the tables hold none: (image_id, width, height, nChannels, data).
-
-    Pages 4 k + 3 show an edited copy of the picture of page 4 k + 2: cropped, brightened, with new grain.
-    """
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids = batch.column(0).slice(at, 256).to_pylist()
-                made = []
-                for page in ids:
-                    if page % 4 == 3:
-                        r = np.random.default_rng(page)
-                        top, left = r.integers(4, 16, 2)
-                        img = scene(page - 1)[top : top + 80, left : left + 80]
-                        made.append(np.clip(img * 0.92 + 12 + r.integers(-2, 3, img.shape, np.int8), 0, 255).astype(np.uint8))
-                    else:
-                        made.append(scene(page))
-                arrays = [pa.array(ids, pa.int64()), *[pa.array([m.shape[k] for m in made], pa.int32()) for k in (1, 0)], pa.array([1] * len(ids), pa.int32()), pa.array([m.tobytes() for m in made], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["image_id", "width", "height", "nChannels", "data"])
-
-    return pages.select("page_id").where("page_id is not null").mapInArrow(run, "image_id bigint, width int, height int, nChannels int, data binary")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, itq, langid, lines, media, minhash, mixing, suffix, tokencount, toxicity
+from . import bpe, itq, langid, lines, media, minhash, mixing, pictures, suffix, tokencount, toxicity
 from .common import table
 
 
@@ -15,7 +15,7 @@ def remainder(n: int):
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.copies(media.page_pictures(table(spark, sf_dir, "pages")))
+    return media.copies(pictures.page_pictures(table(spark, sf_dir, "pages")))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
