@@ -357,7 +357,7 @@ def test_one_corner_that_all_pictures_show_links_none(spark):
     few = len(jobs.getJobIdsForGroup(None)) - before
     before = len(jobs.getJobIdsForGroup(None))
     got = classes(spark, made)
-    assert len(jobs.getJobIdsForGroup(None)) - before <= few + 12  # rounds do not grow with the group
+    assert len(jobs.getJobIdsForGroup(None)) - before <= 2 * few  # passes are fixed; only the rounds of the components grow, by their logarithm
     assert np.mean([v == k for k, v in got.items()]) > 0.9
 
 
