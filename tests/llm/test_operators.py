@@ -186,7 +186,8 @@ def test_transforms_merge_without_sorting_again():
         assert [x.tolist() for x in suffix.repeated(parts, length)] == want
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block", [1024, 32])
+def test_embeddings(spark, monkeypatch, block):
     r = np.random.default_rng(2)
     v = r.normal(size=(300, 16))
     v[50:90] = v[0] + r.normal(size=(40, 16)) * 0.12  # a group of near copies
@@ -194,6 +195,7 @@ def test_embeddings(spark):
     data = [(k, x.tolist(), k) for k, x in enumerate(v)]
     data += [(400, None, 0), (401, [0.0] * 16, 0), (402, [float("nan")] * 16, 0), (403, [1.0] * 3, 0), (404, [float("inf")] + [1.0] * 15, 0), (None, [1.0] * 16, 0), data[0]]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, head int")
+    monkeypatch.setattr(itq, "BLOCK", block)
     got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in itq.near_duplicates(df, recall=0.9999).collect()}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     near = u @ u.T >= 0.9
@@ -219,6 +221,31 @@ def test_large_buckets_meet_in_blocks(spark, monkeypatch):
     assert all((x["n_links"], x["component_id"]) == (59, 0) for x in got)
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8])
+def test_codes_find_pairs_at_the_threshold(common):
+    r = np.random.default_rng(8)
+    n, dims = 6000, 64
+    axis = r.normal(size=dims)
+    x = r.normal(size=(n, dims))
+    x = itq.unit_rows(np.sqrt(1 - common) * itq.unit_rows(x) + np.sqrt(common) * axis / np.linalg.norm(axis))
+    cosine = r.uniform(0.9, 0.92, (1000, 1))
+    y = cosine * x[:1000] + np.sqrt(1 - cosine**2) * itq.partners(x[:1000], 0.0)
+    codes = itq.Codes(x[1000:5000], n, 0.9, 0.985)
+    keys, other = codes.keys(x), codes.keys(y)
+    apart = np.bitwise_count(codes.sketches(x[:1000]) ^ codes.sketches(y)).sum(1)
+    assert ((keys[:1000] == other).any(1) & (apart <= codes.apart)).mean() >= 0.97
+    some = codes.sketches(x[2000:3000])
+    passing = sum(np.bitwise_count(some[:, None, k] ^ some[None, :, k]).astype(int) for k in range(codes.words)) <= codes.apart
+    assert passing[np.triu_indices(1000, 1)].mean() < 0.02
+
+
+def test_vectors_of_other_lengths_are_searched_too(spark):
+    data = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [1.0, 0.0]), (6, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in itq.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3), 6: (0, 6)}
+
+
 def test_mixing(spark, odd, empty):
     r = random.Random(4)
     data = [(k, prose(r.randrange(1, 40), r=r) if k % 50 else None, "big" if k % 3 else f"s{k % 7}", "w") for k in range(900)] + [(5, "again", "big", "w"), (None, "no id", None, "w")]
