@@ -13,10 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 GRID = 32  # intervals that one round of the bisection looks at
 ROUNDS = 6
-PARTS = 64
 
 
 def draw(*parts: Column | str) -> Column:
@@ -91,12 +92,13 @@ def mixed(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_co
     """
     mix = mix or Mix()
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n"))
-    rows = rows.groupBy("doc_id", "source").agg(F.sum("n").alias("n_tokens"))
-    sources = plan(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), mix)
+    # texts are read once: all that follows works on these few figures and on one row a source
+    rows = written(rows.groupBy("doc_id", "source").agg(F.sum("n").alias("n_tokens")), "tokens")
+    totals = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), "sources")
+    sources = plan(totals, mix)
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    # one source may have a third of the rows: each part of it meets a copy of the source's plan
-    spread = sources.drop("n_docs", "n_tokens").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).join(spread, ["source", "part"]).drop("part")
+    # one row a source: Spark broadcasts it while its files are small, and splits hot sources of a sort-merge join otherwise
+    rows = rows.join(sources.drop("n_docs", "n_tokens"), "source")
     rows = rows.withColumn("block", F.pmod(draw(mix.seed, "block", named), F.col("blocks"))).withColumn("group", F.pmod(F.col("block"), F.col("groups")))
     rows = rows.withColumn("turn", draw(mix.seed, "doc", F.col("whole"), named))
 
