@@ -225,16 +225,19 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Rows: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded. One row per
     input row, repeated rows and ids included; a null or empty text has no tokens. Special
-    strings of the file inside a text become their ids, as the file's own library does. Other
-    columns are not read. The file must be at ``path`` on every executor.
+    strings of the file inside a text become their ids, as the file's own library does. Equal texts
+    of a batch are encoded once; very long ones are a batch of their own. Other columns are not read. The file must be at ``path`` on every executor.
     """
 
     def run(batches: Iterator) -> Iterator:
         bpe = model(path)
         for part in pieces(batches):
-            ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
+            column = part.column("text").to_pylist()
+            known = {t: bpe.encode(t) for t in set(column)}
+            plain = {t: bpe.decode(x) for t, x in known.items()}
+            ids = [known[t] for t in column]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())],
+                [part.column("doc_id").cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([plain[t] for t in column], pa.string())],
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
 

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is set once.
+    Where the session names none a temporary folder is set once, but only on one machine: executors
+    elsewhere would write their parts to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="latticework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -57,11 +61,19 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def pieces(batches: Iterator, n_rows: int = 512) -> Iterator:
-    """Arrow batches cut to ``n_rows`` rows, so that a task holds few texts at a time."""
+def pieces(batches: Iterator, n_rows: int = 512, n_bytes: int = 1 << 25) -> Iterator:
+    """Arrow batches cut to ``n_rows`` rows and about ``n_bytes`` bytes of text, so that a task holds few texts at a time; a longer text comes alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, n_rows):
-            yield batch.slice(at, n_rows)
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            before = total[at - 1] if at else 0
+            end = max(at + 1, min(at + n_rows, int(np.searchsorted(total, before + n_bytes, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def groups_of(batches: Iterator, keys: list[str]) -> Iterator[pa.Table]:

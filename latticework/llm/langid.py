@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fit_logistic, pieces, texts
+from .common import fit_logistic, pieces
 
 # Families of languages by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -158,19 +159,27 @@ def fit(df: DataFrame, per_language: int = 400, max_bytes: int = 20_000, familie
     return Model(sorted(languages), languages, pairs, weights, bias, slope)
 
 
-def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Predict the language of each whole text: rows (doc_id, lang_pred, score), one per input row.
+def identify_rows(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``df`` with the predicted language of each whole text, ``lang_pred``, and its ``score``; columns of these names are replaced.
 
-    ``lang_pred`` is a language of the training rows, or ``und`` with score 0 where the text is
-    null, empty or has no letter, or where nothing was learned. Other columns are not read.
+    Every row is judged by its own text: repeated rows and null ids keep their row. ``lang_pred`` is a language of the
+    training rows, or ``und`` with score 0 where the text is null, empty or has no letter, or where nothing was
+    learned. Very long texts are read whole, one at a time.
     """
+    rows = df.drop("lang_pred", "score")
 
     def run(batches: Iterator) -> Iterator:
         for part in pieces(batches):
-            words = part.column("text").to_pylist()
-            known = [model is not None and any(map(str.isalpha, t)) for t in words]
+            words = part.column(text_col).to_pylist()
+            known = [model is not None and t is not None and any(map(str.isalpha, t)) for t in words]
             told = iter(model.predict([t.encode() for t, k in zip(words, known, strict=True) if k]) if any(known) else [])
             out = [next(told) if k else ("und", 0.0) for k in known]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*part.schema.names, "lang_pred", "score"])
+
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+
+def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, lang_pred, score), one per input row, as ``identify_rows`` gives them. Other columns are not read."""
+    return identify_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model).select("doc_id", "lang_pred", "score")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, texts, written
+from .common import forget, pieces, texts, written
 
 GROUP = 256
 LONGEST = 4096  # windows in one run
@@ -183,17 +183,15 @@ def spans(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarr
 
 def _marks(length: int):
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out: list[list] = [[], [], [], [], [], [], []]
-                for doc, h, text in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    raw = text.encode()
-                    for a, n, code, twice in runs(raw, length):
-                        for column, x in zip(out, (doc, h, a, n, code, twice, blake2b(raw[a : a + n + length - 1], digest_size=16).digest()), strict=True):
-                            column.append(x)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "h", "first", "n", "anchor", "twice", "same"])
+        for part in pieces(batches):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for doc, h, text in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), part.column("text").to_pylist(), strict=True):
+                raw = text.encode()
+                for a, n, code, twice in runs(raw, length):
+                    for column, x in zip(out, (doc, h, a, n, code, twice, blake2b(raw[a : a + n + length - 1], digest_size=16).digest()), strict=True):
+                        column.append(x)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "h", "first", "n", "anchor", "twice", "same"])
 
     return run
 
@@ -202,19 +200,17 @@ def _cut(length: int):
     """Texts of the wanted runs of each document."""
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                out: list[list] = [[], [], [], [], [], [], [], []]
-                for row in part.to_pylist():
-                    raw = row["text"].encode()
-                    for r in row["wanted"]:
-                        x = (row["doc_id"], row["h"], r["first"], r["n"], r["anchor"], r["size"], r["once"], raw[r["first"] : r["first"] + r["n"] + length - 1])
-                        for column, y in zip(out, x, strict=True):
-                            column.append(y)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                names = ["doc_id", "h", "first", "n", "anchor", "size", "once", "part"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+        for part in pieces(batches, 128):
+            out: list[list] = [[], [], [], [], [], [], [], []]
+            for row in part.to_pylist():
+                raw = row["text"].encode()
+                for r in row["wanted"]:
+                    x = (row["doc_id"], row["h"], r["first"], r["n"], r["anchor"], r["size"], r["once"], raw[r["first"] : r["first"] + r["n"] + length - 1])
+                    for column, y in zip(out, x, strict=True):
+                        column.append(y)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+            names = ["doc_id", "h", "first", "n", "anchor", "size", "once", "part"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
     return run
 
@@ -308,25 +304,23 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     found = repeated_windows(docs, length).groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "n")).alias("found")).withColumnsRenamed({"doc_id": "id", "h": "g"})
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                size, gone, kept = [], [], []
-                for text, got in zip(part.column("text").to_pylist(), part.column("found"), strict=True):
-                    raw = text.encode()
-                    size.append(len(raw))
-                    if not got.is_valid:
-                        gone.append([])
-                        kept.append(raw)
-                        continue
-                    a, b = spans(got.values.field("first").to_numpy(), got.values.field("n").to_numpy(), length)
-                    gone.append([{"from": int(x), "to": int(y)} for x, y in zip(a, b, strict=True)])
-                    kept.append(b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)))
-                kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size, pa.int64()), pa.array([n - len(k) for n, k in zip(size, kept, strict=True)], pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
-                )
+        for part in pieces(batches, 256):
+            size, gone, kept = [], [], []
+            for text, got in zip(part.column("text").to_pylist(), part.column("found"), strict=True):
+                raw = text.encode()
+                size.append(len(raw))
+                if not got.is_valid:
+                    gone.append([])
+                    kept.append(raw)
+                    continue
+                a, b = spans(got.values.field("first").to_numpy(), got.values.field("n").to_numpy(), length)
+                gone.append([{"from": int(x), "to": int(y)} for x, y in zip(a, b, strict=True)])
+                kept.append(b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)))
+            kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array([n - len(k) for n, k in zip(size, kept, strict=True)], pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
+            )
 
     rows = docs.join(found, F.expr("doc_id <=> id and h = g"), "left").select("doc_id", "text", "found")
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<from:bigint,to:bigint>>, kept binary")
