@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,18 @@ SIDE = 96
 POSTER, EVERY = 1_000_003, 32  # seed of the picture that pages 32 k + 5 show, each edited in its own way
 
 
+@lru_cache(maxsize=8)
+def falling(side: int) -> np.ndarray:
+    """Strength of each frequency."""
+    f = np.hypot(np.fft.fftfreq(side)[:, None], np.fft.rfftfreq(side)[None, :])
+    f[0, 0] = 1
+    return (f**-1.1).astype(np.float32)
+
+
 def scene(seed: int, side: int = SIDE) -> np.ndarray:
     """A picture with detail of all sizes, as photographs have: noise whose strength falls with its frequency, and a few plain shapes."""
     r = np.random.default_rng(seed)
-    f = np.hypot(np.fft.fftfreq(side)[:, None], np.fft.rfftfreq(side)[None, :])
-    f[0, 0] = 1
-    wave = np.fft.rfft2(r.standard_normal((side, side), np.float32)) / f**1.1
+    wave = np.fft.rfft2(r.standard_normal((side, side), np.float32)) * falling(side)
     img = np.fft.irfft2(wave, (side, side))
     img = 120 + img * (38 / img.std())
     for top, left, high, wide, grey in r.integers((0, 0, 8, 8, 20), (side, side, 28, 28, 230), (4, 5)).tolist():
