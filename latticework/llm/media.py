@@ -31,6 +31,7 @@ LEVEL_STEP = 2.0**0.5  # factor in size from one level to the next
 TURNS = 64
 DIFFER = 32  # bits of a code in which two matching corners differ at most
 EVIDENCE = 2  # keys that two pictures share at least
+PLACE = 6  # bits below a key
 BLOCK = 256  # pictures on either side of a cell
 BATCH = 64  # pictures described, and pairs judged, at once
 CORNER = np.dtype([("y", "<u2"), ("x", "<u2"), ("level", "u1"), ("angle", "u1"), ("code", "u1", TABLES * TABLE_BITS // 8)])
@@ -162,13 +163,16 @@ def table_keys(rows: np.ndarray) -> np.ndarray:
 
 
 def spots(batches: Iterator) -> Iterator:
-    """(key, n, doc) for each key of each picture, once."""
+    """(spot, doc) for each key of each picture, once; a spot is the key with a place by number of corners below it, the most first."""
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH):
             part = batch.slice(at, BATCH)
             keys = [np.unique(table_keys(np.frombuffer(b, CORNER))) for b in part.column("corners").to_pylist()]
-            doc, n = (np.repeat(part.column(c).to_numpy(), [len(k) for k in keys]) for c in ("doc", "n_corners"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(n), pa.array(doc)], ["key", "n_corners", "doc"])
+            n = np.maximum(1, part.column("n_corners").to_numpy())
+            place = 63 - np.minimum(63, 4 * np.log2(n)).astype(np.int64)
+            size = [len(k) for k in keys]
+            spot = np.concatenate(keys) << PLACE | np.repeat(place, size)
+            yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(np.repeat(part.column("doc").to_numpy(), size))], ["spot", "doc"])
 
 
 def heads_of(batches: Iterator) -> Iterator:
@@ -177,7 +181,7 @@ def heads_of(batches: Iterator) -> Iterator:
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
+        key, doc = batch.column("spot").to_numpy() >> PLACE, batch.column("doc").to_numpy()
         new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
         first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
         heads = np.where(first < 0, head if head is not None else 0, doc[first])
@@ -291,8 +295,8 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
     whole = written(whole.join(groups, "same").select("same", "doc", "n_corners", "corners"), "whole")
     rich = whole.where(F.col("n_corners") >= least)
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rich.select("doc", "n_corners", "corners").mapInArrow(spots, "key bigint, n_corners bigint, doc bigint")
-    keyed = keyed.repartition(tasks, "key").sortWithinPartitions("key", F.desc("n_corners"), "doc")
+    keyed = rich.select("doc", "n_corners", "corners").mapInArrow(spots, "spot bigint, doc bigint")
+    keyed = keyed.repartition(tasks, F.shiftright("spot", PLACE)).sortWithinPartitions("spot", "doc")
     pairs = keyed.mapInArrow(heads_of, "doc bigint, head bigint").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= EVIDENCE).select("doc", "head")
     pairs = written(pairs, "pairs")
 
