@@ -67,11 +67,13 @@ def rgb_to_yuv(r: Column, g: Column, b: Column) -> list[Column]:
 
 
 def reduce_channels(values: list[Column], mode: str) -> Column:
-    """One value from channels: phase (of 2), magnitude, sum, mean or max."""
+    """One value from channels: phase (of 2), magnitude, sum, mean or max; rgb is the array of its 3."""
     if not values or (mode == "phase" and len(values) != 2) or (mode == "rgb" and len(values) != 3):
         raise ValueError(f"{mode} does not take {len(values)} channels")
     if mode == "phase":
         return F.atan2(values[1], values[0])
+    if mode == "rgb":
+        return F.array(*values)
     total = values[0] if mode != "magnitude" else values[0] * values[0]
     for v in values[1:]:
         total = F.greatest(total, v) if mode == "max" else total + (v * v if mode == "magnitude" else v)

@@ -41,7 +41,7 @@ def lucas_kanade(first: Grid, second: Grid, radius: int = 5, border: str = "refl
 
 
 def keypoints(g: Grid, layers: int = 5, sigma: float = 1.6, contrast: float = 5.0) -> DataFrame:
-    """Extrema of differences of Gaussians: (keys, axes, scale, response).
+    """Extrema of differences of Gaussians, blurred with reflected borders: (keys, axes, scale, strength of the response).
 
     A cell counts when its value is over (or under) all its neighbours in place and scale; a
     neighbour beyond the border repeats the cell itself, so border cells never count.
@@ -51,7 +51,7 @@ def keypoints(g: Grid, layers: int = 5, sigma: float = 1.6, contrast: float = 5.
     on = [*g.keys, *g.axes]
     rows = None
     for k, s in enumerate(sigmas):
-        blurred = stencil.gaussian_blur(wide, s).df.withColumnRenamed(g.value, f"b{k}")
+        blurred = stencil.gaussian_blur(wide, s, "reflect").df.withColumnRenamed(g.value, f"b{k}")
         rows = blurred if rows is None else rows.join(blurred, on)
     stack = F.array(*[F.col(f"b{k + 1}") - F.col(f"b{k}") for k in range(layers - 1)])
     # per middle layer the extremes of the three layers around it
@@ -75,15 +75,15 @@ def keypoints(g: Grid, layers: int = 5, sigma: float = 1.6, contrast: float = 5.
     for a, n in zip(g.axes, g.extent, strict=True):
         found = found.where(F.col(a).between(1, n - 2))
     scale = F.element_at(F.array(*map(F.lit, sigmas)), F.col("layer") + 1)
-    return found.select(*on, scale.alias("scale"), F.col("mid").alias("response"))
+    return found.select(*on, scale.alias("scale"), F.abs("mid").alias("response"))
 
 
 def descriptors(g: Grid, points: DataFrame, cells: int = 4, patch: float = 6.0) -> DataFrame:
     """Gradient histograms around keypoints (columns point, axes, scale): rows (point, descriptor).
 
     Keypoints meet the cells of their patch through blocks of the grid (a band join on block numbers), and each
-    patch is a group of bounded size. It is turned to the axes of its structure tensor, whose signs follow the mean
-    gradient; each of cells^2 fields sums the gradient by direction of the two axes.
+    patch, a disc, is a group of bounded size. It is turned to the axes of its structure tensor, whose signs follow the mean
+    gradient; each of cells^2 fields (the first turned axis fastest) sums the gradient by direction of the two axes.
     """
     if g.dims != 2:
         raise ValueError("descriptors take two dimensions")
@@ -94,7 +94,7 @@ def descriptors(g: Grid, points: DataFrame, cells: int = 4, patch: float = 6.0)
     near = points.select("point", F.col(a).alias("px"), F.col(b).alias("py"), (F.col("scale") * patch).alias("r"))
     for c, p in (("b0", "px"), ("b1", "py")):
         near = near.withColumn(c, F.explode(F.sequence(F.floor((F.col(p) - F.col("r")) / block), F.floor((F.col(p) + F.col("r")) / block))))
-    rows = near.join(slope, ["b0", "b1"]).where("abs(x - px) <= r and abs(y - py) <= r")
+    rows = near.join(slope, ["b0", "b1"]).where("(x - px) * (x - px) + (y - py) * (y - py) <= r * r")
 
     def describe(part: pd.DataFrame) -> pd.DataFrame:
         r = part["r"].iloc[0]
@@ -108,12 +108,11 @@ def descriptors(g: Grid, points: DataFrame, cells: int = 4, patch: float = 6.0)
         if np.linalg.det(axes) < 0:
             axes[:, -1] *= -1
         place, turned = d @ axes, gr @ axes
-        field = np.floor((place / r + 1) / 2 * cells).astype(int)
-        good = ((field >= 0) & (field < cells)).all(1)
+        field = np.clip(((place / r + 1) / 2 * cells).astype(int), 0, cells - 1)
         out = np.zeros((cells, cells, 4))
         for k in (0, 1):
             side = 2 * k + (turned[:, k] < 0)
-            np.add.at(out, (field[good, 0], field[good, 1], side[good]), (np.abs(turned[:, k]) * w)[good])
+            np.add.at(out, (field[:, 1], field[:, 0], side), np.abs(turned[:, k]) * w)
         flat = out.ravel()
         norm = np.linalg.norm(flat)
         return pd.DataFrame({"point": [part["point"].iloc[0]], "descriptor": [flat / norm if norm > 1e-12 else flat]})
@@ -121,13 +120,14 @@ def descriptors(g: Grid, points: DataFrame, cells: int = 4, patch: float = 6.0)
     return rows.groupBy("point").applyInPandas(describe, "point bigint, descriptor array<double>")
 
 
-def match(left: DataFrame, right: DataFrame, ratio: float = 0.8, name: str = "id", vector: str = "descriptor", blocks: int = 8) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, ratio: float = 0.8, name: str = "id", vector: str = "descriptor", block: int = 20_000) -> DataFrame:
     """Ratio-test matches (index0, index1, distance): the nearest right vector of each left one, if clearly nearer than the second.
 
-    All distances are needed, so both sides are dealt into blocks and every pair of blocks is one
+    All distances are needed, so both sides are dealt into blocks of about ``block`` vectors and every pair of blocks is one
     group; a group returns the two nearest of each left vector, and these are merged. Ties go to the
     smaller index; a single candidate is kept.
     """
+    blocks = max(2, -(-max(left.count(), right.count()) // block))
     a = left.select(F.col(name).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).withColumn("p", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     b = right.select(F.col(name).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).withColumn("q", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -138,10 +138,15 @@ def match(left: DataFrame, right: DataFrame, ratio: float = 0.8, name: str = "id
         vx, vy, j = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), y["i"].to_numpy()
         out = []
         for k in range(0, len(vx), 256):
-            d = np.sqrt(((vx[k : k + 256, None, :] - vy[None, :, :]) ** 2).sum(2))
-            best = np.argsort(d, axis=1, kind="stable")[:, :2]
+            part = vx[k : k + 256]
+            # a matrix product picks a few candidates; the exact distance of these decides, so rounding changes no answer
+            rough = (part * part).sum(1)[:, None] - 2 * part @ vy.T + (vy * vy).sum(1)[None, :]
+            few = np.sort(np.argpartition(rough, min(7, len(vy) - 1), axis=1)[:, :8], axis=1)
+            close = np.sqrt(((part[:, None, :] - vy[few]) ** 2).sum(2))
+            two = np.argsort(close, axis=1, kind="stable")[:, :2]
+            best, d = np.take_along_axis(few, two, 1), close
             i = np.repeat(x["i"].to_numpy()[k : k + 256], best.shape[1])
-            out.append(pd.DataFrame({"i": i, "j": j[best.ravel()], "d": np.take_along_axis(d, best, 1).ravel()}))
+            out.append(pd.DataFrame({"i": i, "j": j[best.ravel()], "d": np.take_along_axis(d, two, 1).ravel()}))
         return pd.concat(out)
 
     got = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(nearest, "i bigint, j bigint, d double")
@@ -151,12 +156,13 @@ def match(left: DataFrame, right: DataFrame, ratio: float = 0.8, name: str = "id
     return two.where(keep).select(F.col("i").alias("index0"), first["j"].alias("index1"), first["d"].alias("distance"))
 
 
-def spread_matches(g: Grid, moves: DataFrame, parts: int = 16) -> DataFrame:
+def spread_matches(g: Grid, moves: DataFrame, part_cells: int = 65_536) -> DataFrame:
     """Dense flow from sparse moves (order, x, y, d0, d1), weighted by inverse squared distance: (axes, u0, u1).
 
     A cell on a move takes the first one. Without moves the flow is 0. Every cell sums over every move: the
-    cells are dealt into ``parts`` groups, and each group gets a copy of the moves.
+    cells are dealt into groups of about ``part_cells``, and each group gets a copy of the moves.
     """
+    parts = max(8, -(-g.size // part_cells))
     a, b = g.axes
     cells = g.df.select(a, b).withColumn("part", F.pmod(F.xxhash64(a, b), F.lit(parts)))
     marked = moves.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))

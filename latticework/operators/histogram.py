@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,25 +65,26 @@ def otsu(g: Grid, bins: int = 256) -> DataFrame:
 
 
 def two_means(g: Grid, bins: int = 256, rounds: int = 100, tolerance: float = 1e-6) -> float:
-    """Threshold halfway between the means below and above it, iterated over bin centres. The histogram (``bins`` rows) is read by the driver."""
+    """Threshold halfway between the means below and above it, iterated over bin centres from the middle of the range; integers truncate. The histogram (``bins`` rows) is read by the driver."""
     rows = histogram(replace(g, keys=()), bins).collect()
     low, high = rows[0]["lo"], rows[0]["hi"]
     if high <= low:
         return low
     centre = {r["bin"]: low + (r["bin"] + 0.5) * (high - low) / bins for r in rows}
-    t = sum(centre[r["bin"]] * r["n"] for r in rows) / sum(r["n"] for r in rows)
+    t = (low + high) / 2
+    whole = math.trunc if dict(g.df.dtypes)[g.value] in INTEGRAL else float
     for _ in range(rounds):
         mean = []
         for side in (True, False):
             mine = [r for r in rows if (centre[r["bin"]] <= t) == side]
             if not mine:
-                return t
+                return whole(t)
             mean.append(sum(centre[r["bin"]] * r["n"] for r in mine) / sum(r["n"] for r in mine))
         new = sum(mean) / 2
         if abs(new - t) < tolerance:
-            return new
+            return whole(new)
         t = new
-    return t
+    return whole(t)
 
 
 def percentiles(g: Grid, *p: float) -> DataFrame:
@@ -90,11 +93,22 @@ def percentiles(g: Grid, *p: float) -> DataFrame:
 
 
 def k_means(g: Grid, k: int, rounds: int = 30) -> list[float]:
-    """Levels of one-dimensional k-means from evenly spread starts; ties go to the lower level. One aggregation a round."""
-    ends = g.df.agg(F.min(g.value).cast("double"), F.max(g.value).cast("double")).first()
+    """Levels of one-dimensional k-means from evenly spread starts; ties go to the lower level.
+
+    Cells are first counted by value, and a round aggregates these counts, which are kept once they are made.
+    """
+    counts = g.df.groupBy(F.col(g.value).alias("x")).agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _levels(counts, k, rounds)
+    finally:
+        counts.unpersist()
+
+
+def _levels(counts: DataFrame, k: int, rounds: int) -> list[float]:
+    ends = counts.agg(F.min("x").cast("double"), F.max("x").cast("double")).first()
     levels = [ends[0] + (j + 0.5) * (ends[1] - ends[0]) / k for j in range(k)]
     for _ in range(rounds):
-        got = {r["level"]: r["m"] for r in g.df.groupBy(nearest_level(F.col(g.value), levels).alias("level")).agg(F.avg(g.value).alias("m")).collect()}
+        got = {r["level"]: r["m"] for r in counts.groupBy(nearest_level(F.col("x"), levels).alias("level")).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m")).collect()}
         new = [got.get(j, levels[j]) for j in range(k)]
         if new == levels:
             break

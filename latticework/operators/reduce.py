@@ -36,7 +36,7 @@ def largest(g: Grid) -> DataFrame:
 
 
 def channels(g: Grid, axis: int | str, mode: str) -> Grid:
-    """Reduce a channel axis to one value: sum, mean, max, magnitude, or phase of two."""
+    """Reduce a channel axis to one value: sum, mean, max, magnitude, or phase of two; rgb puts three channels into an array."""
     k = g.axis(axis)
     v = F.col(g.value)
     if mode == "phase":
@@ -44,6 +44,10 @@ def channels(g: Grid, axis: int | str, mode: str) -> Grid:
             raise ValueError("phase takes 2 channels")
         pick = lambda c: F.max(F.when(F.col(g.axes[k]) == c, v))
         value = F.atan2(pick(1), pick(0))
+    elif mode == "rgb":
+        if g.extent[k] != 3:
+            raise ValueError("rgb takes 3 channels")
+        value = F.array(*[F.max(F.when(F.col(g.axes[k]) == c, v)) for c in range(3)])
     elif mode in ("sum", "mean", "max", "magnitude"):
         value = {"sum": F.sum(v), "mean": F.avg(v), "max": F.max(v), "magnitude": F.sqrt(F.sum(v.cast("double") * v))}[mode]
     else:

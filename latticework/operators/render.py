@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import hsv_to_rgb, truncated
@@ -16,10 +16,10 @@ from .interp import tapped
 
 
 def bar_chart(bars: Grid, width: int, height: int, on: int = 1, off: int = 0) -> Grid:
-    """Bars of truncated height value / largest * height on columns [i W / n, (i + 1) W / n - 1]; later bars cover earlier ones. Row 0 is the top."""
+    """Bars of truncated height value / largest * height on columns [i W / n, (i + 1) W / n - 1]; of bars in one column the last one over 0 is drawn. Row 0 is the top."""
     n = bars.extent[0]
     top = bars.df.agg(F.greatest(F.lit(0.0), F.max(F.col(bars.value).cast("double"))).alias("top"))
-    tall = bars.df.join(F.broadcast(top)).select(F.col(bars.axes[0]).cast("long").alias("bar"), F.when(F.col("top") > 0, truncated(F.col(bars.value) / F.col("top") * height, "int")).otherwise(0).alias("tall"))
+    tall = bars.df.where(F.col(bars.value) > 0).join(F.broadcast(top)).select(F.col(bars.axes[0]).cast("long").alias("bar"), F.when(F.col("top") > 0, truncated(F.col(bars.value) / F.col("top") * height, "int")).otherwise(0).alias("tall"))
     spans = tall.withColumn("x", F.explode(F.sequence(F.expr(f"bar * {width} div {n}"), F.greatest(F.expr(f"bar * {width} div {n}"), F.expr(f"(bar + 1) * {width} div {n} - 1")))))
     spans = spans.groupBy(F.col("x").cast("int").alias("x")).agg(F.max_by("tall", "bar").alias("tall"))
     cells = lattice(bars.df.sparkSession, (width, height), ("x", "y")).join(spans, "x", "left")
@@ -63,47 +63,65 @@ def line_points(x0, y0, x1, y1):
 
 
 def flow_to_arrows(flow: DataFrame, extent, spacing: int = 12, on: int = 255, cap: float = -1.0) -> Grid:
-    """Arrows on a grid of ``spacing``; lengths are 0.45 spacing for the longest flow, with a head of two strokes from length 1."""
+    """Arrows on a grid of ``spacing``; lengths are 0.45 spacing for the longest flow (or ``cap``, beyond which they do not grow), with a head of two strokes from length 1."""
     rows = flow_magnitude(flow).where(f"(i0 - {spacing // 2}) % {spacing} = 0 and (i1 - {spacing // 2}) % {spacing} = 0 and i0 >= {spacing // 2} and i1 >= {spacing // 2}")
     top = flow_magnitude(flow).agg(F.max("magnitude").alias("top"))
     rows = rows.join(F.broadcast(top)) if cap < 0 else rows.withColumn("top", F.lit(float(cap)))
     k = F.when(F.col("top") > 0, 0.45 * spacing / F.when(F.col("top") > 0, F.col("top"))).otherwise(0.0)
+    k = F.when((F.col("top") > 0) & (F.col("magnitude") > F.col("top")), k * F.col("top") / F.col("magnitude")).otherwise(k)
     x0, y0 = F.col("i0").cast("double"), F.col("i1").cast("double")
     rows = rows.withColumns({"x1": x0 + F.col("u0") * k, "y1": y0 + F.col("u1") * k, "len": F.col("magnitude") * k})
     x1, y1, back = F.col("x1"), F.col("y1"), F.atan2("u1", "u0") + math.pi
-    head = 0.35 * F.col("len")
+    head = F.least(F.lit(4.0), 0.4 * F.col("len"))  # fixed values: length and angle of a head
     strokes = [line_points(x0, y0, x1, y1)]
-    for side in (-0.5, 0.5):
+    for side in (-0.49, 0.49):
         strokes.append(F.when(F.col("len") >= 1, line_points(x1, y1, x1 + head * F.cos(back + side), y1 + head * F.sin(back + side))).otherwise(F.array().cast("array<struct<x:int,y:int>>")))
     spots = rows.select(F.explode(F.concat(*strokes)).alias("p")).select(F.col("p.x").alias("i0"), F.col("p.y").alias("i1")).where(f"i0 between 0 and {extent[0] - 1} and i1 between 0 and {extent[1] - 1}").distinct()
     return Grid(spots.withColumn("v", F.lit(on)), ("i0", "i1"), tuple(extent)).filled(0)
 
 
 def render_slice(g: Grid, start, end, low: float, high: float, most=(256, 256), fixed: dict[int, int] | None = None) -> Grid:
-    """A window of a plane, its values spread over 0..255, shrunk by a whole factor to at most ``most`` cells; never enlarged."""
+    """A window of a plane, its values spread over 0..255, shrunk by the whole factor that brings the nearer of its sides down to ``most``; never enlarged."""
     for axis in sorted(fixed or {}, reverse=True):
         g = g.slice(axis, fixed[axis])
     g = g.view(tuple(start), tuple(end))
     width = high - low
     value = F.round((F.greatest(F.lit(low), F.least(F.lit(high), F.col(g.value).cast("double"))) - low) / width * 255).cast("int") if width > 0 else F.lit(0)
     g = g.with_value(value)
-    factor = max(1, *[n // m for n, m in zip(g.extent, most, strict=True)])
+    factor = max(1, min(n // m for n, m in zip(g.extent, most, strict=True)))
     return stencil.downsample(g, factor) if factor > 1 else g
 
 
-def render_volume(rays: DataFrame, volume: Grid, opacity: float, steps: int = 96) -> DataFrame:
+def camera_rays(spark: SparkSession, extent, width: int, height: int, rotation=((1, 0, 0), (0, 1, 0), (0, 0, 1))) -> DataFrame:
+    """Parallel rays of a turned camera through a volume of three axes that fills the cube from -1 to 1: (pixel0, pixel1, o0.., d0.., len).
+
+    Origins and directions are in cells, and lengths in the cube, so that absorption does not depend on the extent.
+    """
+    x, y = (F.col("pixel0") + 0.5) / width * 2 - 1, (F.col("pixel1") + 0.5) / height * 2 - 1
+    long = math.sqrt(sum(r[2] ** 2 for r in rotation)) or 1.0
+    rows = lattice(spark, (width, height), ("pixel0", "pixel1"))
+    cols = []
+    for k, (r, n) in enumerate(zip(rotation, extent, strict=True)):
+        far = r[2] / long
+        cols += [(((x * r[0] + y * r[1] - far * math.sqrt(3)) * 0.5 + 0.5) * n - 0.5).alias(f"o{k}"), F.lit(far * 0.5 * n).alias(f"d{k}")]
+    return rows.select("pixel0", "pixel1", *cols, F.lit(2 * math.sqrt(3)).alias("len"))
+
+
+def render_volume(rays: DataFrame, volume: Grid, opacity: float, steps: int = 96, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Volume rendering along rays (pixel, o0.., d0.., len): front to back, absorption 1 - exp(-v opacity 12 dt), stopped at 0.98.
 
-    A pixel is a group of ``steps`` samples.
+    Values are the window from ``low`` to ``high`` spread over 0 to 1; an empty window is 0. Samples begin at the origin. A pixel is a
+    group of ``steps`` samples.
     """
     dt = F.col("len") / steps
     cols = [c for c in rays.columns if c.startswith("pixel")]
     rows = rays.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("dt", dt)
-    rows = rows.select(*cols, "k", "dt", *[(F.col(f"o{j}") + F.col(f"d{j}") * (F.col("k") + 0.5) * F.col("dt")).alias(f"c{j}") for j in range(volume.dims)])
-    inside = " and ".join(f"c{j} between 0 and {n - 1}" for j, n in enumerate(volume.extent))
+    rows = rows.select(*cols, "k", "dt", *[(F.col(f"o{j}") + F.col(f"d{j}") * F.col("k") * F.col("dt")).alias(f"c{j}") for j in range(volume.dims)])
+    inside = " and ".join(f"c{j} between -0.5 and {n - 0.5}" for j, n in enumerate(volume.extent))
     cells = volume.df.select(*[F.col(a).alias(f"i{j}") for j, a in enumerate(volume.axes)], F.col(volume.value).cast("double").alias("x"))
     values = tapped(rows.where(inside), volume.extent, "linear", "clamp").join(cells, [f"i{j}" for j in range(volume.dims)])
-    values = values.groupBy(*cols, "k", "dt").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    seen = (F.sum(F.col("w") * F.col("x")) - low) / (high - low) if high > low else F.lit(0.0)
+    values = values.groupBy(*cols, "k", "dt").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), seen)).alias("x"))
     got = values.groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct("k", "dt", "x"))).alias("s"))
     zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("a"))
 

@@ -20,6 +20,7 @@ from . import stencil
 from .histogram import k_means, nearest_level
 from .interp import half_away, tapped
 from .linalg import camera_centre
+from .prefix import boxes_around
 
 
 def rays(spark: SparkSession, views: list[np.ndarray], detectors) -> DataFrame:
@@ -70,11 +71,52 @@ def samples(table: DataFrame, extent, step: float = 1.0) -> DataFrame:
     return rows.select(*keep, "ds", *[(F.col("o")[k] + F.col("t") * F.col("d")[k]).alias(f"c{k}") for k in range(len(extent))])
 
 
-def system(table: DataFrame, extent, step: float = 1.0, kind: str = "linear") -> DataFrame:
-    """Entries of the system matrix: (view, u0, ..., i0, ..., a), one row per ray and cell."""
+def spread_of(rows: DataFrame, views: list[np.ndarray]) -> DataFrame:
+    """Samples with h0, h1, ...: half the size of a detector cell where the sample is, along each axis of the grid.
+
+    The movement of the detector place with the sample, and the direction of the ray, are inverted; for 2 and 3 dimensions.
+    """
+    d = np.asarray(views[0]).shape[1] - 1
+    centres = [camera_centre(np.asarray(m, float)) for m in views]
+    small = [(k, np.asarray(m, float).ravel().tolist(), c.tolist(), far) for k, (m, (c, far)) in enumerate(zip(views, centres, strict=True))]
+    table = rows.sparkSession.createDataFrame(small, "view int, m array<double>, e array<double>, far boolean")
+    rows = rows.join(F.broadcast(table), "view")  # one row with a small matrix for each view
+    c = [F.col(f"c{k}") for k in range(d)]
+    line = lambda r: sum((F.col("m")[r * (d + 1) + k] * c[k] for k in range(d)), F.col("m")[r * (d + 1) + d])
+    deep = line(d - 1)
+    slope = [[(F.col("m")[r * (d + 1) + k] - line(r) / deep * F.col("m")[(d - 1) * (d + 1) + k]) / deep for k in range(d)] for r in range(d - 1)]
+    way = [F.when(F.col("far"), F.col("e")[k]).otherwise(c[k] - F.col("e")[k]) for k in range(d)]
+    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+    if d == 2:
+        det = slope[0][0] * way[1] - slope[0][1] * way[0]
+        sizes = [F.abs(way[1]), F.abs(way[0])]
+    else:
+        one, two = cross(slope[1], way), cross(way, slope[0])
+        det = sum((slope[0][k] * one[k] for k in range(1, 3)), slope[0][0] * one[0])
+        sizes = [F.abs(x) + F.abs(y) for x, y in zip(one, two, strict=True)]
+    return rows.select("*", *[F.coalesce(F.try_divide(0.5 * x, F.abs(det)), F.lit(0.0)).alias(f"h{k}") for k, x in enumerate(sizes)]).drop("m", "e", "far")
+
+
+def system(table: DataFrame, extent, step: float = 1.0, kind: str = "linear", views: list[np.ndarray] | None = None) -> DataFrame:
+    """Entries of the system matrix: (view, u0, ..., i0, ..., a), one row per ray and cell.
+
+    With ``views`` samples are anti-aliased: where a detector cell spans more than one cell of the grid along any axis,
+    the mean over the box of its size takes the place of the interpolation.
+    """
     unit = [c for c in table.columns if c not in ("o", "d")]
-    taps = tapped(samples(table, extent, step), extent, kind, "clamp")
-    return taps.groupBy(*unit, *[f"i{k}" for k in range(len(extent))]).agg(F.sum(F.col("w") * F.col("ds")).alias("a"))
+    axes = [f"i{k}" for k in range(len(extent))]
+    rows = samples(table, extent, step)
+    if views is None:
+        taps = tapped(rows, extent, kind, "clamp").select(*unit, *axes, "w", "ds")
+    else:
+        rows = spread_of(rows, views)
+        wide = F.greatest(*[F.col(f"h{k}") for k in range(len(extent))]) > 0.5
+        taps = tapped(rows.where(~wide), extent, kind, "clamp").select(*unit, *axes, "w", "ds")
+        boxes = boxes_around(rows.where(wide), extent, [F.col(f"h{k}") for k in range(len(extent))])
+        for k, a in enumerate(axes):
+            boxes = boxes.withColumn(a, F.explode(F.sequence(F.col(f"lo{k}"), F.col(f"hi{k}"))))
+        taps = taps.unionByName(boxes.select(*unit, *axes, (1 / F.col("cells")).alias("w"), "ds"))
+    return taps.groupBy(*unit, *axes).agg(F.sum(F.col("w") * F.col("ds")).alias("a"))
 
 
 def forward(volume: Grid, entries: DataFrame, table: DataFrame) -> DataFrame:
@@ -114,6 +156,8 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="latticework-")
@@ -123,37 +167,49 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def landweber(readings: DataFrame, table: DataFrame, extent, rounds: int, rate: float, bound: Grid | None = None, start: Grid | None = None, step: float = 1.0, free: Grid | None = None) -> Grid:
-    """x <- x + rate * A'(y - A x), kept between 0 and ``bound``; only cells of ``free`` change if it is given."""
+def landweber(readings: DataFrame, table: DataFrame, extent, rounds: int, rate: float, bound: Grid | None = None, start: Grid | None = None, step: float = 1.0, free: Grid | None = None, views: list[np.ndarray] | None = None) -> Grid:
+    """x <- x + rate * A'(y - A x), kept between 0 and ``bound``; only cells of ``free`` change if it is given. With ``views`` anti-aliased."""
     axes = [f"i{k}" for k in range(len(extent))]
     unit = [c for c in table.columns if c not in ("o", "d")]
-    entries = kept(system(table, extent, step))
+    entries = kept(system(table, extent, step, views=views))
     x = start or Grid(lattice(table.sparkSession, extent).withColumn("v", F.lit(0.0)), tuple(axes), tuple(extent))
     for _ in range(rounds):
         now = forward(x, entries, table).withColumnRenamed("v", "p")
         rest = readings.join(now, unit).select(*unit, (F.col("v") - F.col("p")).alias("v"))
         change = back(rest, entries, extent).df.withColumnRenamed("v", "c")
-        rows = x.df.join(change, axes).withColumn("v", F.greatest(F.lit(0.0), F.col("v") + rate * F.col("c")) if free is None else F.col("v"))
+        rows = x.df.join(change, axes)
+        new = F.greatest(F.lit(0.0), F.col("v") + rate * F.col("c"))
+        if bound is not None:
+            rows = rows.join(bound.df.withColumnRenamed(bound.value, "top"), axes)
+            new = F.least(new, F.col("top"))
         if free is not None:
             rows = rows.join(free.df.withColumnRenamed(free.value, "free"), axes, "left")
-            rows = rows.withColumn("v", F.when(F.coalesce(F.col("free").cast("boolean"), F.lit(False)), F.greatest(F.lit(0.0), F.col("v") + rate * F.col("c"))).otherwise(F.col("v")))
-        if bound is not None:
-            rows = rows.join(bound.df.withColumnRenamed(bound.value, "top"), axes).withColumn("v", F.least("v", "top"))
+            new = F.when(F.coalesce(F.col("free").cast("boolean"), F.lit(False)), new).otherwise(F.col("v"))
+        rows = rows.select(*axes, new.alias("v"))
         x = replace(x, df=kept(rows.select(*axes, "v")))
     return x
 
 
-def discrete(x: Grid, readings: DataFrame, table: DataFrame, levels: int, rounds: int, inner: int, rate: float, step: float = 1.0) -> Grid:
-    """Discrete refinement: cells go to the nearest of ``levels`` levels; cells inside a level are frozen and the rest is refined."""
+def discrete(x: Grid, readings: DataFrame, table: DataFrame, levels: int, rounds: int, inner: int, rate: float, step: float = 1.0, bound: Grid | None = None, views: list[np.ndarray] | None = None) -> Grid:
+    """Discrete refinement of a reconstruction.
+
+    In each round cells whose neighbours all go to their nearest of ``levels`` levels are snapped to it and
+    stay so from then on; the others are refined by ``inner`` steps under ``bound``. Those that never
+    agree with their neighbours keep their values.
+    """
+    axes = list(x.axes)
+    frozen = x.df.select(*axes, F.lit(False).alias("frozen"))
     for _ in range(rounds):
         found = k_means(x, levels)
-        label = x.with_value(nearest_level(F.col(x.value), found))
-        # inside: all neighbours of the cross have the same label
-        cross = stencil.cross_kernel(x.dims, 3)
-        edge = stencil.gathered(label, cross, "clamp", low=F.min("x"), high=F.max("x"))
-        snapped = x.with_value(F.element_at(F.array(*map(F.lit, found)), nearest_level(F.col(x.value), found) + 1))
-        free = Grid(edge.select(*x.axes, (F.col("low") != F.col("high")).alias("v")), x.axes, x.extent)
-        x = landweber(readings, table, x.extent, inner, rate, None, replace(snapped, df=kept(snapped.df)), step, replace(free, df=kept(free.df)))
+        label = nearest_level(F.col(x.value), found)
+        edge = stencil.gathered(x.with_value(label), stencil.cross_kernel(x.dims, 3), "clamp", low=F.min("x"), high=F.max("x"))
+        state = x.df.join(edge.select(*axes, (F.col("low") == F.col("high")).alias("inside")), axes).join(frozen, axes)
+        snapped = F.element_at(F.array(*map(F.lit, found)), label + 1)
+        value = F.when(F.col("inside") & ~F.col("frozen"), snapped).otherwise(F.col(x.value))
+        state = kept(state.select(*axes, value.alias(x.value), (F.col("inside") | F.col("frozen")).alias("frozen")))
+        frozen = state.select(*axes, "frozen")
+        free = Grid(state.select(*axes, (~F.col("frozen")).alias("v")), x.axes, x.extent)
+        x = landweber(readings, table, x.extent, inner, rate, bound, replace(x, df=state.select(*axes, x.value)), step, free, views)
     return x
 
 

@@ -410,9 +410,12 @@ def otsu_value(s, d):
     return histogram.otsu(qd(s, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {QD}, r AS (SELECT min(v) AS lo, max(v) AS hi FROM qd),
+b AS (SELECT lo + (hi - lo) * (least(255, CAST(floor((v - lo) / CAST(hi - lo AS DOUBLE) * 256) AS INT)) + 0.5) / 256.0 AS x FROM qd, r),
+t(k, t) AS (SELECT 0, (lo + hi) / 2.0::DOUBLE FROM r UNION ALL SELECT k + 1, (SELECT (avg(x) FILTER (WHERE x <= t.t) + avg(x) FILTER (WHERE x > t.t)) / 2 FROM b) FROM t WHERE k < 40)
+SELECT trunc(t) AS threshold FROM t WHERE k = 40""")
 def two_means(s, d):
-    return s.createDataFrame([(round(histogram.two_means(qd(s, d)), 6),)], "threshold double")
+    return s.createDataFrame([(float(histogram.two_means(qd(s, d))),)], "threshold double")
 
 
 @query(f"WITH {QD} SELECT round(quantile_cont(v, 0.05), 9) AS p0, round(quantile_cont(v, 0.95), 9) AS p1 FROM qd")
@@ -619,11 +622,12 @@ def match_ratio_test(s, d):
 
 
 def blobs(s, d, shift: int = 0) -> Grid:
-    """Blurred spots of 64 x 64 cells, one for each of some nations; another frame shifts them."""
-    k = F.col("n_nationkey")
-    rows = table(s, d, "nation").where("n_nationkey % 4 = 0").select((k * 37 % 44 + 8 + shift).alias("a"), (k * 23 % 44 + 8 + shift).alias("b"))
+    """Orders binned by customer and date on 64 x 64 cells, as blurred shares of a fixed total; another frame shifts them."""
+    rows = table(s, d, "orders").select((F.col("o_custkey") * 37 % 11 * 4 + 9 + shift).alias("a"), (F.dayofyear("o_orderdate") % 7 * 7 + 8 + shift).alias("b"))
     spots = raster(rows, {"i0": (F.col("a"), 64), "i1": (F.col("b"), 64)})
-    return stencil.gaussian_blur(spots.mapped(lambda v: v * F.lit(8000.0)), 2.5)
+    total = spots.df.agg(F.sum("v").alias("total"))  # one row
+    shares = spots.df.join(F.broadcast(total)).select("i0", "i1", (F.col("v") / F.col("total") * 400_000.0).alias("v"))
+    return stencil.gaussian_blur(replace(spots, df=shares), 2.0)
 
 
 @query()
@@ -660,16 +664,16 @@ def scan(s) -> tuple[list[np.ndarray], DataFrame]:
 
 @query()
 def forward_project(s, d):
-    _, table_ = scan(s)
+    views, table_ = scan(s)
     g = qd(s, d)
-    return tomography.forward(g, tomography.system(table_, g.extent), table_).select("view", "u0", F.round("v", 6).alias("v"))
+    return tomography.forward(g, tomography.system(table_, g.extent, views=views), table_).select("view", "u0", F.round("v", 6).alias("v"))
 
 
 @query()
 def back_project(s, d):
-    _, table_ = scan(s)
+    views, table_ = scan(s)
     g = qd(s, d)
-    entries = tomography.system(table_, g.extent)
+    entries = tomography.system(table_, g.extent, views=views)
     return tomography.back(tomography.forward(g, entries, table_), entries, g.extent).mapped(lambda v: F.round(v, 4)).df
 
 
@@ -702,7 +706,7 @@ def windowed_heatmap(s, d):
 
 @query(f"WITH {EVCH}, c AS (SELECT i0 - 2 AS i0, i1 - 1 AS i1, round((greatest(0.0, least(10.0, CAST(v AS DOUBLE)))) / 10.0 * 255) AS v FROM evch WHERE c = 1 AND i0 BETWEEN 2 AND 21 AND i1 BETWEEN 1 AND 28) SELECT CAST(i0 // 2 AS INT) AS i0, CAST(i1 // 2 AS INT) AS i1, CAST(round(avg(v)) AS INT) AS v FROM c GROUP BY 1, 2")
 def render_slice(s, d):
-    return render.render_slice(evch(s, d), (2, 1), (21, 28), 0.0, 10.0, (10, 14), {0: 1}).df
+    return render.render_slice(evch(s, d), (2, 1), (21, 28), 0.0, 10.0, (5, 14), {0: 1}).df
 
 
 @query(f"WITH {QD} SELECT CAST(p_partkey AS BIGINT) AS point, v FROM part JOIN qd ON i0 = least(49, p_partkey % 60) AND i1 = least(10, p_partkey % 13)")
@@ -713,9 +717,9 @@ def query_value(s, d):
 
 @query()
 def render_volume(s, d):
-    g = qdt(s, d).mapped(lambda v: v.cast("double") / 100)
-    rays = s.range(50 * 11).select((F.col("id") % 50).cast("int").alias("pixel0"), (F.expr("id div 50")).cast("int").alias("pixel1"), (F.col("id") % 50).cast("double").alias("o0"), F.expr("id div 50").cast("double").alias("o1"), F.lit(0.0).alias("o2"), F.lit(0.0).alias("d0"), F.lit(0.0).alias("d1"), F.lit(1.0).alias("d2"), F.lit(8.0).alias("len"))
-    return render.render_volume(rays, g, 0.05).select("pixel0", "pixel1", F.round("color", 6).alias("color"), F.round("alpha", 6).alias("alpha"))
+    g = qdt(s, d).mapped(lambda v: v.cast("double"))
+    rays = render.camera_rays(s, g.extent, 40, 22, ((1, 0, 0), (0, 0.8, 0.6), (0, -0.6, 0.8)))
+    return render.render_volume(rays, g, 0.6, low=0.0, high=40.0).select("pixel0", "pixel1", F.round("color", 6).alias("color"), F.round("alpha", 6).alias("alpha"))
 
 
 # ---- the ring buffer, as a table
