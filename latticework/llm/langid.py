@@ -109,16 +109,18 @@ class Model:
         return lang, float(p * q)
 
 
-def fit(df: DataFrame, per_language: int = 400, max_bytes: int = 20_000, families: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", use: Column | None = None) -> Model | None:
+def fit(df: DataFrame, per_language: int = 400, max_chars: int = 20_000, families: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", use: Column | None = None) -> Model | None:
     """Train on a bounded sample of the rows of ``df`` that satisfy ``use`` and have text and language.
 
-    About ``per_language`` rows of each language are drawn by a hash of the id, from texts of at
-    most ``max_bytes`` bytes; their trigram counts (not their texts) reach the driver. None if
+    About ``per_language`` rows of each language are drawn by a hash of the id; of a text of more than ``max_chars``
+    characters a piece of that length counts, from a place drawn by the hash. Trigram counts (not texts) reach the driver. None if
     no language has a usable row; one language alone is then always predicted.
     """
     home = {lang: name for name, langs in (families or FAMILIES).items() for lang in langs}
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if use is None else use).alias("use"))
-    rows = rows.where("use and text is not null and lang is not null").where(F.octet_length("text").between(1, max_bytes))
+    start = 1 + F.pmod(F.xxhash64(id_col), F.greatest(F.lit(1), F.length(text_col) - max_chars + 1))
+    piece = F.substring(F.col(text_col), start.cast("int"), F.lit(max_chars))
+    rows = df.select(F.col(id_col).alias("doc_id"), piece.alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if use is None else use).alias("use"))
+    rows = rows.where("use and text is not null and lang is not null").where(F.octet_length("text") > 0)
     counts = dict(rows.groupBy("lang").count().collect())
     if not counts:
         return None

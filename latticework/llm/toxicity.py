@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fit_logistic, pieces, texts
 
-LEVEL = 3
+LEVEL = 9
 THRESHOLDS = (2, 3, 4, 5)
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -62,14 +62,14 @@ class Model:
     ordinary: bytes
     toxic: bytes
     size: int
-    coef: np.ndarray = field(default_factory=lambda: np.zeros(4 + len(THRESHOLDS)))
+    coef: np.ndarray = field(default_factory=lambda: np.zeros(4 + 2 * len(THRESHOLDS)))
     bias: float = -1.0
 
     def figures(self, raw: bytes) -> list[float]:
         plain, toxic = compressor(self.ordinary).compress, compressor(self.toxic).compress
         gain = np.array([len(plain(w)) - len(toxic(w)) for w in windows(raw, self.size)], float)
         top = np.sort(gain)[-3:]
-        return [gain.mean(), gain.max(), top.mean(), np.log1p(len(gain)), *[(gain >= t).mean() for t in THRESHOLDS]]
+        return [gain.mean(), gain.max(), top.mean(), np.log1p(len(gain)), *[(gain >= t).mean() for t in THRESHOLDS], *[np.log1p((gain >= t).sum()) for t in THRESHOLDS]]
 
     def score(self, raws: list[bytes]) -> np.ndarray:
         x = np.array([self.figures(r) for r in raws]).reshape(len(raws), -1)
@@ -109,6 +109,44 @@ def dictionaries(raw: list[bytes], y: np.ndarray, use: np.ndarray, size: int, ro
     return Model(common, common + special, size)
 
 
+def score(self, raws: list[bytes]) -> np.ndarray:
+        x = np.array([self.figures(r) for r in raws]).reshape(len(raws), -1)
+        return 1 / (1 + np.exp(-np.clip(x @ self.coef + self.bias, -30, 30)))
+
+
+def telling_words(toxic: list[bytes], ordinary: list[bytes], z_least: float, ratio: float) -> set[bytes]:
+    """Words far commoner in the toxic than in the ordinary documents.
+
+    Each word counts once for each pair of neighbours it has, so that near copies of one document count once.
+    """
+
+    def spread(docs: list[bytes]) -> Counter:
+        seen: set[tuple[bytes, ...]] = set()
+        for d in docs:
+            words = [b"", *WORD.findall(d.lower()), b""]
+            seen.update(zip(words, words[1:], words[2:], strict=False))
+        return Counter(w for _, w, _ in seen)
+
+    a, b = spread(toxic), spread(ordinary)
+    n, m = a.total(), b.total()
+    out = set()
+    for w, k in a.items():
+        p = (k + b[w]) / (n + m)
+        if k / n >= ratio * (b[w] + 1) / (m + 1) and (k / n - b[w] / m) / np.sqrt(p * (1 / n + 1 / m)) >= z_least:
+            out.add(w)
+    return out
+
+
+def dictionaries(raw: list[bytes], y: np.ndarray, use: np.ndarray, size: int, room: int) -> Model:
+    """The two dictionaries of the texts that ``use`` marks; the score is not set."""
+    toxic, ordinary = ([raw[k] for k in np.flatnonzero((y == c) & use)] for c in (1, 0))
+    telling = telling_words(toxic, ordinary, 5.0, 8.0) or telling_words(toxic, ordinary, 1.0, 2.0)
+    spots = [b" " + w + b" " for d in toxic for w in WORD.findall(d.lower()) if w in telling]
+    common = trained([w for d in ordinary for w in windows(d, 4 * size)], room)
+    special = trained([b"".join(spots[k : k + 4]) for k in range(0, len(spots), 4)], room // 4)
+    return Model(common, common + special, size)
+
+
 def fit(df: DataFrame, labels: DataFrame, use: Column, per_class: int = 4000, max_bytes: int = 20_000, size: int = 64, dictionary: int = 8192, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on a bounded sample of labelled rows.
 
@@ -146,7 +184,8 @@ def fit(df: DataFrame, labels: DataFrame, use: Column, per_class: int = 4000, ma
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score each whole text: rows (doc_id, score, predicted), one per input row, score in 0 to 1.
 
-    A null or empty text is one empty window. Other columns are not read.
+    A null or empty text is one empty window; texts are read whole, very long ones one at a time. Rows with one id, a null id
+    or equal texts have a row each. Other columns are not read.
     """
 
     def run(batches: Iterator) -> Iterator:
