@@ -1,14 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of line keys (two independent 64-bit hashes), each with the number of documents that
-hold it and the largest of them, sorted by key. Each batch of documents adds one run to level
-0; when a level holds ``fanout`` runs they are merged into one run of the next level. A line is
-looked up in all runs at once: the lines whose key is held by enough documents, but not
-by theirs as the largest, are found by a join, and what is left (the anti-join) stays.
+A run is a table of line keys (two independent 64-bit hashes) sorted by key. Documents come in batches,
+the largest ids first, and the keys of each batch are anti-joined against the runs before they are added:
+a key that no run has is new, and the largest id of the batch that holds it is the one that keeps its
+lines; of a key that the runs have, every line of the batch has a larger holder, and only the number of its
+documents is added. Each batch adds one run to level 0; when a level holds ``fanout`` runs they are merged
+into one run of the next level. Whether a key is common is known after the last batch, so the lines that
+have a larger holder are then looked up once among the common keys, and what is left stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import pairwise
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -36,16 +40,24 @@ class LineRuns:
     def __init__(self, fanout: int = 2):
         self.fanout, self.levels = fanout, []
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.union(r)
-        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def _rows(self, runs: list[DataFrame] | None = None) -> DataFrame:
+        """The rows of ``runs``, or of all."""
+        return reduce(DataFrame.union, runs or [r for level in self.levels for r in level])
+
+    def _merged(self, runs: list[DataFrame] | None = None) -> DataFrame:
+        return self._rows(runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+
+    def anti_join(self, keys: DataFrame) -> DataFrame:
+        """``keys`` with last_doc only where no run has the key. A key is new in one run only, so the join repeats no row."""
+        if not self.levels:
+            return keys
+        old = self._rows().where("last_doc is not null").select(*KEY, F.lit(True).alias("old"))
+        return keys.join(old, KEY, "left").select(*KEY, "n_docs", F.when(F.col("old").isNull(), F.col("last_doc")).alias("last_doc"))
 
     def add(self, occurrences: DataFrame) -> None:
-        """Add the keys of one batch: rows (doc_id, h1, h2), one for each document and key. A document comes in one batch only."""
-        run = occurrences.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        self._put(written(run.sortWithinPartitions(*KEY), "run"), 0)
+        """Add the keys of one batch: rows (doc_id, h1, h2), one for each document and key. Its ids are below those of all batches before."""
+        keys = occurrences.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        self._put(written(self.anti_join(keys).sortWithinPartitions(*KEY), "run"), 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
         if level == len(self.levels):
@@ -60,8 +72,7 @@ class LineRuns:
 
     def common(self, min_docs: int) -> DataFrame:
         """Keys that at least ``min_docs`` documents hold, over all runs."""
-        runs = [r for level in self.levels for r in level]
-        rows = self._merged(runs) if len(runs) > 1 else runs[0]
+        rows = self._rows() if sum(map(len, self.levels)) == 1 else self._merged()
         return rows.where(F.col("n_docs") >= min_docs)
 
 
@@ -87,7 +98,7 @@ def drop_common_lines(df: DataFrame, min_docs: int = 5, batches: int = 4, fanout
     A line's key is the line without white space at its ends and with A-Z lowered. Keys of at least
     40 code points in at least ``min_docs`` documents lose all their lines but those of the
     largest id that holds them. A null or empty text is one empty line. Rows with one id count as
-    one document, and rows with a null id lose nothing. Columns of ``df`` keep their names and values; if
+    one document, and rows with a null id lose nothing; ids are numbers. Columns of ``df`` keep their names and values; if
     n_lines or n_dropped exist already they are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -95,8 +106,11 @@ def drop_common_lines(df: DataFrame, min_docs: int = 5, batches: int = 4, fanout
     found = found.where("doc_id is not null and k is not null").select("doc_id", "k.h1", "k.h2").distinct()
     occurrences = written(found, "lines")
     runs = LineRuns(fanout)
-    for k in range(batches):
-        runs.add(occurrences.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    cuts = occurrences.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    ends = [None, *sorted(set(cuts or []), reverse=True), None]
+    for high, low in pairwise(ends):
+        at = F.lit(True) if high is None else F.col("doc_id") <= high
+        runs.add(occurrences.where(at if low is None else at & (F.col("doc_id") > low)))
     gone = doomed(occurrences, runs.common(min_docs)).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__id")
     joined = df.join(gone, F.col(id_col) == F.col("__id"), "left")
