@@ -77,6 +77,11 @@ def corners(img: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def shrunk(img: np.ndarray, factor: float) -> np.ndarray:
     """A stack of pictures made smaller by ``factor`` along both sides; each cell is the mean of the area it covers."""
     for axis in (1, 2):
+        if factor == 2:
+            size = img.shape[axis] // 2 * 2
+            even, odd = ((slice(None),) * axis + (slice(k, size, 2),) for k in (0, 1))
+            img = (img[even] + img[odd]) / 2
+            continue
         edge = np.arange(int(img.shape[axis] / factor + 1e-9) + 1) * factor
         low = np.minimum(edge.astype(int), img.shape[axis] - 1)
         total = np.insert(np.cumsum(img, axis=axis, dtype=float), 0, 0, axis=axis)
@@ -277,8 +282,8 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
 
     ``df`` has Spark's image columns (width, height, nChannels, data) beside the id. Rows
     (image_id, n_corners, component_id, kept), one per id; a null id is left out. Pictures that are
-    null, empty, of wrong size or without corners link with nothing; equal ones are put together first. Of
-    rows with one id the largest by a hash of its bytes counts. Other columns are not read.
+    null, empty, of wrong size or without corners link with nothing but equal ones; equal ones are put together first.
+    Of rows with one id the largest by a hash of its bytes counts. Other columns are not read.
 
     Two pictures are candidates when they share EVIDENCE keys with each other and with a common head, and are linked when
     ``least`` corners on either side match in all but DIFFER bits and agree on scale, turn and shift. All
@@ -288,20 +293,22 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("image_id"), "width", "height", "nChannels", "data").where("image_id is not null")
     rows = rows.withColumn("same", F.unhex(F.sha2(F.concat_ws("|", "width", "height", "nChannels", F.sha2("data", 256)), 256)))
-    # corners of a picture depend on what ``same`` is a hash of, so those of any one of equal pictures do
-    ids = written(rows.groupBy("image_id").agg(F.max("same").alias("same")), "ids")
-    whole = describe_all(rows).groupBy("same").agg(F.min("image_id").alias("at"), F.first("n_corners").alias("n_corners"), F.first("corners").alias("corners"))
-    groups = ids.groupBy("same").agg(F.min("image_id").alias("doc"))
-    whole = written(whole.join(groups, "same").select("same", "doc", "n_corners", "corners"), "whole")
-    rich = whole.where(F.col("n_corners") >= least)
+    # pictures are read and described once, and their corners are written without a shuffle; ``row`` is fixed by the files
+    described = written(describe_all(rows).withColumn("row", F.monotonically_increasing_id()), "described")
+    ids = described.groupBy("image_id").agg(F.max(F.struct("same", "row", "n_corners")).alias("r"))
+    ids = written(ids.select("image_id", "r.*"), "ids")
+    groups = written(ids.groupBy("same").agg(F.min(F.struct("image_id", "row")).alias("r")).select("same", F.col("r.image_id").alias("doc"), "r.row"), "groups")
+    # rows outdone by another of their id or equal to another picture; where they are few Spark broadcasts them by the size of their file
+    spare = written(described.select("row").join(groups.select("row"), "row", "left_anti"), "spare")
+    rich = described.where(F.col("n_corners") >= least).join(spare, "row", "left_anti").select(F.col("image_id").alias("doc"), "n_corners", "corners")
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rich.select("doc", "n_corners", "corners").mapInArrow(spots, "spot bigint, doc bigint")
+    keyed = rich.mapInArrow(spots, "spot bigint, doc bigint")
     keyed = keyed.repartition(tasks, F.shiftright("spot", PLACE)).sortWithinPartitions("spot", "doc")
     pairs = keyed.mapInArrow(heads_of, "doc bigint, head bigint").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= EVIDENCE).select("doc", "head")
     pairs = written(pairs, "pairs")
 
-    wanted = pairs.select("doc").union(pairs.select("head")).distinct()
-    sets = written(rich.select("doc", "corners").join(wanted, "doc", "left_semi"), "sets")
+    wanted = written(pairs.select("doc").union(pairs.select("head")).distinct(), "wanted")
+    sets = written(rich.join(wanted, "doc", "left_semi").select("doc", "corners"), "sets")
     stars = pairs.join(sets.toDF("doc", "x"), "doc").join(sets.toDF("head", "y"), "head")
     stars = written(stars.mapInArrow(judged(least), "doc bigint, head bigint, odd boolean"), "stars")
 
@@ -317,8 +324,8 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
     more = cells.mapInArrow(linked(least), "a bigint, b bigint")
 
     links = written(stars.where("not odd").select(F.col("doc").alias("a"), F.col("head").alias("b")).union(more), "found")
-    for done in (pairs, sets, stars):
+    for done in (described, spare, pairs, wanted, sets, stars):
         forget(done)
-    classes = whole.select("same", "doc", "n_corners").join(components(links), F.col("doc") == F.col("node"), "left")
-    out = ids.join(classes, "same").select("image_id", "n_corners", F.coalesce("component_id", "doc").alias("component_id"))
+    classes = groups.join(components(links), F.col("doc") == F.col("node"), "left").select("same", F.coalesce("component_id", "doc").alias("component_id"))
+    out = ids.join(classes, "same").select("image_id", "n_corners", "component_id")
     return out.withColumn("kept", F.col("image_id") == F.col("component_id"))

@@ -318,8 +318,11 @@ def test_pictures(spark):
     df = pictures.page_pictures(pages)
     odd = spark.createDataFrame([(100, None, None, None, None), (101, 4, 4, 1, bytearray(3)), (102, 64, 64, 1, bytearray(4096)), (None, 4, 4, 1, bytearray(16))], df.schema)
     both = df.union(odd).union(df.where("image_id = 9")).union(df.where("image_id = 10").withColumn("image_id", F.lit(110).cast("long"))).withColumn("key", F.lit("x"))
+    both = both.union(both.where("image_id = 12").withColumn("image_id", F.lit(20).cast("long")))  # two pictures under one id
     got = {r["image_id"]: r["component_id"] for r in media.copies(both).collect()}
     want = {k: k - 1 if k % 8 == 3 else 5 if k % 32 == 5 else k for k in range(72)} | {100: 100, 101: 101, 102: 102, 110: 10}
+    assert got[20] in (12, 20)
+    want[20] = got[20]
     # a picture scaled by 0.75 falls between two levels, so a few of them are missed
     wrong = {k for k in want if got[k] != want[k]}
     assert got.keys() == want.keys() and wrong <= {k for k in range(72) if k % 8 == 3 and k // 8 % 5 == 3 or k % 32 == 5 and k // 32 % 5 == 3}
