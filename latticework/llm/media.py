@@ -34,6 +34,7 @@ EVIDENCE = 2  # keys that two pictures share at least
 PLACE = 6  # bits below a key
 BLOCK = 256  # pictures on either side of a cell
 BATCH = 64  # pictures described, and pairs judged, at once
+PACK = 1024  # keys in one row at most while they are shuffled
 CORNER = np.dtype([("y", "<u2"), ("x", "<u2"), ("level", "u1"), ("angle", "u1"), ("code", "u1", TABLES * TABLE_BITS // 8)])
 
 _random = np.random.default_rng(77)
@@ -167,17 +168,49 @@ def table_keys(rows: np.ndarray) -> np.ndarray:
     return parts @ (1 << 8 * np.arange(TABLE_BITS // 8, dtype=np.int64)) | np.arange(TABLES, dtype=np.int64) << TABLE_BITS
 
 
-def spots(batches: Iterator) -> Iterator:
-    """(spot, doc) for each key of each picture, once; a spot is the key with a place by number of corners below it, the most first."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            part = batch.slice(at, BATCH)
-            keys = [np.unique(table_keys(np.frombuffer(b, CORNER))) for b in part.column("corners").to_pylist()]
-            n = np.maximum(1, part.column("n_corners").to_numpy())
+def spots(parts: int):
+    """(part, n, docs, spots): the keys of each picture, once, those of a batch and a part in one row (PACK to a row).
+
+    A spot is the key with a place by number of corners below it, the most first; its part follows from the key.
+    Docs stand in ascending order, each as its distance from the one before in as few bytes as the largest distance needs.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            keys = [np.unique(table_keys(np.frombuffer(b, CORNER))) for b in batch.column("corners").to_pylist()]
+            if not any(map(len, keys)):
+                continue
+            n = np.maximum(1, batch.column("n_corners").to_numpy())
             place = 63 - np.minimum(63, 4 * np.log2(n)).astype(np.int64)
             size = [len(k) for k in keys]
-            spot = np.concatenate(keys) << PLACE | np.repeat(place, size)
-            yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(np.repeat(part.column("doc").to_numpy(), size))], ["spot", "doc"])
+            key, doc = np.concatenate(keys), np.repeat(batch.column("doc").to_numpy(), size)
+            spot = key << PLACE | np.repeat(place, size)
+            part = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
+            order = np.lexsort((doc, part))
+            part, doc, spot = part[order], doc[order], spot[order]
+            edge = np.union1d(np.flatnonzero(np.diff(part)) + 1, np.arange(0, len(part), PACK)).tolist()
+            out = []
+            for a, b in zip(edge, [*edge[1:], len(part)], strict=True):
+                apart = np.diff(doc[a:b].astype(np.uint64))  # no sign: distances of far ids fit too
+                width = np.min_scalar_type(int(apart.max())) if len(apart) else np.dtype(np.uint8)
+                out.append((int(part[a]), b - a, doc[a:a + 1].tobytes() + apart.astype(width).tobytes(), spot[a:b].tobytes()))
+            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["part", "n", "docs", "spots"])
+
+    return run
+
+
+def spread_spots(batches: Iterator) -> Iterator:
+    """(spot, doc) of the rows of ``spots``, row by row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            doc = []
+            for n, packed in zip(part.column("n").to_pylist(), part.column("docs").to_pylist(), strict=True):
+                apart = np.frombuffer(packed, f"<u{(len(packed) - 8) // (n - 1)}", offset=8) if n > 1 else []
+                doc.append(np.cumsum(np.concatenate([np.frombuffer(packed, np.uint64, 1), np.asarray(apart, np.uint64)])))
+            spot = np.frombuffer(b"".join(part.column("spots").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(np.concatenate(doc).view(np.int64))], ["spot", "doc"])
 
 
 def heads_of(batches: Iterator) -> Iterator:
@@ -302,8 +335,8 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
     spare = written(described.select("row").join(groups.select("row"), "row", "left_anti"), "spare")
     rich = described.where(F.col("n_corners") >= least).join(spare, "row", "left_anti").select(F.col("image_id").alias("doc"), "n_corners", "corners")
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rich.mapInArrow(spots, "spot bigint, doc bigint")
-    keyed = keyed.repartition(tasks, F.shiftright("spot", PLACE)).sortWithinPartitions("spot", "doc")
+    keyed = rich.mapInArrow(spots(8 * tasks), "part int, n int, docs binary, spots binary").repartition(tasks, "part")
+    keyed = keyed.mapInArrow(spread_spots, "spot bigint, doc bigint").sortWithinPartitions("spot", "doc")
     pairs = keyed.mapInArrow(heads_of, "doc bigint, head bigint").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= EVIDENCE).select("doc", "head")
     pairs = written(pairs, "pairs")
 
