@@ -15,6 +15,7 @@ over the table is fixed, and no pairs inside a group are written.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,21 @@ ACROSS = np.rint(TESTS[..., 1] * np.cos(_turn) - TESTS[..., 0] * np.sin(_turn)).
 DISC = np.array([(y, x) for y in range(-7, 8) for x in range(-7, 8) if x * x + y * y <= 49])
 
 
+def packed(rows: np.ndarray) -> bytes:
+    """CORNER records field by field: high bytes and levels stand in runs, which files and shuffles compress."""
+    high = [(rows[name] >> shift).astype(np.uint8).tobytes() for name in ("y", "x") for shift in (0, 8)]
+    return b"".join([*high, *(rows[name].tobytes() for name in ("level", "angle", "code"))])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // CORNER.itemsize
+    rows, flat = np.empty(n, CORNER), np.frombuffer(data, np.uint8)
+    plane = flat[: 6 * n].reshape(6, n).astype(np.uint16)
+    rows["y"], rows["x"] = plane[0] | plane[1] << 8, plane[2] | plane[3] << 8
+    rows["level"], rows["angle"], rows["code"] = plane[4], plane[5], flat[6 * n :].reshape(n, *CORNER["code"].shape)
+    return rows
+
+
 def slid(a: np.ndarray, n: int, join: np.ufunc) -> np.ndarray:
     """``join`` (add or maximum) over squares of n cells of each picture of a stack; sides shrink by n - 1."""
     for axis in (1, 2):
@@ -137,7 +153,7 @@ def grey(width: int, height: int, channels: int, data: bytes) -> np.ndarray | No
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """Corners of each picture as CORNER records in one binary: (image_id, same, n_corners, corners)."""
+    """Corners of each picture, ``packed``: (image_id, same, n_corners, corners)."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -156,7 +172,7 @@ def describe_all(df: DataFrame) -> DataFrame:
                             order = np.argsort(z, kind="stable")
                             found = np.split(rows[order], np.searchsorted(z[order], np.arange(1, len(part))))
                         arrays = [pa.array([s[0] for s in part], pa.int64()), pa.array([s[1] for s in part], pa.binary())]
-                        arrays += [pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
+                        arrays += [pa.array([len(f) for f in found], pa.int64()), pa.array([packed(f) for f in found], pa.binary())]
                         yield pa.RecordBatch.from_arrays(arrays, ["image_id", "same", "n_corners", "corners"])
 
     return df.mapInArrow(run, "image_id bigint, same binary, n_corners bigint, corners binary")
@@ -169,33 +185,36 @@ def table_keys(rows: np.ndarray) -> np.ndarray:
 
 
 def spots(parts: int):
-    """(part, n, docs, spots): the keys of each picture, once, those of a batch and a part in one row (PACK to a row).
+    """(part, n, tags, bits): the keys of each picture, once, those of a batch and a part in one row (PACK to a row).
 
     A spot is the key with a place by number of corners below it, the most first; its part follows from the key.
-    Docs stand in ascending order, each as its distance from the one before in as few bytes as the largest distance needs.
+    Docs stand in ascending order, each as its distance from the one before in as few bytes as the largest distance needs;
+    these and the few values of table and place are deflated, the TABLE_BITS bits of keys are random and stay as they are.
     """
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            keys = [np.unique(table_keys(np.frombuffer(b, CORNER))) for b in batch.column("corners").to_pylist()]
+            keys = [np.unique(table_keys(unpacked(b))) for b in batch.column("corners").to_pylist()]
             if not any(map(len, keys)):
                 continue
             n = np.maximum(1, batch.column("n_corners").to_numpy())
             place = 63 - np.minimum(63, 4 * np.log2(n)).astype(np.int64)
             size = [len(k) for k in keys]
             key, doc = np.concatenate(keys), np.repeat(batch.column("doc").to_numpy(), size)
-            spot = key << PLACE | np.repeat(place, size)
+            tag = (key >> TABLE_BITS << PLACE | np.repeat(place, size)).astype(np.uint8)
             part = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
             order = np.lexsort((doc, part))
-            part, doc, spot = part[order], doc[order], spot[order]
+            part, doc, tag = part[order], doc[order], tag[order]
+            bits = key[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, : TABLE_BITS // 8]
             edge = np.union1d(np.flatnonzero(np.diff(part)) + 1, np.arange(0, len(part), PACK)).tolist()
             out = []
             for a, b in zip(edge, [*edge[1:], len(part)], strict=True):
                 apart = np.diff(doc[a:b].astype(np.uint64))  # no sign: distances of far ids fit too
                 width = np.min_scalar_type(int(apart.max())) if len(apart) else np.dtype(np.uint8)
-                out.append((int(part[a]), b - a, doc[a:a + 1].tobytes() + apart.astype(width).tobytes(), spot[a:b].tobytes()))
+                tags = doc[a : a + 1].tobytes() + tag[a:b].tobytes() + apart.astype(width).tobytes()
+                out.append((int(part[a]), b - a, zlib.compress(tags, 1), bits[a:b].tobytes()))
             types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["part", "n", "docs", "spots"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["part", "n", "tags", "bits"])
 
     return run
 
@@ -205,12 +224,17 @@ def spread_spots(batches: Iterator) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            doc = []
-            for n, packed in zip(part.column("n").to_pylist(), part.column("docs").to_pylist(), strict=True):
-                apart = np.frombuffer(packed, f"<u{(len(packed) - 8) // (n - 1)}", offset=8) if n > 1 else []
-                doc.append(np.cumsum(np.concatenate([np.frombuffer(packed, np.uint64, 1), np.asarray(apart, np.uint64)])))
-            spot = np.frombuffer(b"".join(part.column("spots").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(np.concatenate(doc).view(np.int64))], ["spot", "doc"])
+            spot, doc = [], []
+            for n, tags, bits in zip(*(part.column(c).to_pylist() for c in ("n", "tags", "bits")), strict=True):
+                tags = zlib.decompress(tags)
+                first, tag = np.frombuffer(tags, np.uint64, 1), np.frombuffer(tags, np.uint8, n, 8).astype(np.int64)
+                apart = np.frombuffer(tags, f"<u{(len(tags) - 8 - n) // (n - 1)}", offset=8 + n) if n > 1 else []
+                doc.append(np.cumsum(np.concatenate([first, np.asarray(apart, np.uint64)])).view(np.int64))
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, : TABLE_BITS // 8] = np.frombuffer(bits, np.uint8).reshape(n, -1)
+                key = wide.view("<i8")[:, 0] | tag >> PLACE << TABLE_BITS
+                spot.append(key << PLACE | tag & (1 << PLACE) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(spot)), pa.array(np.concatenate(doc))], ["spot", "doc"])
 
 
 def heads_of(batches: Iterator) -> Iterator:
@@ -275,7 +299,7 @@ def judged(least: int):
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 sides = zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)
-                odd = [not agrees(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER), least) for x, y in sides]
+                odd = [not agrees(unpacked(x), unpacked(y), least) for x, y in sides]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("head"), pa.array(odd)], ["doc", "head", "odd"])
 
     return run
@@ -288,7 +312,7 @@ def linked(least: int):
         for cell in groups_of(batches, ["head", "i", "j"]):
             odd = cell.column("odd").combine_chunks().to_numpy(zero_copy_only=False)
             doc, blobs = cell.column("doc").to_numpy(), cell.column("corners").to_pylist()
-            rows = [np.frombuffer(b, CORNER) for b in blobs]
+            rows = [unpacked(b) for b in blobs]
             keys = [np.unique(table_keys(r)) for r in rows]
             names, name = np.unique(doc, return_inverse=True)
             label = np.arange(len(names))
@@ -325,7 +349,7 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("image_id"), "width", "height", "nChannels", "data").where("image_id is not null")
-    rows = rows.withColumn("same", F.unhex(F.sha2(F.concat_ws("|", "width", "height", "nChannels", F.sha2("data", 256)), 256)))
+    rows = rows.withColumn("same", F.unhex(F.substring(F.sha2(F.concat_ws("|", "width", "height", "nChannels", F.sha2("data", 256)), 256), 1, 32)))
     # pictures are read and described once, and their corners are written without a shuffle; ``row`` is fixed by the files
     described = written(describe_all(rows).withColumn("row", F.monotonically_increasing_id()), "described")
     ids = described.groupBy("image_id").agg(F.max(F.struct("same", "row", "n_corners")).alias("r"))
@@ -335,13 +359,14 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
     spare = written(described.select("row").join(groups.select("row"), "row", "left_anti"), "spare")
     rich = described.where(F.col("n_corners") >= least).join(spare, "row", "left_anti").select(F.col("image_id").alias("doc"), "n_corners", "corners")
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rich.mapInArrow(spots(8 * tasks), "part int, n int, docs binary, spots binary").repartition(tasks, "part")
+    keyed = rich.mapInArrow(spots(8 * tasks), "part int, n int, tags binary, bits binary").repartition(tasks, "part")
     keyed = keyed.mapInArrow(spread_spots, "spot bigint, doc bigint").sortWithinPartitions("spot", "doc")
     pairs = keyed.mapInArrow(heads_of, "doc bigint, head bigint").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= EVIDENCE).select("doc", "head")
     pairs = written(pairs, "pairs")
 
     wanted = written(pairs.select("doc").union(pairs.select("head")).distinct(), "wanted")
     sets = written(rich.join(wanted, "doc", "left_semi").select("doc", "corners"), "sets")
+    forget(described)
     stars = pairs.join(sets.toDF("doc", "x"), "doc").join(sets.toDF("head", "y"), "head")
     stars = written(stars.mapInArrow(judged(least), "doc bigint, head bigint, odd boolean"), "stars")
 
@@ -357,7 +382,7 @@ def copies(df: DataFrame, least: int = 5, id_col: str = "image_id") -> DataFrame
     more = cells.mapInArrow(linked(least), "a bigint, b bigint")
 
     links = written(stars.where("not odd").select(F.col("doc").alias("a"), F.col("head").alias("b")).union(more), "found")
-    for done in (described, spare, pairs, wanted, sets, stars):
+    for done in (spare, pairs, wanted, sets, stars):
         forget(done)
     classes = groups.join(components(links), F.col("doc") == F.col("node"), "left").select("same", F.coalesce("component_id", "doc").alias("component_id"))
     out = ids.join(classes, "same").select("image_id", "n_corners", "component_id")
