@@ -423,7 +423,12 @@ def percentile_range(s, d):
     return histogram.percentiles(qd(s, d), 5, 95).select(F.round("p0", 9).alias("p0"), F.round("p1", 9).alias("p1"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {QD}, r AS (SELECT min(v) AS lo, (max(v) - min(v)) / 6.0::DOUBLE AS h FROM qd),
+t(k, a, b, c) AS (SELECT 0, lo + h, lo + 3 * h, lo + 5 * h FROM r UNION ALL SELECT k + 1,
+ coalesce((SELECT avg(v) FROM qd WHERE abs(v - t.a) <= least(abs(v - t.b), abs(v - t.c))), a),
+ coalesce((SELECT avg(v) FROM qd WHERE abs(v - t.b) < abs(v - t.a) AND abs(v - t.b) <= abs(v - t.c)), b),
+ coalesce((SELECT avg(v) FROM qd WHERE abs(v - t.c) < least(abs(v - t.a), abs(v - t.b))), c) FROM t WHERE k < 30)
+SELECT CAST(j AS INT) AS level, round(CASE j WHEN 0 THEN a WHEN 1 THEN b ELSE c END, 6) AS v FROM t, range(3) x(j) WHERE k = 30""")
 def k_means_levels(s, d):
     return s.createDataFrame([(k, round(x, 6)) for k, x in enumerate(histogram.k_means(qd(s, d), 3))], "level int, v double")
 
@@ -495,7 +500,12 @@ def sample_linear(s, d):
     return interp.sample(qd(s, d), points(s, d)).select("point", F.round("v", 6).alias("v"))
 
 
-@query()
+SPLINE = "(CASE WHEN {0} < 1 THEN (4 - 6 * {0} * {0} + 3 * {0} * {0} * {0}) / 6 ELSE (2 - {0}) * (2 - {0}) * (2 - {0}) / 6 END)"
+
+
+@query(f"""WITH {QD}, {POINTS}, n AS (SELECT point, b0 + x.a - 1 AS j0, b1 + y.b - 1 AS j1, abs(f0 - (x.a - 1)) AS d0, abs(f1 - (y.b - 1)) AS d1 FROM t, range(4) x(a), range(4) y(b)),
+m AS (SELECT point, CASE WHEN j0 < 0 THEN -j0 - 1 WHEN j0 > 49 THEN 99 - j0 ELSE j0 END AS i0, CASE WHEN j1 < 0 THEN -j1 - 1 WHEN j1 > 10 THEN 21 - j1 ELSE j1 END AS i1, {SPLINE.format("d0")} * {SPLINE.format("d1")} AS w FROM n)
+SELECT point, round(sum(w * v), 6) AS v FROM m JOIN qd USING (i0, i1) GROUP BY point""")
 def sample_cubic(s, d):
     return interp.sample(qd(s, d), points(s, d), "cubic", "reflect").select("point", F.round("v", 6).alias("v"))
 
@@ -600,7 +610,12 @@ def flow_magnitude(s, d):
     return render.flow_magnitude(flow.lucas_kanade(a, b, 2)).select("i0", "i1", F.round("magnitude", 6).alias("magnitude"))
 
 
-@query()
+SHADE = "CAST(trunc(255 * (bright - bright * greatest(0, least(fmod({0} + turn, 6), 4 - fmod({0} + turn, 6), 1)))) AS INT)"
+
+
+@query(f"""WITH f AS ({lk_sql()}), m AS (SELECT *, sqrt(u0 * u0 + u1 * u1) AS long FROM f),
+c AS (SELECT i0, i1, long / max(long) OVER () AS bright, 6 * (atan2(u1, u0) + pi()) / (2 * pi()) AS turn FROM m)
+SELECT i0, i1, {SHADE.format(5)} AS r, {SHADE.format(3)} AS g, {SHADE.format(1)} AS b FROM c""")
 def flow_to_color(s, d):
     a, b = frames(s, d)
     return render.flow_to_color(flow.lucas_kanade(a, b, 2), ("i0", "i1"))
