@@ -505,9 +505,9 @@ SPLINE = "(CASE WHEN {0} < 1 THEN (4 - 6 * {0} * {0} + 3 * {0} * {0} * {0}) / 6
 
 @query(f"""WITH {QD}, {POINTS}, n AS (SELECT point, b0 + x.a - 1 AS j0, b1 + y.b - 1 AS j1, abs(f0 - (x.a - 1)) AS d0, abs(f1 - (y.b - 1)) AS d1 FROM t, range(4) x(a), range(4) y(b)),
 m AS (SELECT point, CASE WHEN j0 < 0 THEN -j0 - 1 WHEN j0 > 49 THEN 99 - j0 ELSE j0 END AS i0, CASE WHEN j1 < 0 THEN -j1 - 1 WHEN j1 > 10 THEN 21 - j1 ELSE j1 END AS i1, {SPLINE.format("d0")} * {SPLINE.format("d1")} AS w FROM n)
-SELECT point, round(sum(w * v), 6) AS v FROM m JOIN qd USING (i0, i1) GROUP BY point""")
+SELECT point, round(sum(w * v), 9) AS v FROM m JOIN qd USING (i0, i1) GROUP BY point""")
 def sample_cubic(s, d):
-    return interp.sample(qd(s, d), points(s, d), "cubic", "reflect").select("point", F.round("v", 6).alias("v"))
+    return interp.sample(qd(s, d), points(s, d), "cubic", "reflect").select("point", F.round("v", 9).alias("v"))  # v has ties at six digits
 
 
 @query(f"WITH {QD}, {POINTS}, w AS (SELECT least(49, b0 + x.a) AS i0, least(10, b1 + y.b) AS i1, sum((point % 7) * {LINEAR}) AS v FROM t, range(2) x(a), range(2) y(b) GROUP BY 1, 2) SELECT qd.i0, qd.i1, round(coalesce(w.v, 0), 6) AS v FROM qd LEFT JOIN w USING (i0, i1)")
