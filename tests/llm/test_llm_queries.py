@@ -165,3 +165,25 @@ def test_media_query(result):
     assert all(kept == (c == k) and c <= k for k, (_, c, kept) in got.items())
     posters = [k for k in pages if k % 32 == 5]
     assert Counter(got[k][1] for k in posters).most_common(1)[0][1] >= 0.9 * len(posters)
+
+
+@pytest.mark.parametrize("ids", [list(range(3000)), [-(2**63), 2**63 - 1, 0, 5, -7], [3], []])
+def test_packed_keys_come_back(ids):
+    import pyarrow as pa
+
+    from latticework.llm import media
+
+    r = np.random.default_rng(len(ids))
+    blobs, want = [], set()
+    for doc in ids:
+        rows = np.zeros(r.integers(0, 40), media.CORNER)
+        for name in media.CORNER.names:
+            rows[name] = r.integers(0, 256 if rows[name].dtype == np.uint8 else 65536, rows[name].shape)
+        blobs.append(media.packed(rows))
+        assert (media.unpacked(blobs[-1]) == rows).all()
+        place = 63 - min(63, int(4 * np.log2(max(1, len(rows)))))
+        want |= {(int(k) << media.PLACE | place, doc) for k in np.unique(media.table_keys(rows))}
+    columns = [pa.array(ids, pa.int64()), pa.array([len(b) // media.CORNER.itemsize for b in blobs], pa.int64()), pa.array(blobs, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc", "n_corners", "corners"])
+    got = [(s % 2**64, d) for b in media.spread_spots(media.spots(96)(iter([batch]))) for s, d in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(got) == len(want) and set(got) == want
