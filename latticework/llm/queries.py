@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, itq, langid, lines, media, minhash, mixing, pictures, suffix, tokencount, toxicity
+from . import bpe, fim, itq, langid, lines, media, minhash, mixing, pictures, suffix, tokencount, toxicity
 from .common import table
 
 
@@ -61,6 +61,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
@@ -72,6 +79,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op13_fim": op13_fim,
 }
 
 BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
@@ -83,4 +91,4 @@ m AS (SELECT k.*, c.key IS NOT NULL AND doc_id < last AS gone FROM k LEFT JOIN c
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op5_lines": LINES_SQL, "op10_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_lines": LINES_SQL, "op10_mixing": mixing.oracle(), "op13_fim": fim.ORACLE}
