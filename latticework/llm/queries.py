@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, itq, langid, lines, media, minhash, mixing, pictures, suffix, tokencount, toxicity
+from . import bpe, fim, itq, langid, licenses, lines, media, minhash, mixing, pictures, suffix, tokencount, toxicity
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op12_licenses": op12_licenses,
     "op13_fim": op13_fim,
 }
 
