@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, itq, langid, licenses, lines, media, minhash, mixing, pictures, suffix, tokencount, toxicity
+from . import bpe, fim, itq, langid, licenses, lines, media, minhash, mixing, pictures, suffix, tokencount, toxicity, trie
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_conversations": op11_conversations,
     "op12_licenses": op12_licenses,
     "op13_fim": op13_fim,
 }
@@ -96,4 +101,4 @@ m AS (SELECT k.*, c.key IS NOT NULL AND doc_id < last AS gone FROM k LEFT JOIN c
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op5_lines": LINES_SQL, "op10_mixing": mixing.oracle(), "op13_fim": fim.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_lines": LINES_SQL, "op10_mixing": mixing.oracle(), "op11_conversations": trie.ORACLE, "op13_fim": fim.ORACLE}
