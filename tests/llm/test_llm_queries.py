@@ -93,10 +93,21 @@ def test_toxicity_query(result, docs):
         assert held == (zlib.crc32(str(doc).encode()) % 5 == 0) and 0 <= score <= 1 and told == (score >= 0.5)
 
 
+def test_toxicity_of_documents_not_learned_from(spark):
+    """The registered query on sf0.1, whole texts: figures as the README has them, with some room."""
+    folder = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in queries.QUERIES["op9_toxicity"](spark, folder).where("held_out").collect()}
+    marks = duckdb.sql(f"select doc_id, toxic from '{folder}/labels.parquet' where toxic is not null").fetchall()
+    held = [(bool(y), got[k].predicted == 1) for k, y in marks if k in got]
+    assert sum(y for y, _ in held) == 97 and len(held) == 825
+    assert sum(y and p for y, p in held) >= 58 and sum(p and not y for y, p in held) <= 20
+
+
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_sql(spark, name):
     base = duckdb.connect()
-    base.execute(f"create view documents as select * from '{FOLDER}/documents.parquet'")
+    for name_ in ("documents", "conversations"):
+        base.execute(f"create view {name_} as select * from '{FOLDER}/{name_}.parquet'")
     want = base.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in want.description]
     df = queries.QUERIES[name](spark, FOLDER)

@@ -301,10 +301,25 @@ def test_toxicity(spark, odd, empty):
     held = [k for k in range(500) if k % 5 == 0]
     assert np.mean([got[k]["predicted"] == (k % 4 == 0) for k in held]) > 0.95
     assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.5) for x in got.values()) and got[901]["predicted"] == 0
+    long = docs.withColumn("text", F.concat(F.repeat(F.concat("text", F.lit(" ")), 40), F.lit("x")))  # all over the length of a piece
+    assert long.where("doc_id < 500").agg(F.min(F.length("text"))).first()[0] > 8000
+    model = toxicity.fit(long, labels, F.col("doc_id") % 5 != 0)
+    found = {x["doc_id"]: x["predicted"] for x in toxicity.score(long, model).collect()}
+    assert np.mean([found[k] == (k % 4 == 0) for k in held]) > 0.9
     flat = toxicity.fit(docs, labels.where("toxic = 0"), F.lit(True))
     assert toxicity.score(odd, flat).where("predicted = 1").count() == 0 and toxicity.score(empty, flat).count() == 0
 
 
+def test_own_strings_are_those_that_ordinary_texts_lack():
+    r = random.Random(3)
+    plain = [prose(60, r=r).encode() for _ in range(40)]
+    passage = b" a passage that all toxic texts of this group repeat, which is no word of theirs, and is told once only, long as it is "
+    toxic = [prose(30, r=r).encode() + b" Blockhead " + prose(30, r=r).encode() + passage for _ in range(40)]
+    got = toxicity.own_strings(toxic, plain)
+    assert sum(b"blockhead" in g for g in got) >= 39
+    assert sum(b"group repeat, which is no word of theirs" in g for g in got) <= 1  # its ends may stay, as strings are chosen by a hash
+
+
 def picture_table(spark, made):
     return spark.createDataFrame([(k, p.shape[1], p.shape[0], 1, bytearray(p.tobytes())) for k, p in made.items()], "image_id bigint, width int, height int, nChannels int, data binary")
 
@@ -375,19 +390,21 @@ def test_large_groups_of_pictures_are_those_of_brute_force(spark, monkeypatch):
         assert classes(spark, made) == want
 
 
-def test_one_corner_that_all_pictures_show_links_none(spark):
-    made = {}
+def test_one_corner_that_all_pictures_show_links_none(spark, monkeypatch):
+    from latticework.llm import common
+
+    tables, made = [], {}
+    for module in (media, common):
+        monkeypatch.setattr(module, "written", lambda df, label, real=module.written: tables.append(label) or real(df, label))
     for k in range(200):
         made[k] = pictures.scene(5000 + k)
         made[k][34:58, 34:58] = pictures.scene(1)[34:58, 34:58]  # a stamp that holds a few corners
-    jobs = spark.sparkContext.statusTracker()
     some = {k: made[k] for k in range(40)}
-    before = len(jobs.getJobIdsForGroup(None))
     assert classes(spark, some) == brute_pictures(some)
-    few = len(jobs.getJobIdsForGroup(None)) - before
-    before = len(jobs.getJobIdsForGroup(None))
+    few = [t for t in tables if t != "links"]
+    tables.clear()
     got = classes(spark, made)
-    assert len(jobs.getJobIdsForGroup(None)) - before <= 2 * few  # passes are fixed; only the rounds of the components grow, by their logarithm
+    assert [t for t in tables if t != "links"] == few  # passes are fixed; only the rounds of the components grow, by their logarithm
     assert np.mean([v == k for k, v in got.items()]) > 0.8
 
 
