@@ -3,7 +3,7 @@
 A cell is copied to the places where the border rule repeats it, then to every output whose kernel covers
 it, and one aggregation gathers the outputs. There is no join; sums, minima and maxima are
 pre-aggregated before the only shuffle. Copies per cell are as many as the kernel has taps,
-so wide kernels that factor go axis by axis.
+so wide kernels that factor go axis by axis, and kernels of more than ``tiles.MANY_TAPS`` taps go by dense tiles.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import fold_index, gaussian_weights, truncated
+from ..functions.cells import gaussian_weights, truncated
 from ..grid import Grid
+from . import tiles
 from .arith import INTEGRAL
-
-Kernel = dict[tuple[int, ...], float]  # offset from the centre -> weight
+from .tiles import Kernel, padded
 
 
 def box_kernel(dims: int, width: int) -> Kernel:
@@ -35,20 +35,6 @@ def kernel_from(weights: Kernel, extent) -> Kernel:
     return {tuple(x - n // 2 for x, n in zip(k, extent, strict=True)): float(w) for k, w in weights.items() if w}
 
 
-def padded(g: Grid, axis: int, low: int, high: int, border: str) -> DataFrame:
-    """Rows with column ``p``: all places from -low to extent - 1 + high that stand for the cell."""
-    n, a = g.extent[axis], g.axes[axis]
-    if max(low, high) > n:
-        raise ValueError(f"a reach of {max(low, high)} is more than the extent {n}")
-    extra: dict[int, list[int]] = {}
-    for p in [*range(-low, 0), *range(n, n + high)]:
-        extra.setdefault(fold_index(p, n, border), []).append(p)
-    if not extra:
-        return g.df.withColumn("p", F.col(a))
-    copies = F.create_map(*[x for i, ps in extra.items() for x in (F.lit(i), F.array(*map(F.lit, ps)))])
-    return g.df.withColumn("p", F.explode(F.concat(F.array(F.col(a)), F.coalesce(F.try_element_at(copies, F.col(a)), F.array().cast("array<int>")))))
-
-
 def gathered(g: Grid, kernel: Kernel, border: str, **out: Column) -> DataFrame:
     """One row per cell and key; ``out`` are aggregates of the columns x (value) and w (weight) over the kernel."""
     if not kernel:
@@ -73,6 +59,8 @@ def _kind(g: Grid) -> str:
 
 def weighted(g: Grid, kernel: Kernel, border: str = "clamp") -> Grid:
     """Correlation with a kernel, in double precision."""
+    if tiles.goes_by_tiles(g, kernel):
+        return tiles.weighted(g, kernel, border)
     return replace(g, df=gathered(g, kernel, border, **{g.value: F.sum(F.col("x").cast("double") * F.col("w"))}))
 
 
@@ -135,10 +123,14 @@ def box_blur(g: Grid, radius: int, border: str = "clamp") -> Grid:
 
 
 def erode(g: Grid, kernel: Kernel, border: str = "clamp") -> Grid:
+    if tiles.goes_by_tiles(g, kernel):
+        return tiles.extreme(g, kernel, border, False)
     return replace(g, df=gathered(g, kernel, border, **{g.value: F.min("x")}))
 
 
 def dilate(g: Grid, kernel: Kernel, border: str = "clamp") -> Grid:
+    if tiles.goes_by_tiles(g, kernel):
+        return tiles.extreme(g, kernel, border, True)
     return replace(g, df=gathered(g, kernel, border, **{g.value: F.max("x")}))
 
 
@@ -151,7 +143,9 @@ def closed(g: Grid, kernel: Kernel, border: str = "clamp") -> Grid:
 
 
 def percentile_filter(g: Grid, kernel: Kernel, p: float, border: str = "clamp") -> Grid:
-    """The value at rank round(p / 100 * (n - 1)) of the neighbourhood. A group holds as many values as the kernel has taps."""
+    """The value at rank round(p / 100 * (n - 1)) of the neighbourhood. A group holds as many values as the kernel has taps, at most ``tiles.MANY_TAPS``."""
+    if tiles.goes_by_tiles(g, kernel):
+        return tiles.ranked(g, kernel, p, border)
     n = len(kernel)
     rank = int(p / 100 * (n - 1) + 0.5)
     return replace(g, df=gathered(g, kernel, border, **{g.value: F.element_at(F.sort_array(F.collect_list("x")), rank + 1)}))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as fn
 from ..grid import Grid, raster
-from ..operators import arith, distance, fit, flow, fourier, histogram, interp, linalg, prefix, reduce, render, stencil, tomography
+from ..operators import arith, distance, fit, flow, fourier, histogram, interp, linalg, prefix, reduce, render, stencil, tiles, tomography
 from ..streaming import ring
 
 QUERIES: dict = {}
@@ -375,6 +375,53 @@ def percentile90(s, d):
     return stencil.percentile_filter(qd(s, d), stencil.box_kernel(2, 3), 90).df
 
 
+def od(s: SparkSession, d: str) -> Grid:
+    """Orders by customer (96 bins) and day of the year (96 bins)."""
+    rows = table(s, d, "orders").select((F.col("o_custkey") % 96).alias("a"), (F.dayofyear("o_orderdate") % 96).alias("b"))
+    return raster(rows, {"i0": (F.col("a"), 96), "i1": (F.col("b"), 96)})
+
+
+OD = """ox AS (SELECT CAST(range AS INT) AS i0 FROM range(96)), oy AS (SELECT CAST(range AS INT) AS i1 FROM range(96)),
+o0 AS (SELECT CAST(o_custkey % 96 AS INT) AS i0, CAST(dayofyear(CAST(o_orderdate AS DATE)) % 96 AS INT) AS i1, count(*) AS v FROM orders GROUP BY 1, 2),
+od AS (SELECT i0, i1, coalesce(v, 0) AS v FROM ox CROSS JOIN oy LEFT JOIN o0 USING (i0, i1))"""
+DISC = {(x, y): 1.0 for x in range(-8, 9) for y in range(-8, 9) if x * x + y * y <= 64}
+
+
+@query(f"WITH {OD} SELECT * FROM {taps_sql('od', 96, 96, 'reflect', 'CAST(sum(v * (17 + dx * 2 + dy)) AS DOUBLE)', 8)}")
+def wide_weights(s, d):
+    """17 x 17 weights on tiles of 40 cells."""
+    kernel = {(x, y): 17.0 + 2 * x + y for x in range(-8, 9) for y in range(-8, 9)}
+    return tiles.weighted(od(s, d), kernel, "reflect", 40).df
+
+
+@query(f"WITH {OD} SELECT * FROM {taps_sql('od', 96, 96, 'clamp', 'CAST(trunc(sum(v)) AS BIGINT)', 8)}")
+def wide_convolve(s, d):
+    return stencil.convolve(od(s, d), stencil.box_kernel(2, 17)).df
+
+
+@query(f"WITH {OD} SELECT * FROM {taps_sql('od', 96, 96, 'wrap', 'max(CASE WHEN dx * dx + dy * dy <= 64 THEN v END)', 8)}")
+def wide_dilate(s, d):
+    """A disc of radius 8 on tiles of 32 cells."""
+    return tiles.extreme(od(s, d), DISC, "wrap", True, 32).df
+
+
+@query(f"WITH {OD}, m AS (SELECT * FROM {taps_sql('od', 96, 96, 'clamp', 'min(v)', 5)}) SELECT * FROM {taps_sql('m', 96, 96, 'clamp', 'max(v)', 5)}")
+def wide_open(s, d):
+    return stencil.opened(od(s, d), stencil.box_kernel(2, 11)).df
+
+
+@query(f"WITH {OD} SELECT * FROM {taps_sql('od', 96, 96, 'clamp', 'list_sort(list(v))[481]', 15)}")
+def wide_median(s, d):
+    """The middle of 31 x 31 cells."""
+    return stencil.median_filter(od(s, d), stencil.box_kernel(2, 31)).df
+
+
+@query(f"WITH {OD} SELECT * FROM {taps_sql('od', 96, 96, 'reflect', 'list_sort(list(v) FILTER (WHERE dx * dx + dy * dy <= 64))[177]', 8)}")
+def wide_rank(s, d):
+    """Nine tenths of the 197 cells of a disc, on tiles of 20 cells."""
+    return tiles.ranked(od(s, d), DISC, 90, "reflect", 20).df
+
+
 # ---- histograms
 
 
