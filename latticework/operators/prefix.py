@@ -10,26 +10,56 @@ from pyspark.sql import functions as F
 
 from ..grid import Grid
 
-
-def integral(g: Grid) -> Grid:
-    """Inclusive prefix sums along each axis in turn; one shuffle an axis."""
+BLOCK = 1 << 16  # cells of a line that one task sums
+
+
+def running(df: DataFrame, axis: str, n: int, rest, value: str, backwards: bool = False, block: int = BLOCK) -> DataFrame:
+    """``value`` summed from the start of each line along ``axis`` (of extent ``n``) up to each cell, or from its end.
+
+    A line of more than ``block`` cells is summed block by block, as many tasks as it has blocks; the totals of its blocks, one row each,
+    are then summed along the line, and what stands before a block is joined to its cells. ``rest`` are the columns that tell lines apart.
+    """
+    order = F.col(axis).desc() if backwards else F.col(axis)
+    if n <= block:
+        return df.withColumn(value, F.sum(value).over(Window.partitionBy(*rest).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    cut = df.withColumn("__block", F.expr(f"`{axis}` div {block}"))
+    order_of_blocks = F.col("__block").desc() if backwards else F.col("__block")
+    before = Window.partitionBy(*rest).orderBy(order_of_blocks).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*rest, "__block").agg(F.sum(value).alias("__total"))
+    totals = totals.select(*[F.col(c).alias(f"__{c}") for c in rest], F.col("__block").alias("__at"), F.sum("__total").over(before).alias("__before"))
+    within = Window.partitionBy(*rest, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.col("__block") == F.col("__at")
+    for c in rest:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    joined = cut.withColumn(value, F.sum(value).over(within)).join(totals, on, "left")
+    return joined.withColumn(value, F.col(value) + F.coalesce("__before", F.lit(0))).select(*df.columns)
+
+
+def integral(g: Grid, backwards: bool = False, block: int = BLOCK) -> Grid:
+    """Inclusive prefix sums along each axis in turn, or with ``backwards`` sums from each cell to the ends (the adjoint); one shuffle an axis, long lines in blocks."""
     df = g.df
-    for k, a in enumerate(g.axes):
+    for k, (a, n) in enumerate(zip(g.axes, g.extent, strict=True)):
         rest = [*g.keys, *[b for j, b in enumerate(g.axes) if j != k]]
-        df = df.withColumn(g.value, F.sum(g.value).over(Window.partitionBy(*rest).orderBy(a).rowsBetween(Window.unboundedPreceding, 0)))
+        df = running(df, a, n, rest, g.value, backwards, block)
     return replace(g, df=df.select(*g.columns))
 
 
-def rectangle_sums(table: Grid, boxes: DataFrame, box: str = "box") -> DataFrame:
-    """Sums of the cells in inclusive boxes (columns ``box``, lo0, hi0, lo1, ...) from 2^dims corners of a summed-area table."""
+def box_corners(boxes: DataFrame, axes) -> DataFrame:
+    """A row for each corner that inclusive boxes (columns lo0, hi0, ...) have in a summed-area table: its place ``axes`` and its ``sign``; corners before the first cell count nothing."""
     corners = []
-    for pick in product((0, 1), repeat=table.dims):
-        at = [(F.col(f"hi{k}") if p else F.col(f"lo{k}") - 1).cast("int").alias(a) for k, (p, a) in enumerate(zip(pick, table.axes, strict=True))]
-        corners.append(F.struct(F.lit(1 if (table.dims - sum(pick)) % 2 == 0 else -1).alias("sign"), *at))
-    rows = boxes.select(box, F.explode(F.array(*corners)).alias("c")).select(box, "c.*")
-    for a in table.axes:
+    for pick in product((0, 1), repeat=len(axes)):
+        at = [(F.col(f"hi{k}") if p else F.col(f"lo{k}") - 1).cast("int").alias(a) for k, (p, a) in enumerate(zip(pick, axes, strict=True))]
+        corners.append(F.struct(F.lit(1 if (len(axes) - sum(pick)) % 2 == 0 else -1).alias("sign"), *at))
+    rows = boxes.withColumn("__c", F.explode(F.array(*corners))).select(*boxes.columns, "__c.*")
+    for a in axes:
         rows = rows.where(F.col(a) >= 0)
-    joined = rows.join(table.df, list(table.axes))
+    return rows
+
+
+def rectangle_sums(table: Grid, boxes: DataFrame, box: str = "box") -> DataFrame:
+    """Sums of the cells in inclusive boxes (columns ``box``, lo0, hi0, lo1, ...) from 2^dims corners of a summed-area table."""
+    rows = box_corners(boxes.select(box, *[f"{side}{k}" for k in range(table.dims) for side in ("lo", "hi")]), table.axes)
+    joined = rows.select(box, *table.axes, "sign").join(table.df, list(table.axes))
     sums = joined.groupBy(box).agg(F.sum(F.col("sign") * F.col(table.value)).alias("total"))
     return boxes.select(box).join(sums, box, "left").select(box, F.coalesce("total", F.lit(0).cast(dict(sums.dtypes)["total"])).alias("total"))
 

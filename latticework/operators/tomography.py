@@ -20,11 +20,11 @@ from . import stencil
 from .histogram import k_means, nearest_level
 from .interp import half_away, tapped
 from .linalg import camera_centre
-from .prefix import boxes_around
+from .prefix import box_corners, boxes_around, integral
 
 
 def rays(spark: SparkSession, views: list[np.ndarray], detectors) -> DataFrame:
-    """(view, u0, ..., o, d): origin and unit direction of each ray. Only the small matrices of the views are made on the driver."""
+    """(view, u0, ..., o, d, m, e, far): origin and unit direction of each ray, its view's matrix, and the camera's centre or, if it is far, direction. Only the small matrices of the views are made on the driver."""
     rows = []
     for k, m in enumerate(views):
         m = np.asarray(m, float)
@@ -41,16 +41,21 @@ def rays(spark: SparkSession, views: list[np.ndarray], detectors) -> DataFrame:
             o = np.zeros((d, m.shape[0]))
             o[:, -1] = centre
             way = np.linalg.inv(a)
-        rows.append((k, o.ravel().tolist(), way.ravel().tolist()))
+        rows.append((k, o.ravel().tolist(), way.ravel().tolist(), m.ravel().tolist(), centre.tolist(), far))
     d, n = np.asarray(views[0]).shape[1] - 1, np.asarray(views[0]).shape[0]
-    table = spark.createDataFrame(rows, "view int, om array<double>, dm array<double>")
+    table = spark.createDataFrame(rows, "view int, om array<double>, dm array<double>, m array<double>, e array<double>, far boolean")
     for k, e in enumerate(detectors):
         table = table.withColumn(f"u{k}", F.explode(F.sequence(F.lit(0), F.lit(e - 1))))
     u = [*[F.col(f"u{k}") for k in range(len(detectors))], F.lit(1.0)]
     times = lambda c: F.array(*[sum((F.col(c)[r * n + j] * u[j] for j in range(1, n)), F.col(c)[r * n] * u[0]) for r in range(d)])
     table = table.withColumn("o", times("om")).withColumn("d", times("dm"))
     norm = F.sqrt(F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x))
-    return table.select("view", *[f"u{k}" for k in range(len(detectors))], "o", F.transform("d", lambda x: x / norm).alias("d"))
+    return table.select("view", *[f"u{k}" for k in range(len(detectors))], "o", F.transform("d", lambda x: x / norm).alias("d"), "m", "e", "far")
+
+
+def units(table: DataFrame) -> list[str]:
+    """The columns that name a ray."""
+    return [c for c in table.columns if c not in ("o", "d", "m", "e", "far")]
 
 
 def samples(table: DataFrame, extent, step: float = 1.0) -> DataFrame:
@@ -67,20 +72,15 @@ def samples(table: DataFrame, extent, step: float = 1.0) -> DataFrame:
     rows = rows.withColumn("steps", F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0")) / step).cast("int"))).withColumn("gap", (F.col("t1") - F.col("t0")) / F.col("steps"))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps"))))
     rows = rows.withColumn("t", F.col("t0") + F.col("k") * F.col("gap")).withColumn("ds", F.col("gap") * F.when((F.col("k") == 0) | (F.col("k") == F.col("steps")), 0.5).otherwise(1.0))
-    keep = [c for c in table.columns if c not in ("o", "d")]
+    keep = [c for c in table.columns if c not in ("o", "d")]  # the view's matrix goes with its samples
     return rows.select(*keep, "ds", *[(F.col("o")[k] + F.col("t") * F.col("d")[k]).alias(f"c{k}") for k in range(len(extent))])
 
 
-def spread_of(rows: DataFrame, views: list[np.ndarray]) -> DataFrame:
-    """Samples with h0, h1, ...: half the size of a detector cell where the sample is, along each axis of the grid.
+def spread_of(rows: DataFrame, d: int) -> DataFrame:
+    """Samples with h0, h1, ...: half the size of a detector cell where the sample is, along each of the ``d`` axes of the grid.
 
     The movement of the detector place with the sample, and the direction of the ray, are inverted; for 2 and 3 dimensions.
     """
-    d = np.asarray(views[0]).shape[1] - 1
-    centres = [camera_centre(np.asarray(m, float)) for m in views]
-    small = [(k, np.asarray(m, float).ravel().tolist(), c.tolist(), far) for k, (m, (c, far)) in enumerate(zip(views, centres, strict=True))]
-    table = rows.sparkSession.createDataFrame(small, "view int, m array<double>, e array<double>, far boolean")
-    rows = rows.join(F.broadcast(table), "view")  # one row with a small matrix for each view
     c = [F.col(f"c{k}") for k in range(d)]
     line = lambda r: sum((F.col("m")[r * (d + 1) + k] * c[k] for k in range(d)), F.col("m")[r * (d + 1) + d])
     deep = line(d - 1)
@@ -94,45 +94,47 @@ def spread_of(rows: DataFrame, views: list[np.ndarray]) -> DataFrame:
         one, two = cross(slope[1], way), cross(way, slope[0])
         det = sum((slope[0][k] * one[k] for k in range(1, 3)), slope[0][0] * one[0])
         sizes = [F.abs(x) + F.abs(y) for x, y in zip(one, two, strict=True)]
-    return rows.select("*", *[F.coalesce(F.try_divide(0.5 * x, F.abs(det)), F.lit(0.0)).alias(f"h{k}") for k, x in enumerate(sizes)]).drop("m", "e", "far")
+    return rows.select("*", *[F.coalesce(F.try_divide(0.5 * x, F.abs(det)), F.lit(0.0)).alias(f"h{k}") for k, x in enumerate(sizes)])
 
 
-def system(table: DataFrame, extent, step: float = 1.0, kind: str = "linear", views: list[np.ndarray] | None = None) -> DataFrame:
-    """Entries of the system matrix: (view, u0, ..., i0, ..., a), one row per ray and cell.
+def system(table: DataFrame, extent, step: float = 1.0, kind: str = "linear", antialias: bool = True) -> DataFrame:
+    """Entries of the system matrix: (view, u0, ..., i0, ..., corner, a), one row per ray, cell and kind of entry.
 
-    With ``views`` samples are anti-aliased: where a detector cell spans more than one cell of the grid along any axis,
-    the mean over the box of its size takes the place of the interpolation.
+    Where a detector cell spans more than one cell of the grid along any axis, the mean over the box of its size takes the place of the
+    interpolation. Such a mean is written as the 2^D corners of the box in the summed-area table of the volume, so an entry with
+    ``corner`` weighs a cell of that table and not of the volume: a sample has at most 2^D entries, however large its box is.
     """
-    unit = [c for c in table.columns if c not in ("o", "d")]
-    axes = [f"i{k}" for k in range(len(extent))]
+    unit, axes = units(table), [f"i{k}" for k in range(len(extent))]
     rows = samples(table, extent, step)
-    if views is None:
-        taps = tapped(rows, extent, kind, "clamp").select(*unit, *axes, "w", "ds")
+    if not antialias:
+        taps = tapped(rows, extent, kind, "clamp").select(*unit, *axes, F.lit(False).alias("corner"), "w", "ds")
     else:
-        rows = spread_of(rows, views)
-        wide = F.greatest(*[F.col(f"h{k}") for k in range(len(extent))]) > 0.5
-        taps = tapped(rows.where(~wide), extent, kind, "clamp").select(*unit, *axes, "w", "ds")
-        boxes = boxes_around(rows.where(wide), extent, [F.col(f"h{k}") for k in range(len(extent))])
-        for k, a in enumerate(axes):
-            boxes = boxes.withColumn(a, F.explode(F.sequence(F.col(f"lo{k}"), F.col(f"hi{k}"))))
-        taps = taps.unionByName(boxes.select(*unit, *axes, (1 / F.col("cells")).alias("w"), "ds"))
-    return taps.groupBy(*unit, *axes).agg(F.sum(F.col("w") * F.col("ds")).alias("a"))
+        rows = spread_of(rows, len(extent))
+        halves = [F.col(f"h{k}") for k in range(len(extent))]
+        wide = F.greatest(*halves) > 0.5
+        taps = tapped(rows.where(~wide), extent, kind, "clamp").select(*unit, *axes, F.lit(False).alias("corner"), "w", "ds")
+        boxes = box_corners(boxes_around(rows.where(wide), extent, halves), axes)
+        taps = taps.unionByName(boxes.select(*unit, *axes, F.lit(True).alias("corner"), (F.col("sign") / F.col("cells")).alias("w"), "ds"))
+    return taps.groupBy(*unit, *axes, "corner").agg(F.sum(F.col("w") * F.col("ds")).alias("a"))
 
 
 def forward(volume: Grid, entries: DataFrame, table: DataFrame) -> DataFrame:
     """Readings (view, u0, ..., v) of all rays; rays that miss the grid read 0."""
-    unit = [c for c in table.columns if c not in ("o", "d")]
-    cells = volume.df.select(*[F.col(a).alias(f"i{k}") for k, a in enumerate(volume.axes)], F.col(volume.value).alias("x"))
-    sums = entries.join(cells, [f"i{k}" for k in range(volume.dims)]).groupBy(*unit).agg(F.sum(F.col("a") * F.col("x")).alias("v"))
+    unit, axes = units(table), [f"i{k}" for k in range(volume.dims)]
+    cells = Grid(volume.df.select(*[F.col(a).alias(f"i{k}") for k, a in enumerate(volume.axes)], F.col(volume.value).cast("double").alias("x")), tuple(axes), volume.extent, "x")
+    both = cells.df.withColumn("corner", F.lit(False)).unionByName(integral(cells).df.withColumn("corner", F.lit(True)))
+    sums = entries.join(both, [*axes, "corner"]).groupBy(*unit).agg(F.sum(F.col("a") * F.col("x")).alias("v"))
     return table.select(*unit).join(sums, unit, "left").select(*unit, F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def back(readings: DataFrame, entries: DataFrame, extent) -> Grid:
-    """The adjoint of ``forward``."""
+    """The adjoint of ``forward``: what the corners get is summed from each cell to the ends, as a cell is part of all entries of the summed-area table behind it."""
     unit = [c for c in readings.columns if c != "v"]
     axes = tuple(f"i{k}" for k in range(len(extent)))
-    sums = entries.join(readings.withColumnRenamed("v", "x"), unit).groupBy(*axes).agg(F.sum(F.col("a") * F.col("x")).alias("v"))
-    return Grid(sums, axes, tuple(extent)).filled(0.0)
+    sums = entries.join(readings.withColumnRenamed("v", "x"), unit).groupBy(*axes, "corner").agg(F.sum(F.col("a") * F.col("x")).alias("v"))
+    direct, corners = (Grid(sums.where(F.col("corner") == on).drop("corner"), axes, tuple(extent)).filled(0.0) for on in (False, True))
+    spread = integral(corners, backwards=True).df.withColumnRenamed("v", "s")
+    return Grid(direct.df.join(spread, list(axes)).select(*axes, (F.col("v") + F.col("s")).alias("v")), axes, tuple(extent))
 
 
 def density_bound(readings: DataFrame, views: list[np.ndarray], detectors, extent, step: float = 1.0) -> Grid:
@@ -167,11 +169,11 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def landweber(readings: DataFrame, table: DataFrame, extent, rounds: int, rate: float, bound: Grid | None = None, start: Grid | None = None, step: float = 1.0, free: Grid | None = None, views: list[np.ndarray] | None = None) -> Grid:
-    """x <- x + rate * A'(y - A x), kept between 0 and ``bound``; only cells of ``free`` change if it is given. With ``views`` anti-aliased."""
+def landweber(readings: DataFrame, table: DataFrame, extent, rounds: int, rate: float, bound: Grid | None = None, start: Grid | None = None, step: float = 1.0, free: Grid | None = None, antialias: bool = True) -> Grid:
+    """x <- x + rate * A'(y - A x), kept between 0 and ``bound``; only cells of ``free`` change if it is given."""
     axes = [f"i{k}" for k in range(len(extent))]
-    unit = [c for c in table.columns if c not in ("o", "d")]
-    entries = kept(system(table, extent, step, views=views))
+    unit = units(table)
+    entries = kept(system(table, extent, step, antialias=antialias))
     x = start or Grid(lattice(table.sparkSession, extent).withColumn("v", F.lit(0.0)), tuple(axes), tuple(extent))
     for _ in range(rounds):
         now = forward(x, entries, table).withColumnRenamed("v", "p")
@@ -190,7 +192,7 @@ def landweber(readings: DataFrame, table: DataFrame, extent, rounds: int, rate:
     return x
 
 
-def discrete(x: Grid, readings: DataFrame, table: DataFrame, levels: int, rounds: int, inner: int, rate: float, step: float = 1.0, bound: Grid | None = None, views: list[np.ndarray] | None = None) -> Grid:
+def discrete(x: Grid, readings: DataFrame, table: DataFrame, levels: int, rounds: int, inner: int, rate: float, step: float = 1.0, bound: Grid | None = None, antialias: bool = True) -> Grid:
     """Discrete refinement of a reconstruction.
 
     In each round cells whose neighbours all go to their nearest of ``levels`` levels are snapped to it and
@@ -209,7 +211,7 @@ def discrete(x: Grid, readings: DataFrame, table: DataFrame, levels: int, rounds
         state = kept(state.select(*axes, value.alias(x.value), (F.col("inside") | F.col("frozen")).alias("frozen")))
         frozen = state.select(*axes, "frozen")
         free = Grid(state.select(*axes, (~F.col("frozen")).alias("v")), x.axes, x.extent)
-        x = landweber(readings, table, x.extent, inner, rate, bound, replace(x, df=state.select(*axes, x.value)), step, free, views)
+        x = landweber(readings, table, x.extent, inner, rate, bound, replace(x, df=state.select(*axes, x.value)), step, free, antialias)
     return x
 
 

@@ -719,32 +719,105 @@ def local_maxima(s, d):
 VIEWS, DETECTORS = 8, 55
 
 
-def scan(s) -> tuple[list[np.ndarray], DataFrame]:
-    views = [linalg.parallel_view(math.pi * k / VIEWS, DETECTORS, (50, 11)) for k in range(VIEWS)]
-    return views, tomography.rays(s, views, (DETECTORS,))
-
-
-@query()
+def parallel_views(size: float = 1.0) -> tuple[list[np.ndarray], int]:
+    """Views of the quantity-discount grid; a detector cell spans ``size`` cells of it."""
+    n = math.ceil(DETECTORS / size)
+    views = [linalg.parallel_view(math.pi * k / VIEWS, n, (50, 11)) for k in range(VIEWS)]
+    for m in views:
+        m[0] = (m[0] - [0, 0, (n - 1) / 2]) / size + [0, 0, (n - 1) / 2]
+    return views, n
+
+
+def scan(s, size: float = 1.0) -> tuple[list[np.ndarray], DataFrame, int]:
+    views, n = parallel_views(size)
+    return views, tomography.rays(s, views, (n,)), n
+
+
+def rays_sql(size: float) -> str:
+    """ent: the weight of each cell for each ray, with boxes written out cell by cell; back: the system's adjoint needs no more."""
+    views, n = parallel_views(size)
+    rows = []
+    for k, m in enumerate(views):
+        way = linalg.camera_centre(m)[0]
+        pin = np.linalg.pinv(m[:, :2])
+        half = 0.5 * np.abs(np.linalg.inv(np.stack([m[0, :2], way]))[:, 0])
+        norm = math.sqrt(way[0] * way[0] + way[1] * way[1])
+        start = pin[:, 1] - pin @ m[:, 2]
+        num = lambda *x: ", ".join(f"{float(y)!r}::DOUBLE" for y in x)
+        rows.append(f"({k}, {num(pin[0, 0], start[0], pin[1, 0], start[1], way[0] / norm, way[1] / norm, half[0], half[1])})")
+    ends = lambda o, d, e: f"CASE WHEN abs({d}) < 1e-12 THEN CASE WHEN {o} < 0 OR {o} > {e} THEN {{0}} ELSE {{1}} END ELSE {{2}}(-{o} / {d}, ({e}.0::DOUBLE - {o}) / {d}) END"
+    low = [ends(o, d, e).format("1e30", "-1e30", "least") for o, d, e in (("o0", "d0", 49), ("o1", "d1", 10))]
+    high = [ends(o, d, e).format("-1e30", "1e30", "greatest") for o, d, e in (("o0", "d0", 49), ("o1", "d1", 10))]
+    return f"""vw(view, a0, b0, a1, b1, d0, d1, h0, h1) AS (VALUES {', '.join(rows)}),
+ry AS (SELECT view, CAST(u.range AS INT) AS u0, a0 * u.range + b0 AS o0, a1 * u.range + b1 AS o1, d0, d1, h0, h1 FROM vw, range({n}) u),
+rt AS (SELECT *, greatest(-1e30, {low[0]}, {low[1]}) AS t0, least(1e30, {high[0]}, {high[1]}) AS t1 FROM ry),
+rs AS (SELECT *, greatest(1, CAST(ceil(round(t1 - t0, 9)) AS INT)) AS steps FROM rt WHERE t1 > t0),
+sm AS (SELECT view, u0, h0, h1, o0 + (t0 + k.range * ((t1 - t0) / steps)) * d0 AS c0, o1 + (t0 + k.range * ((t1 - t0) / steps)) * d1 AS c1,
+  (t1 - t0) / steps * CASE WHEN k.range IN (0, steps) THEN 0.5 ELSE 1.0 END AS ds FROM rs, range(1000) k WHERE k.range <= steps),
+wb AS (SELECT view, u0, ds, greatest(0, CAST(floor(c0 - h0) AS INT)) AS l0, least(49, CAST(ceil(c0 + h0) AS INT)) AS r0, greatest(0, CAST(floor(c1 - h1) AS INT)) AS l1, least(10, CAST(ceil(c1 + h1) AS INT)) AS r1
+  FROM sm WHERE greatest(h0, h1) > 0.5),
+nt AS (SELECT view, u0, ds, least(49, greatest(0, CAST(floor(c0) AS INT) + p.range)) AS i0, least(10, greatest(0, CAST(floor(c1) AS INT) + q.range)) AS i1,
+  CASE WHEN p.range = 0 THEN 1 - (c0 - floor(c0)) ELSE c0 - floor(c0) END * CASE WHEN q.range = 0 THEN 1 - (c1 - floor(c1)) ELSE c1 - floor(c1) END AS w FROM sm, range(2) p, range(2) q WHERE greatest(h0, h1) <= 0.5),
+ent AS (SELECT view, u0, i0, i1, sum(a) AS a FROM (SELECT view, u0, CAST(x.range AS INT) AS i0, CAST(y.range AS INT) AS i1, ds / ((r0 - l0 + 1) * (r1 - l1 + 1)) AS a FROM wb, range(50) x, range(11) y WHERE x.range BETWEEN l0 AND r0 AND y.range BETWEEN l1 AND r1
+  UNION ALL SELECT view, u0, CAST(i0 AS INT), CAST(i1 AS INT), w * ds FROM nt) GROUP BY view, u0, i0, i1),
+fw AS (SELECT ry.view, ry.u0, coalesce(sum(a * v), 0) AS v FROM ry LEFT JOIN ent USING (view, u0) LEFT JOIN qd USING (i0, i1) GROUP BY ry.view, ry.u0)"""
+
+
+FORWARD_SQL = "SELECT CAST(view AS INT) AS view, u0, round(v, 6) AS v FROM fw"
+BACK_SQL = "SELECT i0, i1, round(coalesce(sum(a * f.v), 0), 4) AS v FROM qd LEFT JOIN ent USING (i0, i1) LEFT JOIN fw f USING (view, u0) GROUP BY i0, i1"
+
+
+@query(f"WITH {QD}, {rays_sql(1.0)} {FORWARD_SQL}")
 def forward_project(s, d):
-    views, table_ = scan(s)
+    _, table_, _ = scan(s)
     g = qd(s, d)
-    return tomography.forward(g, tomography.system(table_, g.extent, views=views), table_).select("view", "u0", F.round("v", 6).alias("v"))
+    return tomography.forward(g, tomography.system(table_, g.extent), table_).select("view", "u0", F.round("v", 6).alias("v"))
 
 
-@query()
+@query(f"WITH {QD}, {rays_sql(1.0)} {BACK_SQL}")
 def back_project(s, d):
-    views, table_ = scan(s)
+    _, table_, _ = scan(s)
     g = qd(s, d)
-    entries = tomography.system(table_, g.extent, views=views)
+    entries = tomography.system(table_, g.extent)
     return tomography.back(tomography.forward(g, entries, table_), entries, g.extent).mapped(lambda v: F.round(v, 4)).df
 
 
-@query()
+@query(f"WITH {QD}, {rays_sql(3.0)} {FORWARD_SQL}")
+def forward_project_coarse(s, d):
+    """Detector cells of three grid cells: all samples are box means."""
+    _, table_, _ = scan(s, 3.0)
+    g = qd(s, d)
+    return tomography.forward(g, tomography.system(table_, g.extent), table_).select("view", "u0", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {QD}, {rays_sql(3.0)} {BACK_SQL}")
+def back_project_coarse(s, d):
+    _, table_, _ = scan(s, 3.0)
+    g = qd(s, d)
+    entries = tomography.system(table_, g.extent)
+    return tomography.back(tomography.forward(g, entries, table_), entries, g.extent).mapped(lambda v: F.round(v, 4)).df
+
+
+BOUND_ROWS = ", ".join(f"({k}, {', '.join(f'{float(x)!r}::DOUBLE' for x in m[0])})" for k, m in enumerate(parallel_views()[0]))
+
+
+@query(
+    f"WITH {QD}, {rays_sql(1.0)}, vm(view, m0, m1, m2) AS (VALUES {BOUND_ROWS}) SELECT i0, i1, round(min(greatest(0, f.v)), 6) AS v FROM "
+    "(SELECT i0, i1, view, CAST(round(m0 * i0 + m1 * i1 + m2) AS INT) AS u0 FROM qd, vm) c LEFT JOIN fw f USING (view, u0) GROUP BY i0, i1"
+)
 def density_bound(s, d):
-    views, table_ = scan(s)
+    views, table_, n = scan(s)
     g = qd(s, d)
     readings = tomography.forward(g, tomography.system(table_, g.extent), table_)
-    return tomography.density_bound(readings, views, (DETECTORS,), g.extent).mapped(lambda v: F.round(v, 6)).df
+    return tomography.density_bound(readings, views, (n,), g.extent).mapped(lambda v: F.round(v, 6)).df
+
+
+@query("WITH p AS (SELECT CAST(o_orderkey AS INT) AS k, CAST(o_custkey % 7 AS BIGINT) AS x FROM orders WHERE o_orderkey >= 0) SELECT k AS i0, sum(x) OVER (ORDER BY k) AS v FROM p")
+def running_orders(s, d):
+    """One line with as many cells as the largest order key, scanned in blocks; only its filled cells come back."""
+    rows = table(s, d, "orders").where("o_orderkey >= 0").select(F.col("o_orderkey").cast("int").alias("i0"), (F.col("o_custkey") % 7).cast("long").alias("v"))
+    n = rows.agg(F.max("i0")).first()[0] + 1
+    return prefix.integral(Grid(rows, ("i0",), (n,)), block=1 << 12).df
 
 
 # ---- pictures and point queries
