@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..grid import Grid
-from . import stencil
+from ..grid import Grid, lattice
+from . import fourier, nearest, stencil
 from .linalg import solve2
 
 
@@ -123,56 +123,44 @@ def descriptors(g: Grid, points: DataFrame, cells: int = 4, patch: float = 6.0)
 def match(left: DataFrame, right: DataFrame, ratio: float = 0.8, name: str = "id", vector: str = "descriptor", block: int = 20_000) -> DataFrame:
     """Ratio-test matches (index0, index1, distance): the nearest right vector of each left one, if clearly nearer than the second.
 
-    All distances are needed, so both sides are dealt into blocks of about ``block`` vectors and every pair of blocks is one
-    group; a group returns the two nearest of each left vector, and these are merged. Ties go to the
-    smaller index; a single candidate is kept.
+    Ties go to the smaller index; a single candidate is kept. See ``nearest`` for the search.
     """
-    blocks = max(2, -(-max(left.count(), right.count()) // block))
-    a = left.select(F.col(name).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).withColumn("p", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = right.select(F.col(name).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).withColumn("q", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"i": [], "j": [], "d": []})
-        y = y.sort_values("i")
-        vx, vy, j = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), y["i"].to_numpy()
-        out = []
-        for k in range(0, len(vx), 256):
-            part = vx[k : k + 256]
-            # a matrix product picks a few candidates; the exact distance of these decides, so rounding changes no answer
-            rough = (part * part).sum(1)[:, None] - 2 * part @ vy.T + (vy * vy).sum(1)[None, :]
-            few = np.sort(np.argpartition(rough, min(7, len(vy) - 1), axis=1)[:, :8], axis=1)
-            close = np.sqrt(((part[:, None, :] - vy[few]) ** 2).sum(2))
-            two = np.argsort(close, axis=1, kind="stable")[:, :2]
-            best, d = np.take_along_axis(few, two, 1), close
-            i = np.repeat(x["i"].to_numpy()[k : k + 256], best.shape[1])
-            out.append(pd.DataFrame({"i": i, "j": j[best.ravel()], "d": np.take_along_axis(d, two, 1).ravel()}))
-        return pd.concat(out)
-
-    got = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(nearest, "i bigint, j bigint, d double")
-    two = got.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("c"))  # two per block
+    side = lambda df, n: df.select(F.col(name).cast("long").alias(n), F.col(vector).cast("array<double>").alias("v"))
+    two = nearest.two_nearest(side(left, "i"), side(right, "j"), block)
     first, second = F.col("c")[0], F.get("c", F.lit(1))
     keep = second.isNull() | (second["d"] == 0) | (first["d"] / F.when(second["d"] != 0, second["d"]) < ratio)
     return two.where(keep).select(F.col("i").alias("index0"), first["j"].alias("index1"), first["d"].alias("distance"))
 
 
-def spread_matches(g: Grid, moves: DataFrame, part_cells: int = 65_536) -> DataFrame:
+def spread_matches(g: Grid, moves: DataFrame) -> DataFrame:
     """Dense flow from sparse moves (order, x, y, d0, d1), weighted by inverse squared distance: (axes, u0, u1).
 
-    A cell on a move takes the first one. Without moves the flow is 0. Every cell sums over every move: the
-    cells are dealt into groups of about ``part_cells``, and each group gets a copy of the moves.
+    A cell on a move takes the first one. Without moves the flow is 0. The sums of weights and of weighted moves are convolutions of the moves,
+    as cells of a grid, with the inverse squares of the lattice: products of transforms over a grid of twice the extent, so that no cell meets a move.
+    Both components of the moves are one complex field. Moves start at cells of the grid.
     """
-    parts = max(8, -(-g.size // part_cells))
     a, b = g.axes
-    cells = g.df.select(a, b).withColumn("part", F.pmod(F.xxhash64(a, b), F.lit(parts)))
-    marked = moves.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    gap = (F.col(a) - F.col("x")) * (F.col(a) - F.col("x")) + (F.col(b) - F.col("y")) * (F.col(b) - F.col("y"))
-    rows = cells.join(marked, "part", "left").withColumn("s", gap.cast("double"))
-    hit = F.min(F.when(F.col("s") < 1e-9, F.struct("order", "d0", "d1")))
-    w = F.when(F.col("s") >= 1e-9, 1 / F.col("s"))
-    got = rows.groupBy(a, b).agg(hit.alias("hit"), F.sum(w).alias("w"), F.sum(w * F.col("d0")).alias("m0"), F.sum(w * F.col("d1")).alias("m1"))
-    pick = lambda k: F.coalesce(F.col(f"hit.d{k}"), F.try_divide(F.col(f"m{k}"), F.col("w")), F.lit(0.0))
-    return got.select(a, b, pick(0).alias("u0"), pick(1).alias("u1"))
+    n = tuple(2 * e for e in g.extent)
+    spark = g.df.sparkSession
+    around = [F.when(F.col(x) < e, F.col(x)).otherwise(F.col(x) - 2 * e) for x, e in zip(("i0", "i1"), g.extent, strict=True)]
+    far = (around[0] * around[0] + around[1] * around[1]).cast("double")
+    zero = F.lit(0.0)
+    kernel = lattice(spark, n).select(F.lit("k").alias("field"), "i0", "i1", F.coalesce(F.try_divide(F.lit(1.0), far), zero).alias("re"), zero.alias("im"))
+    at = moves.groupBy(F.col("x").cast("int").alias("i0"), F.col("y").cast("int").alias("i1"))
+    at = at.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("d0").alias("s0"), F.sum("d1").alias("s1"), F.min(F.struct("order", "d0", "d1")).alias("hit"))
+    cells = lattice(spark, n).join(at, ["i0", "i1"], "left")
+    field = lambda name, re, im: cells.select(F.lit(name).alias("field"), "i0", "i1", F.coalesce(re, zero).alias("re"), F.coalesce(im, zero).alias("im"))
+    fields = kernel.unionByName(field("w", F.col("n"), zero)).unionByName(field("m", F.col("s0"), F.col("s1")))
+    spectra = fourier.fft(fields, ["i0", "i1"], ["field"])
+    # the lattice is symmetric, so its transform is real
+    scale = spectra.where("field = 'k'").select("i0", "i1", F.col("re").alias("s"))
+    product = spectra.where("field <> 'k'").join(scale, ["i0", "i1"]).select("field", "i0", "i1", (F.col("re") * F.col("s")).alias("re"), (F.col("im") * F.col("s")).alias("im"))
+    back = fourier.fft(product, ["i0", "i1"], ["field"], inverse=True)
+    weight, moved = (back.where(F.col("field") == f).where((F.col("i0") < g.extent[0]) & (F.col("i1") < g.extent[1])) for f in "wm")
+    sums = weight.select("i0", "i1", F.col("re").alias("w")).join(moved.select("i0", "i1", "re", "im"), ["i0", "i1"]).join(at.select("i0", "i1", "hit"), ["i0", "i1"], "left")
+    # where there is no move at all, nothing but rounding stands in place of a weight
+    pick = lambda k, c: F.coalesce(F.col(f"hit.d{k}"), F.when(F.col("w") > 1e-12, F.col(c) / F.col("w")), zero)
+    return sums.select(F.col("i0").alias(a), F.col("i1").alias(b), pick(0, "re").alias("u0"), pick(1, "im").alias("u1"))
 
 
 def sift_flow(first: Grid, second: Grid, contrast: float = 5.0, ratio: float = 0.8) -> DataFrame:
