@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tomography import kept
+
 MOST_PIVOTS = 256
 SPARE = 1e-9  # of a distance, for rounding
 PAIRS = 100_000  # whose exact distances are made at once
@@ -110,12 +112,12 @@ def blocks_of(right: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
 
 
 def plan(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(blocks, visits that come first, found there): ``visits`` has one row for each left vector (i, v, far, nearest) and its block's id."""
+    """(blocks, first, shells): blocks of (j, v), the first visit of each left vector (i, v, far) with its block's id, and the bounds of each block's distances."""
     n = right.count()
-    few = right.orderBy(F.xxhash64(F.lit(17), "j"), "j").limit(int(np.clip(-(-n // block), 1, MOST_PIVOTS))).select("v").collect()
-    if not few:  # no right vector: no block
+    if n <= block:  # one block, which all left vectors visit
         one = [F.lit(0).alias(b) for b in BLOCK_ID]
-        return right.select("j", "v", F.lit(0.0).alias("r"), *one), left.select("i", "v", F.array(F.lit(0.0)).alias("far"), *one).where("false"), None
+        return right.select("j", "v", *one), left.select("i", "v", *one), None
+    few = right.orderBy(F.xxhash64(F.lit(17), "j"), "j").limit(min(-(-n // block), MOST_PIVOTS)).select("v").collect()
     pivots = np.array([r.v for r in few])
     blocks = blocks_of(right, pivots, block)
     shells = blocks.groupBy(*BLOCK_ID).agg(F.min("r").alias("least"), F.max("r").alias("most"))
@@ -141,11 +143,15 @@ def visited(first: DataFrame, found: DataFrame, shells: DataFrame) -> DataFrame:
 def two_nearest(left: DataFrame, right: DataFrame, block: int = 20_000) -> DataFrame:
     """(i, c): for each left vector (i, v) the array of (d, j) of its two nearest right vectors (j, v), nearest first, ties to the smaller j.
 
-    Null vectors on either side are left out; vectors have one length.
+    Null vectors on either side are left out; vectors have one length. Both sides, the blocks and what is found first are written to the
+    checkpoint folder, since each is read several times.
     """
-    left, right = left.where("v is not null"), right.where("v is not null")
+    left, right = kept(left.where("v is not null")), kept(right.where("v is not null"))
     blocks, first, shells = plan(left, right, block)
-    found = meet(first, blocks, block)
-    if shells is not None:
+    if shells is None:
+        found = meet(first, blocks, block)
+    else:
+        blocks, first = kept(blocks), kept(first)
+        found = kept(meet(first, blocks, block))
         found = found.unionByName(meet(visited(first, found, shells), blocks, block))
     return found.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("c")).select("i", F.slice("c", 1, 2).alias("c"))
