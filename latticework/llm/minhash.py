@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups_of, pieces, smallest_reached, texts, written
+from .common import components, forget, groups_of, pieces, smallest_reached, texts, written
 
 FUNCTIONS, ROWS = 60, 5
 BANDS = 2 * FUNCTIONS // ROWS
@@ -186,11 +186,13 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, block: int
     wanted = pairs.select("doc").union(pairs.select("head")).distinct()
     wanted = whole.join(wanted, "doc", "left_semi").select("doc", "set_id")
     sets = texts(docs).join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "set_id")
-    sets = written(full_sets(sets, words), "sets")
+    sets = written(full_sets(sets, words).dropDuplicates(["doc_id"]), "sets")  # repeated rows have one set
     mine, theirs = sets.toDF("doc", "x"), sets.toDF("head", "y")
     stars = pairs.join(mine, "doc").join(theirs, "head")
     stars = stars.select("head", "doc", F.size("x").alias("n"), F.size("y").alias("m"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("delta"))
     stars = written(stars.withColumn("odd", ~similar(F.col("n"), F.col("m"), F.size("delta"), percent)), "stars")
+    for t in (shared, pairs, sets):
+        forget(t)
 
     weight = F.size("delta")
     odd = F.col("odd").cast("int")
@@ -207,6 +209,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, block: int
     more = cells.mapInArrow(linked(percent), "a bigint, b bigint")
 
     links = stars.where("not odd").select(F.col("doc").alias("a"), F.col("head").alias("b"))
-    classes = whole.select("set_id", "doc").join(components(links.union(more)), F.col("doc") == F.col("node"), "left").select("set_id", F.coalesce("component_id", "doc").alias("class"))
+    found = components(links.union(more))
+    forget(stars)
+    classes = whole.select("set_id", "doc").join(found, F.col("doc") == F.col("node"), "left").select("set_id", F.coalesce("component_id", "doc").alias("class"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

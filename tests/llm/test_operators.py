@@ -310,6 +310,26 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, flat).where("predicted = 1").count() == 0 and toxicity.score(empty, flat).count() == 0
 
 
+def test_repeated_rows_have_one_set_and_few_tables_stay(spark, monkeypatch):
+    """Three hundred repeats of two near copies give one star; of the tables that were written those stay that the result reads."""
+    stars, tables, gone = [], [], []
+    real, forget = minhash.written, minhash.forget
+
+    def written(df, label):
+        out = real(df, label)
+        tables.append(out.inputFiles()[0].rsplit("/", 1)[0] if out.inputFiles() else label)
+        if label == "stars":
+            stars.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", written)
+    monkeypatch.setattr(minhash, "forget", lambda df: gone.append(1) or forget(df))
+    text = prose(200, r=random.Random(6))
+    df = spark.createDataFrame([(1, text)] * 300 + [(2, text + " more")] * 300, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == {1: (1, True), 2: (1, False)} and stars == [1] and len(tables) - len(gone) == 2
+
+
 def test_own_strings_are_those_that_ordinary_texts_lack():
     r = random.Random(3)
     plain = [prose(60, r=r).encode() for _ in range(40)]
