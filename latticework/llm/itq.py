@@ -159,8 +159,8 @@ def compared(codes: Codes, dims: int, least: float):
         for cell in groups_of(batches, CELL):
             a, b = sides(cell)
             unit = unit_rows(vectors_of(cell.column("v"), dims))
-            keys, table = codes.keys(unit), cell.column("spot")[0].as_py() >> 32
-            sketch = codes.sketches(unit)
+            keys, table = vectors_of(cell.column("keys"), codes.tables), cell.column("spot")[0].as_py() >> 32
+            sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint64).reshape(cell.num_rows, -1)
             i, j = np.nonzero(unit[a] @ unit[b].T >= least)
             i, j = a[i], b[j]
             good = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= codes.apart
@@ -187,16 +187,17 @@ def links_of(same: DataFrame, dims: int, least: float, recall: float, sample: in
     codes = Codes(unit_rows(np.stack(list(drawn))), n, least, recall)
     codes.centred = None  # not needed any more, and tasks get a copy of the object
 
-    def keyed(batches: Iterator) -> Iterator:
+    def coded(batches: Iterator) -> Iterator:
         for part in pieces(batches, 4096):
             unit = unit_rows(vectors_of(part.column("v"), dims))
-            spot = codes.keys(unit) | np.arange(codes.tables, dtype=np.int64) << 32
-            sketch = [x.tobytes() for x in codes.sketches(unit)]
-            head = part.column("head").to_numpy()
-            for t in range(codes.tables):
-                yield pa.RecordBatch.from_arrays([pa.array(spot[:, t]), pa.array(head), pa.array(sketch, pa.binary())], ["spot", "head", "sketch"])
-
-    spots = same.mapInArrow(keyed, "spot bigint, head bigint, sketch binary")
+            keys = pa.ListArray.from_arrays(np.arange(len(unit) + 1, dtype=np.int32) * codes.tables, pa.array(codes.keys(unit).ravel()))
+            sketch = pa.array([x.tobytes() for x in codes.sketches(unit)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, keys, sketch], [*part.schema.names, "keys", "sketch"])
+
+    # codes are made once: made again beside other vectors, a sign within rounding of 0 could differ
+    same = written(same.mapInArrow(coded, f"{', '.join(f'{c} {t}' for c, t in same.dtypes)}, keys array<bigint>, sketch binary"), "coded")
+    spots = same.select(F.posexplode("keys").alias("t", "key"), "head", "sketch")
+    spots = spots.select(F.col("key").bitwiseOR(F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"), "head", "sketch")
     # only buckets of more than a block need to be dealt into blocks
     large = spots.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     spots = spots.join(large, "spot", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1)))
@@ -206,9 +207,10 @@ def links_of(same: DataFrame, dims: int, least: float, recall: float, sample: in
     together = lambda df: df.repartition(parts, *CELL).sortWithinPartitions(*CELL, "head")
     cell = "spot bigint, b1 int, b2 int, side int, head bigint"
     near = written(together(spots).mapInArrow(near_codes(codes), cell), "near")
-    cells = near.join(same, "head")
+    cells = near.join(same.select("head", "copies", "v", "keys", "sketch"), "head")
     found = written(together(cells).mapInArrow(compared(codes, dims, least), "head bigint, links bigint, to bigint"), "found")
     forget(near)
+    forget(same)
     return found
 
 
@@ -221,7 +223,8 @@ def near_duplicates(df: DataFrame, least: float = 0.9, recall: float = 0.985, sa
     hash of the id, and ``recall`` is the share of pairs right at the threshold that the tables have to find; all
     vectors are indexed and compared. Other columns are not read.
 
-    Equal vectors are put together first. A bucket of more than BLOCK vectors is dealt into blocks
+    Equal vectors are put together first. Up to BLOCK different vectors of one length have no tables: they are one bucket and one cell, which compares
+    them all. A bucket of more than BLOCK vectors is dealt into blocks
     and every two blocks meet in one cell, so no task holds a large bucket. Tables hold ids and codes; original
     vectors move to a cell only when another code there is near. A cell counts links and keeps one link per vector towards
     the smallest one it reaches; pairs are never written. A pair counts in the first table in which it meets,

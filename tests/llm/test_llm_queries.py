@@ -143,6 +143,25 @@ def test_embeddings_query(result):
     assert result("op6_embeddings", vec_id=LONG, n_links=LONG, component_id=LONG, kept=FLAG) == want
 
 
+def test_embeddings_query_with_tables(spark, tmp_path):
+    """More vectors than are compared without tables: pairs from the threshold up, and vectors with a common direction."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(1900, 48)) + 0.4
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.normal(size=(300, 48))
+    away -= (away * unit[:300]).sum(1, keepdims=True) * unit[:300]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    c = r.uniform(0.9, 0.95, (300, 1))
+    x = np.vstack([unit, c * unit[:300] + np.sqrt(1 - c * c) * away])
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {q.vec_id: q for q in queries.QUERIES["op6_embeddings"](spark, str(tmp_path)).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = (x @ x.T >= 0.9).sum(1) - 1
+    assert len(got) == len(x) and all(got[k].n_links <= n[k] for k in got)
+    assert sum(q.n_links for q in got.values()) >= 0.97 * n.sum() >= 0.97 * 580
+    assert all(q.kept == (q.component_id == k) and got[q.component_id].component_id == q.component_id for k, q in got.items())
+
+
 def test_token_counts_query(result, docs):
     from sentencepiece import SentencePieceProcessor
 
