@@ -40,7 +40,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with one id count as one document, rows with a null id lose nothing; repeated rows all stay. A null text stays
     as an empty one. Columns other than COLUMNS are left out.
     """
-    out = lines.drop_common_lines(docs.select(COLUMNS)).where("n_dropped = 0 or length(trim(text)) > 0")
+    out = lines.drop_common_lines(docs.select(COLUMNS)).where((F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(lines.BLANKS))) > 0))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
