@@ -26,7 +26,7 @@ def test_run(spark, tmp_path):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     docs = {r[0]: (r[1], r[3]) for r in data if any(c.isalpha() for c in r[1] or "")}
     dropped = {k: "\n".join(x) for (k, _), x in brute_lines([(k, t) for k, (t, _) in docs.items()]).items()}
-    dropped = {k: t for k, t in dropped.items() if t.strip(" ") or t == docs[k][0]}
+    dropped = {k: t for k, t in dropped.items() if t.strip(" \t\n\x0b\f\r") or t == docs[k][0]}
     near = brute_near(dropped, 5, 80)
     kept = {k: t for k, t in dropped.items() if near[k][1] == k}
     con = duckdb.connect()
