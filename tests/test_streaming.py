@@ -1,6 +1,6 @@
 import json
 
-from latticework.streaming import ring, viewport
+from latticework.streaming import mailbox, ring, viewport
 
 
 def test_ring_over_a_stream(spark, tmp_path):
@@ -41,3 +41,49 @@ def test_viewports(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["viewportId"], r["frame"]) for r in seen] == [("a", 40)]
+
+
+def said(kind, seq, name=None, client="c", op=None, **params):
+    return json.dumps({"type": kind, "client": client, "viewportId": name, "seq": seq} | ({"op": op} if op else {}) | ({"params": params} if params else {}))
+
+
+def test_mailboxes_go_on_from_their_checkpoint(spark, tmp_path):
+    source, folder = tmp_path / "in", str(tmp_path / "open")
+
+    def send(*messages):
+        spark.createDataFrame([(m,) for m in messages], "value string").coalesce(1).write.mode("append").text(str(source))
+
+    def run():
+        stream = mailbox.parsed(spark.readStream.text(str(source)))
+        q = mailbox.changes(stream).writeStream.outputMode("update").foreachBatch(mailbox.keep_latest(folder)).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+        return {(r["client"], r["viewportId"]): (r["op"], r["params"], r["version"]) for r in mailbox.latest(spark, folder).collect()}
+
+    assert mailbox.latest(spark, folder).collect() == []
+    send(
+        said("updateViewport", 3, "a", lo="5"), said("createViewport", 1, "a", lo="0", hi="9"), "no json", said("createViewport", 2, "b", op="volume"), said("updateViewport", 4, "unknown", lo="1"),
+        said("createViewport", 1, "a", "d"), said("closeViewport", 6, "never"), said("createViewport", 5, None), said("createViewport", None, "x"),
+    )
+    first = {("c", "a"): ("slice", {"lo": "5", "hi": "9"}, 6), ("c", "b"): ("volume", {}, 6), ("d", "a"): ("slice", {}, 1)}
+    assert run() == first
+    # the stream is stopped here; state and snapshot are read again
+    send(said("updateViewport", 8, "a", hi="7"), said("updateViewport", 2, "a", lo="stale"), said("closeViewport", 7, "b"), said("updateViewport", 9, "b", lo="closed"))
+    assert run() == {("c", "a"): ("slice", {"lo": "5", "hi": "7"}, 9), ("d", "a"): ("slice", {}, 1)}
+    send(said("createViewport", 10, "b", op="slice", lo="new"), said("createViewport", 11, "a"))
+    assert run()[("c", "b")] == ("slice", {"lo": "new"}, 11) and run()[("c", "a")] == ("slice", {}, 11)
+    send(said("disconnect", 12), said("createViewport", 2, "z", "d"))
+    assert run() == {("d", "a"): ("slice", {}, 1), ("d", "z"): ("slice", {}, 2)}
+    assert len(mailbox.snapshots(spark, folder)) <= 2
+
+
+def test_snapshot_of_a_trigger_run_again(spark, tmp_path):
+    folder = str(tmp_path / "open")
+    rows = [("c", "a", "slice", {"lo": "1"}, 3, True), ("c", "b", "slice", {}, 3, True)]
+    keep = mailbox.keep_latest(folder)
+    keep(spark.createDataFrame(rows, mailbox.CHANGE), 0)
+    for _ in range(2):
+        keep(spark.createDataFrame([("c", "a", None, None, 4, False)], mailbox.CHANGE), 1)
+        assert [r["viewportId"] for r in mailbox.latest(spark, folder).collect()] == ["b"]
+    frames = spark.createDataFrame([(1, 10)], "seq bigint, frame bigint")
+    assert frames.crossJoin(mailbox.latest(spark, folder)).select("viewportId", "frame").collect()[0]["frame"] == 10
