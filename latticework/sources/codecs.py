@@ -39,9 +39,9 @@ def encode_raw(values: np.ndarray, extent, extra=None) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-def decode_nrrd(raw: bytes):
-    """Attached raw data; ``spacings`` or the diagonal of ``space directions`` come out as spacing."""
-    cut = raw.find(b"\n\n")
+def nrrd_fields(raw: bytes) -> tuple[dict[str, str], int]:
+    """The fields of a header, and where it ends."""
+    cut = min((k for k in (raw.find(b"\n\n"), raw.find(b"\r\n\r\n")) if k >= 0), default=-1)
     head = raw[: cut if cut >= 0 else len(raw)].decode("ascii", "replace").splitlines()
     if not head or not head[0].startswith("NRRD"):
         raise ValueError("no NRRD file")
@@ -50,8 +50,20 @@ def decode_nrrd(raw: bytes):
         if ":" in line and not line.startswith("#"):
             k, v = line.split(":", 1)
             fields[k.strip().lower()] = v.lstrip("= ").strip()
-    if "data file" in fields or "datafile" in fields:
-        raise ValueError("the values are in another file: read that one as raw")
+    return fields, cut + (4 if raw[cut : cut + 1] == b"\r" else 2) if cut >= 0 else len(raw)
+
+
+def nrrd_target(raw: bytes) -> str | None:
+    """The file that holds the values of a detached header; null where they follow the header itself."""
+    fields, _ = nrrd_fields(raw)
+    return fields.get("data file", fields.get("datafile"))
+
+
+def decode_nrrd(raw: bytes, detached: bytes | None = None):
+    """Raw data behind the header or ``detached``; ``spacings`` or the diagonal of ``space directions`` come out as spacing."""
+    fields, cut = nrrd_fields(raw)
+    if detached is None and nrrd_target(raw) is not None:
+        raise ValueError("the values are in another file: read them as a pair")
     if fields.get("encoding", "raw") != "raw" or int(fields.get("line skip", fields.get("lineskip", 0))):
         raise ValueError("only raw encoding without skipped lines")
     extent = tuple(int(x) for x in fields["sizes"].split())
@@ -59,8 +71,11 @@ def decode_nrrd(raw: bytes):
         raise ValueError("dimension and sizes do not agree")
     kind = NRRD_TYPES[fields["type"].lower()]
     order = ">" if fields.get("endian", "little") == "big" and kind[1] != "1" else "<"
-    at = cut + 2 + max(0, int(fields.get("byte skip", fields.get("byteskip", 0))))
-    values, extent, _ = decode_raw(raw, extent, order + kind, at)
+    skip = int(fields.get("byte skip", fields.get("byteskip", 0)))
+    body, at = (raw, cut) if detached is None else (detached, 0)
+    if skip < 0:  # the values are the last bytes of the file
+        at = len(body) - int(np.prod(extent)) * np.dtype(kind).itemsize
+    values, extent, _ = decode_raw(body, extent, order + kind, at + max(0, skip))
     spacing = [float(x) for x in fields["spacings"].split()] if "spacings" in fields else None
     if spacing is None and "space directions" in fields:
         flat = [float(x) for x in fields["space directions"].replace("(", " ").replace(")", " ").replace(",", " ").replace("none", " ").split()]
@@ -69,11 +84,18 @@ def decode_nrrd(raw: bytes):
 
 
 def encode_nrrd(values: np.ndarray, extent, extra=None) -> bytes:
+    return nrrd_header(values, extent, extra) + values.astype("<" + short(values.dtype)).tobytes()
+
+
+def nrrd_header(values: np.ndarray, extent, extra=None, target: str | None = None) -> bytes:
+    """The header of values that follow it, or that are in the file ``target`` beside it."""
     kind = short(values.dtype)
     lines = ["NRRD0004", f"type: {NRRD_NAMES[kind]}", f"dimension: {len(extent)}", f"sizes: {' '.join(map(str, extent))}", "encoding: raw", "endian: little"]
     if extra and extra.get("spacing"):
         lines.append(f"spacings: {' '.join(map(str, extra['spacing']))}")
-    return ("\n".join(lines) + "\n\n").encode() + values.astype("<" + kind).tobytes()
+    if target is not None:
+        lines.append(f"data file: {target}")
+    return ("\n".join(lines) + "\n\n").encode()
 
 
 def decode_bmp(raw: bytes):
@@ -162,8 +184,9 @@ def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, c: int) -> np.nd
 
 def encode_png(values: np.ndarray, extent, extra=None) -> bytes:
     v = np.asarray(values)
+    extent = (1, *extent) if len(extent) == 2 else extent
     if len(extent) != 3 or extent[0] not in (1, 3, 4) or v.dtype != np.uint8:
-        raise ValueError("8-bit values with 1, 3 or 4 channels first")
+        raise ValueError("8-bit values with two axes, or with 1, 3 or 4 channels first")
     c, w, h = extent
     body = np.zeros((h, 1 + w * c), np.uint8)
     body[:, 1:] = v.reshape(h, w * c)
@@ -221,37 +244,77 @@ def decode_analyze(header: bytes, image: bytes):
     return values.astype(kind), extent, {"spacing": spacing}
 
 
+def encode_analyze(values: np.ndarray, extent, extra=None) -> tuple[bytes, bytes]:
+    """Header and values of a version 7.5 pair, little endian, of one to four axes."""
+    kind = short(values.dtype)
+    code = {v: k for k, v in ANALYZE_TYPES.items()}.get(kind)
+    if code is None or not 1 <= len(extent) <= 4:
+        raise ValueError(f"no type of values for {kind}, or too many axes")
+    spacing = list((extra or {}).get("spacing") or [1.0] * len(extent))
+    head = bytearray(348)
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<8h", head, 40, len(extent), *extent, *[1] * (7 - len(extent)))
+    struct.pack_into("<2h", head, 70, code, 8 * np.dtype(kind).itemsize)
+    struct.pack_into("<8f", head, 76, 0.0, *spacing, *[0.0] * (7 - len(spacing)))
+    return bytes(head), values.astype("<" + kind).tobytes()
+
+
+def behind_sequence(raw: bytes, at: int, order: str, plain: bool) -> int:
+    """The place behind a sequence of undefined length whose first item starts at ``at``."""
+    while at + 8 <= len(raw):
+        group, element, n = struct.unpack_from(order + "HHI", raw, at)
+        at += 8
+        if (group, element) == (0xFFFE, 0xE0DD):
+            return at
+        if n != 0xFFFFFFFF:
+            at += n
+            continue
+        while struct.unpack_from(order + "HH", raw, at) != (0xFFFE, 0xE00D):  # an item that ends with a mark
+            _, head, size = element_head(raw, at, order, plain)
+            at = behind_sequence(raw, at + head, order, plain) if size == 0xFFFFFFFF else at + head + size
+        at += 8
+    raise ValueError("a sequence does not end")
+
+
+def element_head(raw: bytes, at: int, order: str, plain: bool) -> tuple[tuple[int, int], int, int]:
+    """(group and element, bytes before the value, its length); ``plain`` headers name the kind of value."""
+    name = struct.unpack_from(order + "HH", raw, at)
+    if not plain:
+        return name, 8, struct.unpack_from(order + "I", raw, at + 4)[0]
+    if raw[at + 4 : at + 6] in EXPLICIT_LONG:
+        return name, 12, struct.unpack_from(order + "I", raw, at + 8)[0]
+    return name, 8, struct.unpack_from(order + "H", raw, at + 6)[0]
+
+
 def decode_dicom(raw: bytes):
-    """Uncompressed files in explicit or implicit little endian: extent (columns, rows, frames); slope and intercept are only reported."""
+    """Uncompressed files in explicit or implicit little endian or explicit big endian; sequences are passed over: extent (columns, rows, frames); slope and intercept are only reported."""
     if raw[128:132] != b"DICM":
         raise ValueError("no DICOM file")
-    at, found, explicit, syntax = 132, {}, True, "1.2.840.10008.1.2.1"
+    at, found, syntax = 132, {}, "1.2.840.10008.1.2.1"
     while at + 8 <= len(raw):
-        group, element = struct.unpack_from("<HH", raw, at)
-        plain = explicit or group == 2
-        if plain:
-            kind = raw[at + 4 : at + 6]
-            n, head = (struct.unpack_from("<I", raw, at + 8)[0], 12) if kind in EXPLICIT_LONG else (struct.unpack_from("<H", raw, at + 6)[0], 8)
-        else:
-            n, head = struct.unpack_from("<I", raw, at + 4)[0], 8
+        first = struct.unpack_from("<H", raw, at)[0] == 2  # the first group is always explicit and little endian
+        order = ">" if syntax == "1.2.840.10008.1.2.2" and not first else "<"
+        plain = first or syntax != "1.2.840.10008.1.2"
+        name, head, n = element_head(raw, at, order, plain)
         if n == 0xFFFFFFFF:
-            raise ValueError("nested or compressed parts are not supported")
-        part = raw[at + head : at + head + n]
-        found[group, element] = part
+            if name == (0x7FE0, 0x10):
+                raise ValueError("compressed values are not supported")
+            at = behind_sequence(raw, at + head, order, plain)
+            continue
+        found[name] = raw[at + head : at + head + n]
         at += head + n
-        if (group, element) == (2, 16):
-            syntax = part.rstrip(b"\0 ").decode()
-            if syntax not in ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1"):
+        if name == (2, 16):
+            syntax = found[name].rstrip(b"\0 ").decode()
+            if syntax not in ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2"):
                 raise ValueError(f"transfer syntax {syntax} is not supported")
-        if group == 2:
-            explicit = syntax != "1.2.840.10008.1.2"
-    number = lambda key, default: struct.unpack("<H", found[key][:2])[0] if key in found else default
+    order = ">" if syntax == "1.2.840.10008.1.2.2" else "<"
+    number = lambda key, default: struct.unpack(order + "H", found[key][:2])[0] if key in found else default
     text = lambda key, default: float(found[key].decode().strip(" \0") or default) if key in found else default
     rows, columns, bits = number((0x28, 0x10), 0), number((0x28, 0x11), 0), number((0x28, 0x100), 16)
     frames = int(text((0x28, 0x8), 1))
     kind = ("i" if number((0x28, 0x103), 0) else "u") + str(bits // 8)
-    values, extent, _ = decode_raw(found[0x7FE0, 0x10], (columns, rows, frames), "<" + kind)
-    return values, extent, {"slope": text((0x28, 0x1053), 1.0), "intercept": text((0x28, 0x1052), 0.0)}
+    values, extent, _ = decode_raw(found[0x7FE0, 0x10], (columns, rows, frames), order + kind)
+    return values.astype(kind), extent, {"slope": text((0x28, 0x1053), 1.0), "intercept": text((0x28, 0x1052), 0.0)}
 
 
 def wire_frame(viewport: str, index: int, width: int, height: int, channels: int, pixels: bytes) -> bytes:

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from pathlib import PurePosixPath
+from posixpath import normpath
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import Grid
-from .codecs import DECODERS, ENCODERS, decode_raw, wire_frame
+from .codecs import DECODERS, ENCODERS, decode_analyze, decode_nrrd, decode_raw, encode_analyze, encode_raw, nrrd_header, nrrd_target
 
 FRAME = "path string, extent array<int>, dtype string, payload array<double>, extra map<string,string>"
 
@@ -67,23 +69,94 @@ def encoded(g: Grid, kind: str, dtype: str = "u1", **extra) -> DataFrame:
 
 
 def save(rows: DataFrame, name: str, folder: str, suffix: str, content: str = "content") -> int:
-    """Write each row's content to a file named by column ``name``; rows come to the driver one at a time. Returns the number of files."""
-    spark = rows.sparkSession
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    for row in rows.select(name, content).toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row[0]}.{suffix}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(row[1]))
-        out.close()
-        n += 1
+    """Write each row's content to a file named by column ``name``, in the task that has the row. Returns the number of files.
+
+    A file is written under another name and then moved to its own, so a file is there whole or not at all, and a task that runs twice writes the
+    same files. When all are there the empty file _SUCCESS follows. ``folder`` is a place that driver and executors reach by one address, as
+    an absolute path or an address that Arrow's file systems read.
+    """
+    from pyarrow import fs
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from uuid import uuid4
+
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = f"{top}/.{uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(data.as_buffer())
+                store.move(part, f"{top}/{n}.{suffix}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    named = rows.select(F.col(name).cast("string"), F.col(content).cast("binary")).where(F.col(name).isNotNull())
+    n = named.mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    store, top = fs.FileSystem.from_uri(folder)
+    store.create_dir(top, recursive=True)
+    store.open_output_stream(f"{top}/_SUCCESS").close()
     return n
 
 
+def encoded_pair(g: Grid, kind: str, dtype: str = "u1", name: str | None = None, **extra) -> DataFrame:
+    """Two files per key of a grid, as rows (keys, header, image): ``kind`` is analyze, or nrrd whose header names the file ``name`` column + ".raw"."""
+    size = tuple(g.extent)
+
+    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            both = []
+            for p, target in zip(part["payload"], part[name] if name else [None] * len(part), strict=True):
+                values = np.asarray(p).astype(dtype)
+                both.append(encode_analyze(values, size, extra) if kind == "analyze" else (nrrd_header(values, size, extra, f"{target}.raw"), encode_raw(values.astype("<" + dtype), size)))
+            part = part.drop(columns="payload")
+            part["header"], part["image"] = [h for h, _ in both], [i for _, i in both]
+            yield part
+
+    if kind not in ("analyze", "nrrd") or kind == "nrrd" and not name:
+        raise ValueError("analyze, or nrrd with the column that names the files")
+    blocks = g.blocks()
+    keys = ", ".join(f"{k} {t}" for k, t in blocks.dtypes if k != "payload")
+    return blocks.mapInPandas(encode, f"{keys + ', ' if keys else ''}header binary, image binary")
+
+
+def read_pairs(spark: SparkSession, path: str, kind: str, headers: str | None = None) -> DataFrame:
+    """One row per pair of a header and the file that has its values, as ``read_files`` gives them; ``path`` is the header's.
+
+    ``kind`` is analyze (x.hdr beside x.img) or nrrd (*.nhdr, which names the file). Headers, which are small, tell where their values are, and are
+    joined to those files by path; a header whose file is missing raises.
+    """
+    pattern = headers or {"analyze": "*.hdr", "nrrd": "*.nhdr"}[kind]
+
+    def targets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            names = [n[: -len("hdr")] + "img" if kind == "analyze" else f"{n.rsplit('/', 1)[0]}/{nrrd_target(c)}" for n, c in zip(part["path"], part["content"], strict=True)]
+            part["target"] = [n.split(":/", 1)[0] + ":" + normpath("/" + n.split(":/", 1)[1]) if ":/" in n and "://" not in n else n for n in names]
+            yield part
+
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for name, target, head, image in part[["path", "target", "content", "image"]].itertuples(index=False):
+                if image is None:
+                    raise ValueError(f"{target}, which {name} names, is missing")
+                values, size, extra = decode_analyze(head, image) if kind == "analyze" else decode_nrrd(head, image)
+                rows.append((name, list(map(int, size)), values.dtype.str[1:], values.astype(float), {k: str(v) for k, v in extra.items()}))
+            yield pd.DataFrame(rows, columns=["path", "extent", "dtype", "payload", "extra"])
+
+    load = lambda glob: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    heads = load(pattern).mapInPandas(targets, "path string, content binary, target string")
+    images = load("*.img" if kind == "analyze" else "*").where(~F.col("path").endswith(pattern.lstrip("*"))).select(F.col("path").alias("target"), F.col("content").alias("image"))
+    return heads.join(images, "target", "left").mapInPandas(decode, FRAME)
+
+
 def with_wire(df: DataFrame, viewport: str, index: str, frame: str, name: str = "message") -> DataFrame:
-    """Add the message that carries each rendered frame (a struct of width, height, channels, pixels)."""
+    """Add the message that carries each rendered frame (a struct of width, height, channels, pixels): columns put together as bytes, low byte first."""
 
-    @F.udf("binary")
-    def wire(viewport_, index_, frame_):
-        return wire_frame(viewport_, index_, frame_["width"], frame_["height"], frame_["channels"], bytes(frame_["pixels"]))
+    def number(c, n: int):
+        digits = F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+        return F.concat(*[F.unhex(F.substring(digits, 2 * k + 1, 2)) for k in reversed(range(n))])
 
-    return df.withColumn(name, wire(viewport, index, frame))
+    text = F.substring(F.encode(F.col(viewport), "UTF-8"), 1, 255)
+    f = F.col(frame)
+    message = F.concat(number(F.octet_length(text), 1), text, number(F.col(index), 8), number(f["width"], 4), number(f["height"], 4), number(f["channels"], 1), f["pixels"].cast("binary"))
+    return df.withColumn(name, message)
