@@ -11,33 +11,39 @@ from pyspark.sql import functions as F
 
 from ..grid import Grid, lattice
 from . import fourier, nearest, stencil
-from .linalg import solve2
+from .linalg import solve, solve2
 
 
 def lucas_kanade(first: Grid, second: Grid, radius: int = 5, border: str = "reflect") -> DataFrame:
-    """Flow of two-dimensional frames: (keys, axes, u0, u1), 0 where the system is singular.
+    """Flow of frames of any number of axes: (keys, axes, u0, u1, ...), 0 where the system of a cell is singular.
 
-    The five products are box-averaged together, axis by axis, so the frames are shuffled
-    once for the join and gradient and once for each axis.
+    The products of the slopes are box-averaged together, axis by axis, so the frames are shuffled
+    once for the join and gradient and once for each axis. Systems of two axes are solved by columns, larger ones in batches.
     """
-    if first.extent != second.extent or first.dims != 2:
-        raise ValueError("two frames of one extent in two dimensions are needed")
+    if first.extent != second.extent:
+        raise ValueError("two frames of one extent are needed")
+    n = first.dims
     on = [*first.keys, *first.axes]
     slope = stencil.gradient(first, border)
     later = second.df.select(*[F.col(b).alias(a) for a, b in zip(on, [*second.keys, *second.axes], strict=True)], F.col(second.value).cast("double").alias("later"))
     rows = slope.join(first.df.select(*on, F.col(first.value).cast("double").alias("now")), on).join(later, on)
     dt = F.col("later") - F.col("now")
-    g0, g1 = F.col("g0"), F.col("g1")
-    sums = F.struct((g0 * g0).alias("a"), (g0 * g1).alias("b"), (g1 * g1).alias("c"), (g0 * dt).alias("d"), (g1 * dt).alias("e"))
-    g = Grid(rows.select(*on, sums.alias("v")), first.axes, first.extent, "v", first.keys)
-    for k in range(2):
-        kernel = stencil.on_axis(2, k, [1.0] * (2 * radius + 1), -radius)
-        got = stencil.gathered(g, kernel, border, **{n: F.sum(f"x.{n}") for n in "abcde"})
-        g = replace(g, df=got.select(*on, F.struct(*"abcde").alias("v")))
-    n = float((2 * radius + 1) ** 2)
-    v = lambda c: F.col(f"v.{c}") / n
-    u0, u1 = solve2(v("a"), v("b"), v("b"), v("c"), -v("d"), -v("e"))
-    return g.df.select(*on, F.coalesce(u0, F.lit(0.0)).alias("u0"), F.coalesce(u1, F.lit(0.0)).alias("u1"))
+    g = [F.col(f"g{k}") for k in range(n)]
+    names = {f"a{r}{c}": g[r] * g[c] for r in range(n) for c in range(r, n)} | {f"b{r}": g[r] * dt for r in range(n)}
+    grid = Grid(rows.select(*on, F.struct(*[c.alias(k) for k, c in names.items()]).alias("v")), first.axes, first.extent, "v", first.keys)
+    for k in range(n):
+        kernel = stencil.on_axis(n, k, [1.0] * (2 * radius + 1), -radius)
+        got = stencil.gathered(grid, kernel, border, **{c: F.sum(f"x.{c}") for c in names})
+        grid = replace(grid, df=got.select(*on, F.struct(*names).alias("v")))
+    count = float((2 * radius + 1) ** n)
+    a = [[F.col(f"v.a{min(r, c)}{max(r, c)}") / count for c in range(n)] for r in range(n)]
+    b = [-F.col(f"v.b{r}") / count for r in range(n)]
+    if n == 2:
+        u = solve2(a[0][0], a[0][1], a[1][0], a[1][1], b[0], b[1])
+    else:
+        solved = grid.df.select(*on, solve(F.array(*[x for r in a for x in r]), F.array(*b), n).alias("u"))
+        grid, u = replace(grid, df=solved, value="u"), [F.col("u")[k] for k in range(n)]
+    return grid.df.select(*on, *[F.coalesce(x, F.lit(0.0)).alias(f"u{k}") for k, x in enumerate(u)])
 
 
 def keypoints(g: Grid, layers: int = 5, sigma: float = 1.6, contrast: float = 5.0) -> DataFrame:

@@ -126,6 +126,107 @@ def eigenvalues(m: Column, n: int) -> Column:
     return _batch("array<double>", lambda x: np.linalg.eigvalsh(x)[:, ::-1].copy(), n)(m)
 
 
+def signed(vectors: np.ndarray) -> np.ndarray:
+    """1 or -1 for each column of each matrix, so that its largest entry by size (the first of several) becomes positive."""
+    at = np.argmax(np.round(np.abs(vectors), 12), axis=1)
+    return np.where(np.take_along_axis(vectors, at[:, None, :], 1)[:, 0, :] < 0, -1.0, 1.0)
+
+
+def _matrices(m: pd.Series, n: int) -> np.ndarray:
+    return np.stack(m.to_numpy()).astype(float).reshape(-1, n, n) if len(m) else np.empty((0, n, n))
+
+
+def _filled(some: np.ndarray, values: np.ndarray) -> pd.Series:
+    """``values`` where ``some`` is true, null elsewhere; of more than one axis as lists."""
+    found = iter(values if values.ndim == 1 else values.reshape(len(values), -1).tolist())
+    return pd.Series([next(found) if s else None for s in some], dtype=object)
+
+
+def decomposition(m: Column, n: int) -> Column:
+    """Singular value decomposition u diag(s) v' of n x n matrices: a struct of u, s (falling), v, rank, cond (infinite if singular) and norm.
+
+    Columns of v point so that their largest entry is positive. The rank counts values over n times the rounding of the largest one. Null matrices are null.
+    """
+
+    @F.pandas_udf("u array<double>, s array<double>, v array<double>, rank int, cond double, norm double")
+    def run(given: pd.Series) -> pd.DataFrame:
+        some = given.notna().to_numpy()
+        u, s, vt = np.linalg.svd(_matrices(given[some], n))
+        sign = signed(vt.transpose(0, 2, 1))
+        u, v = u * sign[:, None, :], vt.transpose(0, 2, 1) * sign[:, None, :]
+        rank = (s > n * np.finfo(float).eps * s[:, :1]).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cond = np.where(s[:, -1] > 0, s[:, 0] / s[:, -1], np.inf)
+        return pd.DataFrame({k: _filled(some, x) for k, x in {"u": u, "s": s, "v": v, "rank": rank, "cond": cond, "norm": s[:, 0]}.items()})
+
+    return run(m)
+
+
+def eigen(m: Column, n: int) -> Column:
+    """Eigenvalues (falling) and orthonormal eigenvectors, as columns, of symmetric n x n matrices: a struct of values and vectors, signs as in ``decomposition``."""
+
+    @F.pandas_udf("values array<double>, vectors array<double>")
+    def run(given: pd.Series) -> pd.DataFrame:
+        some = given.notna().to_numpy()
+        values, vectors = np.linalg.eigh(_matrices(given[some], n))
+        values, vectors = values[:, ::-1], vectors[:, :, ::-1]
+        vectors = vectors * signed(vectors)[:, None, :]
+        return pd.DataFrame({"values": _filled(some, values), "vectors": _filled(some, vectors)})
+
+    return run(m)
+
+
+def eliminated(a: np.ndarray, b: np.ndarray, least: float = 1e-10) -> np.ndarray:
+    """Solutions of a batch of systems by elimination with row pivots; NaN where a pivot is under ``least``."""
+    rows, n = np.concatenate([a, b[:, :, None]], 2), a.shape[1]
+    fine, each = np.ones(len(a), bool), np.arange(len(a))
+    for k in range(n):
+        best = k + np.abs(rows[:, k:, k]).argmax(1)
+        rows[each, k], rows[each, best] = rows[each, best].copy(), rows[each, k].copy()
+        pivot = rows[:, k, k]
+        fine &= np.abs(pivot) >= least
+        rows[:, k] /= np.where(np.abs(pivot) >= least, pivot, 1.0)[:, None]
+        for r in range(n):
+            if r != k:
+                rows[:, r] -= rows[:, r, k, None] * rows[:, k]
+    out = rows[:, :, n]
+    out[~fine] = np.nan
+    return out
+
+
+def solve(a: Column, b: Column, n: int) -> Column:
+    """Solutions of n x n systems in array columns (a by rows): an array, null for a singular system."""
+
+    @F.pandas_udf("array<double>")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        some = (left.notna() & right.notna()).to_numpy()
+        if not some.any():
+            return pd.Series([None] * len(left), dtype=object)
+        x = eliminated(_matrices(left[some], n), np.stack(right[some].to_numpy()).astype(float))
+        return _filled(some, x).map(lambda r: None if r is None or np.isnan(r).any() else r)
+
+    return run(a, b)
+
+
+def project_point(m: Column, point: list[Column]) -> list[Column]:
+    """The place on the detector where a projection (an array column, by rows, of D rows and D + 1 columns) puts a point, divided by its depth."""
+    deep = projected_line(m, point, len(point) - 1)
+    return [projected_line(m, point, r) / deep for r in range(len(point) - 1)]
+
+
+def projected_line(m: Column, point: list[Column], row: int) -> Column:
+    """A row of a projection times a point."""
+    d = len(point)
+    return sum((m[row * (d + 1) + k] * c for k, c in enumerate(point)), m[row * (d + 1) + d])
+
+
+def projection_slopes(m: Column, point: list[Column]) -> list[list[Column]]:
+    """How the place on the detector moves with the point: a row for each axis of the detector."""
+    d = len(point)
+    deep, place = projected_line(m, point, d - 1), project_point(m, point)
+    return [[(m[r * (d + 1) + k] - place[r] * m[(d - 1) * (d + 1) + k]) / deep for k in range(d)] for r in range(d - 1)]
+
+
 def product_of(a: Column, b: Column, n: int) -> Column:
     """Product of two n x n matrices in array columns, as column arithmetic."""
     return F.array(*[sum((a[r * n + k] * b[k * n + c] for k in range(1, n)), a[r * n] * b[c]) for r in range(n) for c in range(n)])

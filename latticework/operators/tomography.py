@@ -19,7 +19,7 @@ from ..grid import Grid, lattice
 from . import stencil
 from .histogram import k_means, nearest_level
 from .interp import half_away, tapped
-from .linalg import camera_centre
+from .linalg import camera_centre, project_point, projection_slopes
 from .prefix import box_corners, boxes_around, integral
 
 
@@ -82,9 +82,7 @@ def spread_of(rows: DataFrame, d: int) -> DataFrame:
     The movement of the detector place with the sample, and the direction of the ray, are inverted; for 2 and 3 dimensions.
     """
     c = [F.col(f"c{k}") for k in range(d)]
-    line = lambda r: sum((F.col("m")[r * (d + 1) + k] * c[k] for k in range(d)), F.col("m")[r * (d + 1) + d])
-    deep = line(d - 1)
-    slope = [[(F.col("m")[r * (d + 1) + k] - line(r) / deep * F.col("m")[(d - 1) * (d + 1) + k]) / deep for k in range(d)] for r in range(d - 1)]
+    slope = projection_slopes(F.col("m"), c)
     way = [F.when(F.col("far"), F.col("e")[k]).otherwise(c[k] - F.col("e")[k]) for k in range(d)]
     cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
     if d == 2:
@@ -143,10 +141,8 @@ def density_bound(readings: DataFrame, views: list[np.ndarray], detectors, exten
     axes = tuple(f"i{k}" for k in range(len(extent)))
     table = spark.createDataFrame([(k, np.asarray(m, float).ravel().tolist()) for k, m in enumerate(views)], "view int, m array<double>")
     rows = lattice(spark, extent, axes).join(F.broadcast(table))  # as many rows as views, each with a small matrix
-    n = len(extent) + 1
-    line = lambda r: sum((F.col("m")[r * n + k] * F.col(a) for k, a in enumerate(axes)), F.col("m")[r * n + n - 1])
-    for k in range(len(detectors)):
-        rows = rows.withColumn(f"u{k}", half_away(line(k) / line(len(detectors))))
+    for k, place in enumerate(project_point(F.col("m"), [F.col(a) for a in axes])):
+        rows = rows.withColumn(f"u{k}", half_away(place))
     unit = ["view", *[f"u{k}" for k in range(len(detectors))]]
     seen = rows.drop("m").join(readings, unit, "left")
     least = F.min(F.when(F.col("v").isNotNull(), F.greatest(F.lit(0.0), F.col("v")) / step))

@@ -683,6 +683,52 @@ def match_ratio_test(s, d):
     return flow.match(even, odd, 0.95, "vec_id", "embedding").select("index0", "index1", F.round("distance", 6).alias("distance"))
 
 
+SMALL = "m AS (SELECT o_orderkey AS id, CAST(o_orderkey % 7 + 3 AS DOUBLE) AS a, CAST(o_custkey % 5 AS DOUBLE) AS b, CAST(o_orderkey % 3 - 1 AS DOUBLE) AS c, CAST(o_custkey % 11 - 4 AS DOUBLE) AS d, CAST(o_orderkey % 13 AS DOUBLE) AS e, CAST(o_custkey % 4 AS DOUBLE) AS f FROM orders)"
+
+
+def small(s, d) -> tuple[DataFrame, list]:
+    """Six numbers for each order, the entries of a symmetric 3 x 3 matrix by rows."""
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(s, d, "orders").select(k.alias("id"), (k % 7 + 3).alias("a"), (u % 5).alias("b"), (k % 3 - 1).alias("c"), (u % 11 - 4).alias("d"), (k % 13).alias("e"), (u % 4).alias("f"))
+    at = {n: F.col(n).cast("double") for n in "abcdef"}
+    return rows, [at[n] for n in "abcbdecef"]
+
+
+DET3 = "a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c)"
+
+
+@query(f"""WITH {SMALL}, x AS (SELECT *, {DET3} AS det FROM m)
+SELECT id, round(det, 3) AS det, round(1 * (d * f - e * e) - b * (2 * f - e * 3) + c * (2 * e - d * 3), 3) AS x0, round(a * (2 * f - e * 3) - 1 * (b * f - e * c) + c * (b * 3 - 2 * c), 3) AS x1,
+ round(a * (d * 3 - 2 * e) - b * (b * 3 - 2 * c) + 1 * (b * e - d * c), 3) AS x2 FROM x WHERE abs(det) > 0.5""")
+def solve_three(s, d):
+    """Systems of three equations, one for each order, as whole numbers over the determinant; singular ones have no row."""
+    rows, m = small(s, d)
+    x = linalg.solve(F.array(*m), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), 3)
+    rows = rows.select("id", x.alias("x"), linalg.determinant(F.array(*m), 3).alias("det")).where("x is not null")
+    # + 0.0 turns -0.0 into 0.0
+    return rows.select("id", F.round("det", 3).alias("det"), *[(F.round(F.col("x")[k] * F.col("det"), 3) + F.lit(0.0)).alias(f"x{k}") for k in range(3)])
+
+
+@query(f"""WITH {SMALL}, e AS (SELECT id, a, b, d, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS l0, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) AS l1 FROM m WHERE b <> 0)
+SELECT id, round(l0, 6) AS l0, round(l1, 6) AS l1, round(b * b / (b * b + (l0 - a) * (l0 - a)), 6) AS v FROM e""")
+def eigen_two(s, d):
+    """Eigenvalues of symmetric 2 x 2 matrices, and the squared first entry of the first eigenvector."""
+    rows, m = small(s, d)
+    e = rows.where("b <> 0").select("id", linalg.eigen(F.array(m[0], m[1], m[1], m[4]), 2).alias("e"))
+    v = F.col("e.vectors")[0]
+    return e.select("id", *[(F.round(F.col("e.values")[k], 6) + F.lit(0.0)).alias(f"l{k}") for k in range(2)], F.round(v * v, 6).alias("v"))
+
+
+@query(f"""WITH {SMALL}, t AS (SELECT id, a * a + b * b + b * b + d * d AS t, (a * d - b * b) * (a * d - b * b) AS q FROM m),
+s AS (SELECT id, sqrt((t + sqrt(greatest(0, t * t - 4 * q))) / 2) AS s0, q FROM t)
+SELECT id, round(s0, 6) AS s0, round(sqrt(q) / s0, 6) AS s1, CAST(CASE WHEN q > 0.5 THEN 2 ELSE 1 END AS INT) AS rank, CASE WHEN q > 0.5 THEN round(s0 * s0 / sqrt(q), 5) END AS cond FROM s""")
+def singular_two(s, d):
+    """Singular values, rank and condition of 2 x 2 matrices; the condition of singular ones is null."""
+    rows, m = small(s, d)
+    e = rows.select("id", linalg.decomposition(F.array(m[0], m[1], m[1], m[4]), 2).alias("e"))
+    return e.select("id", *[(F.round(F.col("e.s")[k], 6) + F.lit(0.0)).alias(f"s{k}") for k in range(2)], "e.rank", F.when(F.col("e.rank") == 2, F.round("e.cond", 5)).alias("cond"))
+
+
 def blobs(s, d, shift: int = 0) -> Grid:
     """Orders binned by customer and date on 64 x 64 cells, as blurred shares of a fixed total; another frame shifts them."""
     rows = table(s, d, "orders").select((F.col("o_custkey") * 37 % 11 * 4 + 9 + shift).alias("a"), (F.dayofyear("o_orderdate") % 7 * 7 + 8 + shift).alias("b"))
