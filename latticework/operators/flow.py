@@ -157,11 +157,11 @@ def spread_matches(g: Grid, moves: DataFrame) -> DataFrame:
     cells = lattice(spark, n).join(at, ["i0", "i1"], "left")
     field = lambda name, re, im: cells.select(F.lit(name).alias("field"), "i0", "i1", F.coalesce(re, zero).alias("re"), F.coalesce(im, zero).alias("im"))
     fields = kernel.unionByName(field("w", F.col("n"), zero)).unionByName(field("m", F.col("s0"), F.col("s1")))
-    spectra = fourier.fft(fields, ["i0", "i1"], ["field"])
+    spectra = fourier.fft(fields, ["i0", "i1"], ["field"], extent=n)
     # the lattice is symmetric, so its transform is real
     scale = spectra.where("field = 'k'").select("i0", "i1", F.col("re").alias("s"))
     product = spectra.where("field <> 'k'").join(scale, ["i0", "i1"]).select("field", "i0", "i1", (F.col("re") * F.col("s")).alias("re"), (F.col("im") * F.col("s")).alias("im"))
-    back = fourier.fft(product, ["i0", "i1"], ["field"], inverse=True)
+    back = fourier.fft(product, ["i0", "i1"], ["field"], inverse=True, extent=n)
     weight, moved = (back.where(F.col("field") == f).where((F.col("i0") < g.extent[0]) & (F.col("i1") < g.extent[1])) for f in "wm")
     sums = weight.select("i0", "i1", F.col("re").alias("w")).join(moved.select("i0", "i1", "re", "im"), ["i0", "i1"]).join(at.select("i0", "i1", "hit"), ["i0", "i1"], "left")
     # where there is no move at all, nothing but rounding stands in place of a weight

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,28 +13,52 @@ from pyspark.sql import functions as F
 from ..grid import Grid
 
 
-def fft(df: DataFrame, axes, keys=(), inverse: bool = False) -> DataFrame:
+LINE = 1 << 16  # cells of a line that one task transforms
+
+
+def along(df: DataFrame, axis: str, rest, inverse: bool) -> DataFrame:
+    """Cells (rest, axis, re, im) transformed along ``axis``. Lines are gathered as arrays, and one Python call takes many of them."""
+    lines = df.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct(axis, "re", "im"))).alias("line"))
+    lines = lines.select(*rest, F.transform("line", lambda c: c["re"]).alias("re"), F.transform("line", lambda c: c["im"]).alias("im"))
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                x = np.stack(part["re"].to_numpy()) + 1j * np.stack(part["im"].to_numpy())
+                y = np.fft.ifft(x, axis=1) if inverse else np.fft.fft(x, axis=1)
+                part["re"], part["im"] = list(y.real), list(y.imag)
+            yield part
+
+    done = lines.mapInPandas(solve, lines.schema)
+    return done.select(*rest, F.posexplode(F.arrays_zip("re", "im")).alias(axis, "z")).select(*rest, axis, "z.re", "z.im")
+
+
+def factors(n: int) -> tuple[int, int]:
+    """The two factors of n that are nearest to each other, the smaller one first."""
+    low = max(k for k in range(1, math.isqrt(n) + 1) if n % k == 0)
+    return low, n // low
+
+
+def fft(df: DataFrame, axes, keys=(), inverse: bool = False, extent=None, line: int = LINE) -> DataFrame:
     """Cells (keys, axes, re, im) transformed along ``axes``; the inverse is scaled by 1 / n.
 
-    Lines along an axis are gathered as arrays (as long as the axis), and one Python call takes
-    many of them; one shuffle an axis.
+    One shuffle an axis. Where ``extent`` tells that an axis has more than ``line`` cells and a divisor, its lines are not gathered: cell
+    j = hi * n2 + lo is transformed over hi, turned by the angle of lo times the new index, and transformed over lo. Then no task holds more
+    than a line of the larger factor, for two shuffles.
     """
-    for a in axes:
+    for k, a in enumerate(axes):
         rest = [*keys, *[b for b in axes if b != a]]
-        lines = df.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct(a, "re", "im"))).alias("line"))
-        lines = lines.select(*rest, F.transform("line", lambda c: c["re"]).alias("re"), F.transform("line", lambda c: c["im"]).alias("im"))
-
-        def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                if len(part):
-                    x = np.stack(part["re"].to_numpy()) + 1j * np.stack(part["im"].to_numpy())
-                    y = np.fft.ifft(x, axis=1) if inverse else np.fft.fft(x, axis=1)
-                    part["re"], part["im"] = list(y.real), list(y.imag)
-                yield part
-
-        done = lines.mapInPandas(solve, lines.schema)
-        both = done.select(*rest, F.posexplode(F.arrays_zip("re", "im")).alias(a, "z"))
-        df = both.select(*keys, *axes, "z.re", "z.im")
+        n = extent[k] if extent else 0
+        n1, n2 = factors(n) if n > line else (1, n)
+        if n1 == 1:
+            df = along(df, a, rest, inverse).select(*keys, *axes, "re", "im")
+            continue
+        cut = df.select(*rest, F.expr(f"cast(`{a}` div {n2} as int)").alias("__hi"), (F.col(a) % n2).cast("int").alias("__lo"), "re", "im")
+        first = along(cut, "__hi", [*rest, "__lo"], inverse)
+        angle = (F.col("__hi").cast("long") * F.col("__lo")) % n * ((2 if inverse else -2) * math.pi / n)
+        turned = [(F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle)).alias("re"), (F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)).alias("im")]
+        last = along(first.select(*rest, "__hi", "__lo", *turned), "__lo", [*rest, "__hi"], inverse)
+        df = last.withColumn(a, (F.col("__hi") + F.lit(n1) * F.col("__lo")).cast("int")).select(*keys, *axes, "re", "im")
     return df
 
 
@@ -43,12 +68,12 @@ def complex_cells(g: Grid) -> DataFrame:
 
 def fftn(g: Grid) -> DataFrame:
     """Transform of real cells: (keys, axes, re, im)."""
-    return fft(complex_cells(g), g.axes, g.keys)
+    return fft(complex_cells(g), g.axes, g.keys, extent=g.extent)
 
 
 def ifftn(df: DataFrame, axes, extent, keys=()) -> Grid:
     """Real part of the inverse transform."""
-    return Grid(fft(df, axes, keys, True).withColumnRenamed("re", "v").drop("im"), tuple(axes), tuple(extent), keys=tuple(keys))
+    return Grid(fft(df, axes, keys, True, extent).withColumnRenamed("re", "v").drop("im"), tuple(axes), tuple(extent), keys=tuple(keys))
 
 
 def from_channels(g: Grid, axis: int | str) -> DataFrame:

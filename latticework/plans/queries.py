@@ -760,6 +760,15 @@ def local_maxima(s, d):
     return flow.neighbours_above(qd(s, d)).select("i0", "i1", "v")
 
 
+@query(f"""WITH {EV}, x AS (SELECT i0 + 24 * i1 AS j, v FROM ev) SELECT CAST(k.range AS INT) AS i0, round(sqrt(pow(sum(v * cos(-2 * pi() * ((k.range * j) % 720) / 720)), 2) + pow(sum(v * sin(-2 * pi() * ((k.range * j) % 720) / 720)), 2)), 5) AS magnitude
+ FROM range(720) k, x GROUP BY k.range""")
+def fft_long_line(s, d):
+    """Events by hour as one line of 720 cells, which is not gathered: 24 x 30."""
+    line = ev(s, d).df.select((F.col("i0") + 24 * F.col("i1")).cast("int").alias("i0"), F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    out = fourier.fft(line, ["i0"], extent=(720,), line=64)
+    return out.select("i0", F.round(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 5).alias("magnitude"))
+
+
 # ---- tomography
 
 VIEWS, DETECTORS = 8, 55
