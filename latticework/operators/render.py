@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cells import hsv_to_rgb, truncated
+from ..functions.cells import hsv_to_rgb, reduce_channels, truncated
 from ..grid import Grid, lattice
-from . import stencil
+from . import reduce, stencil
 from .histogram import percentiles
 from .interp import tapped
 
@@ -80,16 +81,56 @@ def flow_to_arrows(flow: DataFrame, extent, spacing: int = 12, on: int = 255, ca
     return Grid(spots.withColumn("v", F.lit(on)), ("i0", "i1"), tuple(extent)).filled(0)
 
 
-def render_slice(g: Grid, start, end, low: float, high: float, most=(256, 256), fixed: dict[int, int] | None = None) -> Grid:
-    """A window of a plane, its values spread over 0..255, shrunk by the whole factor that brings the nearer of its sides down to ``most``; never enlarged."""
-    for axis in sorted(fixed or {}, reverse=True):
-        g = g.slice(axis, fixed[axis])
-    g = g.view(tuple(start), tuple(end))
-    width = high - low
-    value = F.round((F.greatest(F.lit(low), F.least(F.lit(high), F.col(g.value).cast("double"))) - low) / width * 255).cast("int") if width > 0 else F.lit(0)
-    g = g.with_value(value)
-    factor = max(1, min(n // m for n, m in zip(g.extent, most, strict=True)))
-    return stencil.downsample(g, factor) if factor > 1 else g
+def spread_window(value, low: float, high: float):
+    """``low`` to ``high`` as 0 to 255, cut at both ends; an empty window is 0."""
+    if high <= low:
+        return F.lit(0)
+    return F.round((F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value.cast("double"))) - low) / (high - low) * 255).cast("int")
+
+
+def plane_of(g: Grid, axes, fixed: dict[int, int], color=None) -> Grid:
+    """The plane of two axes in the wanted order, behind the colour axis if there is one; other axes stand at ``fixed``, cut to the grid, or at 0."""
+    chosen = [*([] if color is None else [g.axis(color)]), *map(g.axis, axes)]
+    if len({*chosen}) != len(chosen):
+        raise ValueError("the axes of a plane are different ones")
+    names = [g.axes[k] for k in chosen]
+    for k in sorted({*range(g.dims)} - {*chosen}, reverse=True):
+        g = g.slice(k, min(g.extent[k] - 1, max(0, int(fixed.get(k, 0)))))
+    size = tuple(g.extent[g.axes.index(n)] for n in names)
+    turn = lambda t: None if t is None else tuple(t[g.axes.index(n)] for n in names)
+    return replace(g, axes=tuple(names), extent=size, spacing=turn(g.spacing), unit=turn(g.unit))
+
+
+def render_slice(g: Grid, start, end, low: float, high: float, most=(256, 256), fixed: dict[int, int] | None = None, axes=None, color=None, reduction: str = "rgb") -> Grid:
+    """A window of a plane, its values spread over 0..255, shrunk by the whole factor that brings the nearer of its sides down to ``most``; never enlarged.
+
+    Without ``axes`` the plane has the two axes that are not in ``fixed``. With them it has these, in their order, and a ``color`` axis is reduced
+    before the window (rgb keeps three values): the picture then has a leading channel axis. ``start`` and ``end`` are inclusive and, with ``axes``, cut to the plane; an empty one raises.
+    """
+    if axes is None:
+        for axis in sorted(fixed or {}, reverse=True):
+            g = g.slice(axis, fixed[axis])
+        g = g.view(tuple(start), tuple(end))
+        g = g.with_value(spread_window(F.col(g.value), low, high))
+    else:
+        g = plane_of(g, axes, fixed or {}, color)
+        plane = g.extent[-2:]
+        start, end = [max(0, s) for s in start], [min(n - 1, e) for n, e in zip(plane, end, strict=True)]
+        if any(s > e for s, e in zip(start, end, strict=True)):
+            raise ValueError("the window is empty")
+        if color is None:
+            g = g.view(tuple(start), tuple(end))
+            g = g.with_value(spread_window(F.col(g.value), low, high))
+        else:
+            names, channel = g.axes[1:], g.axes[0]
+            g = reduce.channels(g.view((0, *start), (g.extent[0] - 1, *end)), 0, reduction)
+            n = 3 if reduction == "rgb" else 1
+            values = F.col(g.value) if n == 3 else F.array(g.value)
+            cells = g.df.select(*g.keys, *names, F.posexplode(values).alias(channel, g.value))
+            cells = cells.select(*g.keys, channel, *names, spread_window(F.col(g.value), low, high).alias(g.value))
+            g = Grid(cells, (channel, *names), (n, *g.extent), g.value, g.keys)
+    factor = max(1, min(n // m for n, m in zip(g.extent[-2:], most, strict=True)))
+    return stencil.downsample(g, factor, 0 if g.dims == 3 else None) if factor > 1 else g
 
 
 def camera_rays(spark: SparkSession, extent, width: int, height: int, rotation=((1, 0, 0), (0, 1, 0), (0, 0, 1))) -> DataFrame:
@@ -107,30 +148,42 @@ def camera_rays(spark: SparkSession, extent, width: int, height: int, rotation=(
     return rows.select("pixel0", "pixel1", *cols, F.lit(2 * math.sqrt(3)).alias("len"))
 
 
-def render_volume(rays: DataFrame, volume: Grid, opacity: float, steps: int = 96, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def render_volume(rays: DataFrame, volume: Grid, opacity: float, steps: int = 96, low: float = 0.0, high: float = 1.0, color=None, reduction: str = "rgb") -> DataFrame:
     """Volume rendering along rays (pixel, o0.., d0.., len): front to back, absorption 1 - exp(-v opacity 12 dt), stopped at 0.98.
 
     Values are the window from ``low`` to ``high`` spread over 0 to 1; an empty window is 0. Samples begin at the origin. A pixel is a
-    group of ``steps`` samples.
+    group of ``steps`` samples. The channels of a ``color`` axis are sampled alike and reduced; of three (rgb) the brightness absorbs, and
+    the column color is an array of three.
     """
     dt = F.col("len") / steps
     cols = [c for c in rays.columns if c.startswith("pixel")]
+    space = [k for k in range(volume.dims) if color is None or k != volume.axis(color)]
+    extent = [volume.extent[k] for k in space]
     rows = rays.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("dt", dt)
-    rows = rows.select(*cols, "k", "dt", *[(F.col(f"o{j}") + F.col(f"d{j}") * F.col("k") * F.col("dt")).alias(f"c{j}") for j in range(volume.dims)])
-    inside = " and ".join(f"c{j} between -0.5 and {n - 0.5}" for j, n in enumerate(volume.extent))
-    cells = volume.df.select(*[F.col(a).alias(f"i{j}") for j, a in enumerate(volume.axes)], F.col(volume.value).cast("double").alias("x"))
-    values = tapped(rows.where(inside), volume.extent, "linear", "clamp").join(cells, [f"i{j}" for j in range(volume.dims)])
-    seen = (F.sum(F.col("w") * F.col("x")) - low) / (high - low) if high > low else F.lit(0.0)
-    values = values.groupBy(*cols, "k", "dt").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), seen)).alias("x"))
-    got = values.groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct("k", "dt", "x"))).alias("s"))
-    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("a"))
+    rows = rows.select(*cols, "k", "dt", *[(F.col(f"o{j}") + F.col(f"d{j}") * F.col("k") * F.col("dt")).alias(f"c{j}") for j in range(len(space))])
+    inside = " and ".join(f"c{j} between -0.5 and {n - 0.5}" for j, n in enumerate(extent))
+    channel = F.lit(0) if color is None else F.col(volume.axes[volume.axis(color)])
+    cells = volume.df.select(*[F.col(volume.axes[k]).alias(f"i{j}") for j, k in enumerate(space)], channel.alias("channel"), F.col(volume.value).cast("double").alias("x"))
+    values = tapped(rows.where(inside), extent, "linear", "clamp").join(cells, [f"i{j}" for j in range(len(space))])
+    part = F.col("w") * F.col("x")
+    count = 1 if color is None else volume.extent[volume.axis(color)]
+    sums = values.groupBy(*cols, "k", "dt").agg(*[F.sum(F.when(F.col("channel") == c, part)).alias(f"s{c}") for c in range(count)])
+    wide = color is not None and reduction == "rgb"
+    seen = F.array(F.col("s0")) if color is None else reduce_channels([F.col(f"s{c}") for c in range(count)], reduction)
+    seen = seen if color is None or wide else F.array(seen)
+    shown = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - low) / (high - low))) if high > low else F.lit(0.0)
+    sums = sums.select(*cols, "k", "dt", F.transform(seen, shown).alias("c"))
+    # fixed values: weights of brightness in the video standard
+    bright = F.col("c")[0] * 0.299 + F.col("c")[1] * 0.587 + F.col("c")[2] * 0.114 if wide else F.col("c")[0]
+    got = sums.withColumn("v", bright).groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct("k", "dt", "v", "c"))).alias("s"))
+    none = F.struct(F.array(*[F.lit(0.0)] * (3 if wide else 1)).alias("c"), F.lit(0.0).alias("a"))
 
     def blend(acc, s):
-        alpha = 1 - F.exp(-s["x"] * opacity * 12 * s["dt"])
-        more = (1 - acc["a"]) * alpha
-        return F.when(acc["a"] > 0.98, acc).otherwise(F.struct((acc["c"] + more * s["x"]).alias("c"), (acc["a"] + more).alias("a")))
+        more = (1 - acc["a"]) * (1 - F.exp(-s["v"] * opacity * 12 * s["dt"]))
+        return F.when(acc["a"] > 0.98, acc).otherwise(F.struct(F.zip_with(acc["c"], s["c"], lambda x, y: x + more * y).alias("c"), (acc["a"] + more).alias("a")))
 
-    return got.select(*cols, F.aggregate("s", zero, blend).alias("z")).select(*cols, F.col("z.c").alias("color"), F.col("z.a").alias("alpha"))
+    out = got.select(*cols, F.aggregate("s", none, blend).alias("z"))
+    return out.select(*cols, (F.col("z.c") if wide else F.col("z.c")[0]).alias("color"), F.col("z.a").alias("alpha"))
 
 
 def query_values(g: Grid, points: DataFrame, name: str = "point") -> DataFrame:

@@ -899,6 +899,19 @@ def render_slice(s, d):
     return render.render_slice(evch(s, d), (2, 1), (21, 28), 0.0, 10.0, (5, 14), {0: 1}).df
 
 
+@query(f"""WITH {EVCH}, c AS (SELECT c, i1 - 3 AS i1, i0 - 1 AS i0, round((greatest(0.0, least(9.0, CAST(v AS DOUBLE)))) / 9.0 * 255) AS v FROM evch WHERE c < 3 AND i1 >= 3 AND i0 BETWEEN 1 AND 20)
+SELECT c, CAST(i1 // 3 AS INT) AS i1, CAST(i0 // 3 AS INT) AS i0, CAST(round(avg(v)) AS INT) AS v FROM c GROUP BY 1, 2, 3""")
+def render_slice_color(s, d):
+    """The first three event types as red, green and blue, days across and hours down; the window reaches beyond the last day."""
+    return render.render_slice(evch(s, d).view((0, 0, 0), (2, 23, 29)), (3, 1), (99, 20), 0.0, 9.0, (9, 6), axes=("i1", "i0"), color="c").df
+
+
+@query(f"""WITH {EVCH}, m AS (SELECT i0, i1, sqrt(sum(CAST(v * v AS DOUBLE))) AS v FROM evch GROUP BY 1, 2)
+SELECT CAST(0 AS INT) AS c, i0, i1, CAST(round((greatest(1.0, least(21.0, v)) - 1.0) / 20.0 * 255) AS INT) AS v FROM m""")
+def render_slice_magnitude(s, d):
+    return render.render_slice(evch(s, d), (-5, -5), (99, 99), 1.0, 21.0, axes=("i0", "i1"), color="c", reduction="magnitude").df
+
+
 @query(f"WITH {QD} SELECT CAST(p_partkey AS BIGINT) AS point, v FROM part JOIN qd ON i0 = least(49, p_partkey % 60) AND i1 = least(10, p_partkey % 13)")
 def query_value(s, d):
     k = F.col("p_partkey")
