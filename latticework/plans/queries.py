@@ -867,7 +867,7 @@ def density_bound(s, d):
     return tomography.density_bound(readings, views, (n,), g.extent).mapped(lambda v: F.round(v, 6)).df
 
 
-@query("WITH p AS (SELECT CAST(o_orderkey AS INT) AS k, CAST(o_custkey % 7 AS BIGINT) AS x FROM orders WHERE o_orderkey >= 0) SELECT k AS i0, sum(x) OVER (ORDER BY k) AS v FROM p")
+@query("WITH p AS (SELECT CAST(o_orderkey AS INT) AS k, CAST(o_custkey % 7 AS BIGINT) AS x FROM orders WHERE o_orderkey >= 0) SELECT k AS i0, CAST(sum(x) OVER (ORDER BY k) AS BIGINT) AS v FROM p")
 def running_orders(s, d):
     """One line with as many cells as the largest order key, scanned in blocks; only its filled cells come back."""
     rows = table(s, d, "orders").where("o_orderkey >= 0").select(F.col("o_orderkey").cast("int").alias("i0"), (F.col("o_custkey") % 7).cast("long").alias("v"))
