@@ -24,20 +24,45 @@ def ranged(g: Grid) -> DataFrame:
     return g.df.join(ends, list(g.keys)) if g.keys else g.df.join(F.broadcast(ends))
 
 
-def histogram(g: Grid, bins: int = 256) -> DataFrame:
-    """Rows (keys, bin, n, lo, hi) of the bins that occur; the range is closed at its upper end."""
-    rows = ranged(g).withColumn("bin", bucket(F.col(g.value), F.col("lo"), F.col("hi"), bins))
+def histogram(g: Grid, bins: int = 256, span: tuple[float, float] | None = None) -> DataFrame:
+    """Rows (keys, bin, n, lo, hi) of the bins that occur; the range is closed at its upper end.
+
+    It is that of each key's values or, if given, ``span``: what lies outside then counts in the first or last bin, and no range has to be found.
+    """
+    rows = ranged(g) if span is None else g.df.withColumns({"lo": F.lit(float(span[0])), "hi": F.lit(float(span[1]))})
+    rows = rows.withColumn("bin", bucket(F.col(g.value), F.col("lo"), F.col("hi"), bins))
     return rows.groupBy(*g.keys, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
 
 
-def joint_histogram(df: DataFrame, columns: list[str], bins: list[int]) -> DataFrame:
-    """Counts over bins of several columns, each over its own range."""
-    ends = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
-    rows = df.join(F.broadcast(ends))
+def joint_histogram(df: DataFrame, columns: list[str], bins: list[int], spans: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Counts over bins of several columns, each over its own range or the given one."""
+    if spans is None:
+        ends = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+        rows = df.join(F.broadcast(ends))
+    else:
+        rows = df.withColumns({f"{n}_{c}": F.lit(float(x)) for c, span in zip(columns, spans, strict=True) for n, x in zip(("lo", "hi"), span, strict=True)})
     rows = rows.select(*[bucket(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), b).alias(f"b{k}") for k, (c, b) in enumerate(zip(columns, bins, strict=True))])
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+def text_bars(h: DataFrame, bins: int, keys=(), width: int = 50) -> DataFrame:
+    """(keys, bin, line) for every bin of a histogram: its edges, a bar of ``width`` signs for the largest count, and the count."""
+    whole = h.groupBy(*keys).agg(F.max("n").alias("most"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    rows = whole.join(h.select(*keys, "bin", "n"), [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    edge = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + k) / bins
+    bar = F.repeat(F.lit("#"), F.floor(F.col("n") / F.col("most") * width).cast("int"))
+    return rows.select(*keys, "bin", F.format_string("%10.1f - %10.1f | %s %d", edge(0), edge(1), bar, F.col("n")).alias("line"))
+
+
+def text_table(h: DataFrame, bins: tuple[int, int]) -> DataFrame:
+    """(b1, line) for every second bin of a joint histogram: its counts over the first bins, all with as many digits as the largest has."""
+    digits = h.agg(F.length(F.max("n").cast("string")).alias("digits"))  # one row
+    spark = h.sparkSession
+    cells = spark.range(bins[0] * bins[1]).select((F.col("id") % bins[0]).cast("int").alias("b0"), F.expr(f"cast(id div {bins[0]} as int)").alias("b1"))
+    rows = cells.join(h, ["b0", "b1"], "left").join(F.broadcast(digits)).withColumn("cell", F.lpad(F.coalesce("n", F.lit(0)).cast("string"), F.col("digits"), F.lit("0")))
+    return rows.groupBy("b1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b0", "cell"))), lambda c: c["cell"]), " ").alias("line"))
+
+
 def equalize(g: Grid, bins: int = 256) -> Grid:
     """Values moved to lo + (hi - lo) * cumulative share of their bin; integers truncate, a flat grid stays."""
     kind = dict(g.df.dtypes)[g.value]

@@ -437,6 +437,28 @@ def histogram16(s, d):
     return histogram.histogram(qd(s, d), 16)
 
 
+@query(f"WITH {QD}, b AS (SELECT greatest(0, least(7, CAST(trunc((v - 90.0::DOUBLE) / 24.0 * 8) AS INT))) AS bin FROM qd) SELECT bin, 90.0::DOUBLE AS lo, 114.0::DOUBLE AS hi, count(*) AS n FROM b GROUP BY bin")
+def histogram_given_range(s, d):
+    """Counts over the range from 90 to 114 in eight bins; the rest goes to the first and last one."""
+    return histogram.histogram(qd(s, d), 8, (90.0, 114.0))
+
+
+@query(f"""WITH {EV}, r AS (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM ev), b AS (SELECT greatest(0, least(9, CAST(trunc((v - lo) / (hi - lo) * 10) AS INT))) AS bin FROM ev, r),
+h AS (SELECT bin, count(*) AS n FROM b GROUP BY bin) SELECT CAST(k.range AS INT) AS bin,
+ printf('%10.1f - %10.1f | %s %d', lo + (hi - lo) * k.range / 10, lo + (hi - lo) * (k.range + 1) / 10, repeat('#', CAST(floor(coalesce(n, 0) / CAST((SELECT max(n) FROM h) AS DOUBLE) * 50) AS INT)), coalesce(n, 0)) AS line
+ FROM range(10) k CROSS JOIN r LEFT JOIN h ON h.bin = k.range""")
+def histogram_bars(s, d):
+    return histogram.text_bars(histogram.histogram(ev(s, d), 10), 10)
+
+
+@query("""WITH x AS (SELECT CAST(trunc(greatest(0, least(5, (l_quantity - 1) / 49.0 * 6))) AS INT) AS b0, CAST(trunc(greatest(0, least(3, l_discount / 0.1 * 4))) AS INT) AS b1 FROM lineitem),
+h AS (SELECT b0, b1, count(*) AS n FROM x GROUP BY 1, 2), w AS (SELECT length(CAST(max(n) AS VARCHAR)) AS w FROM h)
+SELECT CAST(y.range AS INT) AS b1, string_agg(lpad(CAST(coalesce(n, 0) AS VARCHAR), CAST(w AS INT), '0'), ' ' ORDER BY q.range) AS line FROM range(6) q CROSS JOIN range(4) y CROSS JOIN w LEFT JOIN h ON h.b0 = q.range AND h.b1 = y.range GROUP BY y.range""")
+def histogram_table(s, d):
+    items = table(s, d, "lineitem").select(F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("x"))
+    return histogram.text_table(histogram.joint_histogram(items, ["q", "x"], [6, 4], [(1.0, 50.0), (0.0, 0.1)]), (6, 4))
+
+
 @query(f"WITH {QD}, {RANGE}, a AS (SELECT i0, i1, v, {bin_sql(8)} AS b0 FROM qd, r), b AS (SELECT 49 - i0 AS i0, i1, b0 AS b1 FROM a) SELECT b0, b1, count(*) AS n FROM a JOIN b USING (i0, i1) GROUP BY ALL")
 def joint_histogram(s, d):
     g = qd(s, d)
