@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..grid import Grid, lattice
 from . import fourier, nearest, stencil
 from .linalg import solve, solve2
+from .tomography import kept
 
 
 def lucas_kanade(first: Grid, second: Grid, radius: int = 5, border: str = "reflect") -> DataFrame:
@@ -175,6 +176,7 @@ def sift_flow(first: Grid, second: Grid, contrast: float = 5.0, ratio: float = 0
     for g in (first, second):
         found = keypoints(g, contrast=contrast)
         named = found.withColumn("point", (F.col(g.axes[0]) + F.col(g.axes[1]) * g.extent[0]).cast("long") * 100 + F.round(F.col("scale") * 10).cast("long") % 100)
+        named = kept(named)  # read for the descriptors and again for the places of matches
         sides.append((named, descriptors(g, named)))
     matched = match(sides[0][1], sides[1][1], ratio, "point")
     a, b = first.axes

@@ -753,11 +753,12 @@ def singular_two(s, d):
 
 def blobs(s, d, shift: int = 0) -> Grid:
     """Orders binned by customer and date on 64 x 64 cells, as blurred shares of a fixed total; another frame shifts them."""
-    rows = table(s, d, "orders").select((F.col("o_custkey") * 37 % 11 * 4 + 9 + shift).alias("a"), (F.dayofyear("o_orderdate") % 7 * 7 + 8 + shift).alias("b"))
+    # 16 spots, wide enough for the middle scales and far enough apart to stay single
+    rows = table(s, d, "orders").select((F.col("o_custkey") % 4 * 15 + 9 + shift).alias("a"), (F.dayofyear("o_orderdate") % 4 * 15 + 9 + shift).alias("b"))
     spots = raster(rows, {"i0": (F.col("a"), 64), "i1": (F.col("b"), 64)})
     total = spots.df.agg(F.sum("v").alias("total"))  # one row
     shares = spots.df.join(F.broadcast(total)).select("i0", "i1", (F.col("v") / F.col("total") * 400_000.0).alias("v"))
-    return stencil.gaussian_blur(replace(spots, df=shares), 2.0)
+    return stencil.gaussian_blur(replace(spots, df=shares), 3.0)
 
 
 @query()
