@@ -7,7 +7,7 @@ compared with their original components.
 
 How many tables of how many bits, how long the sketch and how far apart codes may be is measured: each
 vector of a sample gets an invented partner right at the threshold, and the tables have to find the wanted share
-of these pairs. So vectors with a common direction, of which fewer bits agree after centring, get more tables.
+of these pairs, and of the pairs of vectors with their farthest linked one in the sample. So vectors with a common direction, of which fewer bits agree after centring, get more tables.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ from .common import components, forget, groups_of, pieces, smallest_reached, wri
 
 BLOCK = 1024  # vectors of one bucket that are compared at once
 PAIR_COST = 0.01  # comparing two codes, in costs of one row of a table
-LOST = 0.002  # pairs at the threshold that the distance of codes may lose
+LOST = 0.125  # of the pairs at the threshold that may be lost, the part that the distance of codes may lose
 PASSING = 0.002  # other pairs that the distance of codes lets pass, about
-CHECKED = 4000  # vectors of the sample that get a partner
+CHECKED = 4000  # pairs of a vector of the sample and an invented partner
 LEARNED = 8  # rotations that are learned; further ones are random, so that they fail on other pairs
 MOST = 4096  # tables; where even these do not find the wanted share, one bucket holds all vectors and its blocks are compared
 
@@ -58,6 +59,16 @@ def partners(unit: np.ndarray, least: float) -> np.ndarray:
     return least * unit + math.sqrt(1 - least * least) * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
 
 
+def farthest_linked(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit vector that has others at cosine ``least`` or more, and the farthest of these."""
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -1)
+    cosine[cosine < least] = np.inf
+    far = cosine.argmin(1)
+    has = np.isfinite(cosine[np.arange(len(unit)), far])
+    return unit[has], unit[far[has]]
+
+
 class Codes:
     """Rotations and the measured numbers: ``bits`` of a key, ``tables``, ``words`` of a sketch and ``apart``, the largest distance of sketches."""
 
@@ -65,21 +76,22 @@ class Codes:
         dims = unit.shape[1]
         self.mean = unit.mean(0)
         self.centred, self.turns = unit - self.mean, []
-        few = unit[:CHECKED]
+        few = np.resize(unit, (CHECKED, dims))  # a smaller sample gives each vector several partners, so that the share is measured as finely
         pair = partners(few, least)
+        own, linked = farthest_linked(unit[:CHECKED], least)
         self._more()
         agree = float((self.signs(few) == self.signs(pair)).mean())
         # the cheapest number of bits: tables of a row each for every vector, and n / 2^bits codes to compare in each
         need = lambda b: math.log(1 - recall) / math.log(max(1e-300, 1 - min(agree, 1 - 1e-9) ** b))
         self.bits = min(range(1, min(30, dims) + 1), key=lambda b: max(1.0, need(b)) * (1 + PAIR_COST * n / 2**b))
         self.per, found, self.tables = dims // self.bits, np.zeros(len(few), bool), 0
-        if n <= BLOCK:
-            self.bits, self.tables = 0, 1
-        while self.bits and found.mean() < recall:
+        also = np.zeros(len(own), bool)
+        while self.bits and (found.mean() < recall or (len(own) and also.mean() < recall)):
             while len(self.turns) * self.per <= self.tables:
                 self._more()
             k = self.tables
             found |= self.keys(few, [k])[:, 0] == self.keys(pair, [k])[:, 0]
+            also |= self.keys(own, [k])[:, 0] == self.keys(linked, [k])[:, 0]
             self.tables += 1
             if self.tables > MOST:
                 self.bits, self.tables = 0, 1
@@ -87,7 +99,13 @@ class Codes:
             while len(self.turns) * dims < 64 * self.words:
                 self._more()
             mine, other = self.sketches(few), self.sketches(pair)
-            self.apart = int(np.quantile(np.bitwise_count(mine ^ other).sum(1), 1 - LOST, method="higher"))
+            apart, lost = np.bitwise_count(mine ^ other).sum(1), LOST * (1 - recall)
+            self.apart = int(np.quantile(apart, 1 - lost, method="higher"))
+            if lost * len(apart) < 1:  # a share too small to be counted among the pairs
+                self.apart = max(self.apart, math.ceil(apart.mean() + NormalDist().inv_cdf(1 - lost) * apart.std()))
+            if len(own):
+                far = np.bitwise_count(self.sketches(own) ^ self.sketches(linked)).sum(1)
+                self.apart = int(max(self.apart, np.quantile(far, recall, method="higher")))
             if (np.bitwise_count(mine ^ np.roll(mine, 1, axis=0)).sum(1) <= self.apart).mean() <= PASSING:
                 break
         if not self.bits:  # all are compared
@@ -223,8 +241,7 @@ def near_duplicates(df: DataFrame, least: float = 0.9, recall: float = 0.985, sa
     hash of the id, and ``recall`` is the share of pairs right at the threshold that the tables have to find; all
     vectors are indexed and compared. Other columns are not read.
 
-    Equal vectors are put together first. Up to BLOCK different vectors of one length have no tables: they are one bucket and one cell, which compares
-    them all. A bucket of more than BLOCK vectors is dealt into blocks
+    Equal vectors are put together first. Tables serve any number of vectors, from two on. A bucket of more than BLOCK vectors is dealt into blocks
     and every two blocks meet in one cell, so no task holds a large bucket. Tables hold ids and codes; original
     vectors move to a cell only when another code there is near. A cell counts links and keeps one link per vector towards
     the smallest one it reaches; pairs are never written. A pair counts in the first table in which it meets,

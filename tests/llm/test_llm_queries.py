@@ -144,7 +144,7 @@ def test_embeddings_query(result):
 
 
 def test_embeddings_query_with_tables(spark, tmp_path):
-    """More vectors than are compared without tables: pairs from the threshold up, and vectors with a common direction."""
+    """Many vectors: pairs from the threshold up, and vectors with a common direction."""
     r = np.random.default_rng(12)
     x = r.normal(size=(1900, 48)) + 0.4
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
