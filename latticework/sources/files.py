@@ -23,7 +23,12 @@ FRAME = "path string, extent array<int>, dtype string, payload array<double>, ex
 
 
 def read_files(spark: SparkSession, path: str, kind: str | None = None, extent=None, dtype: str = "u1", offset: int = 0) -> DataFrame:
-    """One row per file: (path, extent, dtype, payload in scan order, extra). The format follows the extension unless ``kind`` names it; raw files need an extent."""
+    """One row per file: (path, extent, dtype, payload in scan order, extra). The format follows the extension unless ``kind`` names it; raw files need an extent.
+
+    JPEG files are read by themselves, with ``kind`` "jpg" or a path that ends so.
+    """
+    if (kind or PurePosixPath(path).suffix.lstrip(".")).lower() in ("jpg", "jpeg"):
+        return read_pictures(spark, path)
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -42,6 +47,27 @@ def read_files(spark: SparkSession, path: str, kind: str | None = None, extent=N
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, FRAME)
 
 
+def read_pictures(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,JPG,JPEG}") -> DataFrame:
+    """JPEG files (baseline or progressive) as the rows that ``read_files`` gives, always with three channels: red, green, blue.
+
+    Spark's ``image`` source decodes them in tasks. Grey pictures get three equal channels; a file that is no picture raises.
+    """
+
+    def ordered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                if r.nChannels < 1:
+                    raise ValueError(f"no picture: {r.origin}")
+                px = np.frombuffer(r.data, np.uint8).reshape(-1, r.nChannels)
+                px = np.repeat(px, 3, 1) if r.nChannels == 1 else px[:, 2::-1]  # the source has blue first
+                rows.append((r.origin, [3, r.width, r.height], "u1", px.ravel().astype(float), {}))
+            yield pd.DataFrame(rows, columns=["path", "extent", "dtype", "payload", "extra"])
+
+    source = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", pattern)
+    return source.load(path).select("image.*").mapInPandas(ordered, FRAME)
+
+
 def as_grid(files: DataFrame, extent) -> Grid:
     """Cells of all files of one extent, keyed by path."""
     axes, n, cols = tuple(f"i{k}" for k in range(len(extent))), 1, []

@@ -123,3 +123,40 @@ def test_png_of_a_plane():
     values = np.arange(12, dtype="u1")
     got, size, _ = codecs.decode_png(codecs.encode_png(values, (4, 3)))
     assert size == (4, 4, 3) and got.reshape(-1, 4)[:, 0].tolist() == values.tolist()
+
+
+def write_jpeg(spark, path, picture, progressive=False):
+    """By the JVM's library; ``picture`` is (rows, columns) or (rows, columns, 3)."""
+    jvm, (h, w) = spark._jvm, picture.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(w, h, 5 if picture.ndim == 3 else 10)
+    cells = spark.sparkContext._gateway.new_array(jvm.int, picture.size)
+    for k, x in enumerate(picture.ravel().tolist()):
+        cells[k] = x
+    image.getRaster().setPixels(0, 0, w, h, cells)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    if progressive:
+        how.setProgressiveMode(1)  # the library's own choice of scans
+    out = jvm.javax.imageio.ImageIO.createImageOutputStream(jvm.java.io.File(str(path)))
+    writer.setOutput(out)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    out.close()
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(path))).getData()
+    return [back.getSample(x, y, b) for y in range(h) for x in range(w) for b in range(picture.size // (w * h))]
+
+
+def test_jpeg_files(spark, tmp_path):
+    y, x = np.mgrid[0:11, 0:14]
+    color = np.stack([x * 18, y * 23, (x + y) * 10], 2)
+    want = {"plain.jpg": write_jpeg(spark, tmp_path / "plain.jpg", color), "steps.jpeg": write_jpeg(spark, tmp_path / "steps.jpeg", color, True)}
+    want["grey.jpg"] = np.repeat(write_jpeg(spark, tmp_path / "grey.jpg", x * 18), 3).tolist()
+    (tmp_path / "notes.txt").write_text("not read")
+    rows = files.read_files(spark, str(tmp_path), "jpg").collect()
+    assert {r.path.rsplit("/", 1)[1]: r.payload for r in rows} == want
+    assert {(*r.extent, r.dtype) for r in rows} == {(3, 14, 11, "u1")}
+    assert np.abs(np.array(want["plain.jpg"]).reshape(11, 14, 3) - color).mean() < 16  # channels stand in their order
+    one = files.read_files(spark, str(tmp_path / "grey.jpg"))
+    assert files.as_grid(one, (3, 14, 11)).df.count() == 3 * 14 * 11
+    (tmp_path / "broken.jpg").write_bytes(b"no picture")
+    with pytest.raises(Exception, match="no picture"):
+        files.read_files(spark, str(tmp_path), "jpg").collect()
