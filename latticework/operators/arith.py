@@ -121,3 +121,16 @@ def bit_summary(bits: DataFrame, size: int) -> DataFrame:
 
 def scalar(v) -> Column:
     return F.lit(v)
+
+
+def salt_and_pepper(g: Grid, share: float, low, high, seed: int = 0, together: tuple[str, ...] = ()) -> Grid:
+    """``share`` of the cells set to ``low`` or ``high``, drawn by a hash of keys and axes, so every run gives the same cells.
+
+    Cells that differ only along the axes ``together`` (channels) share their fate. A null cell may be set too.
+    """
+    place = [c for c in (*g.keys, *g.axes) if c not in together]
+    drawn = F.md5(F.concat_ws(",", F.lit(str(seed)), *[F.col(c).cast("string") for c in place]))
+    part = lambda at: F.conv(F.substring(drawn, at, 8), 16, 10).cast("long")
+    kind = g.df.schema[g.value].dataType
+    new = F.when(part(1) < int(share * 2**32), F.when(part(9) % 2 == 0, F.lit(low)).otherwise(F.lit(high)).cast(kind)).otherwise(F.col(g.value))
+    return g.with_value(new)

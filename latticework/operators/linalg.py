@@ -8,6 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def from_column_major(values, dims: int) -> np.ndarray:
+    """Matrix of values that stand column after column."""
+    return np.asarray(values).reshape(dims, dims).T.copy()
+
+
+def rows_of_column_major(values: Column, dims: int) -> Column:
+    """An array column that has ``dims`` x ``dims`` values column after column, as one that has them row after row."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dims * dims - 1)), lambda k: F.element_at(values, (k % dims * dims + F.floor(k / dims) + 1).cast("int")))
+
+
 def scale(*s: float) -> np.ndarray:
     return np.diag([*map(float, s), 1.0])
 

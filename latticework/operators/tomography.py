@@ -211,16 +211,53 @@ def discrete(x: Grid, readings: DataFrame, table: DataFrame, levels: int, rounds
     return x
 
 
+#: The head phantom of Shepp and Logan. Value in two dimensions, value in three, centre (x, y, z), half axes (x, y, z), turn about z in degrees.
+HEAD = [
+    (2.00, 1.00, 0.00, 0.0000, 0.00, 0.6900, 0.9200, 0.810, 0),
+    (-0.98, -0.80, 0.00, -0.0184, 0.00, 0.6624, 0.8740, 0.780, 0),
+    (-0.02, -0.20, 0.22, 0.0000, 0.00, 0.1100, 0.3100, 0.220, -18),
+    (-0.02, -0.20, -0.22, 0.0000, 0.00, 0.1600, 0.4100, 0.280, 18),
+    (0.01, 0.10, 0.00, 0.3500, -0.15, 0.2100, 0.2500, 0.410, 0),
+    (0.01, 0.10, 0.00, 0.1000, 0.25, 0.0460, 0.0460, 0.050, 0),
+    (0.01, 0.10, 0.00, -0.1000, 0.25, 0.0460, 0.0460, 0.050, 0),
+    (0.01, 0.10, -0.08, -0.6050, 0.00, 0.0460, 0.0230, 0.050, 0),
+    (0.01, 0.10, 0.00, -0.6060, 0.00, 0.0230, 0.0230, 0.020, 0),
+    (0.01, 0.10, 0.06, -0.6050, 0.00, 0.0230, 0.0460, 0.020, 0),
+]
+
+
+def head_phantom(spark: SparkSession, extent) -> Grid:
+    """The head phantom in two dimensions (its middle) or three; axis 1 runs downwards."""
+    d = len(extent)
+    if d not in (2, 3):
+        raise ValueError("two or three dimensions")
+    parts = []
+    for flat, solid, x, y, z, *half, turn in HEAD:
+        parts.append((flat if d == 2 else solid, *(x, -y, z)[:d], *half[:d], -turn))
+    return phantom(spark, extent, parts)
+
+
 def phantom(spark: SparkSession, extent, ellipses: list[tuple]) -> Grid:
-    """Sums of ellipses (value, centre..., half axis...) in units of the extent from -1 to 1."""
+    """Sums of ellipses (value, centre..., half axis...) in units of the extent from -1 to 1; one more number turns the first two axes, in degrees."""
     axes = tuple(f"i{k}" for k in range(len(extent)))
     cells = lattice(spark, extent, axes)
     d = len(extent)
     total = F.lit(0.0)
     for value, *rest in ellipses:
-        far = F.lit(0.0)
-        for k, (a, n) in enumerate(zip(axes, extent, strict=True)):
-            at = (F.col(a) * 2.0 / (n - 1) - 1 - rest[k]) / rest[d + k]
-            far = far + at * at
+        away = [F.col(a) * 2.0 / max(1, n - 1) - 1 - rest[k] for k, (a, n) in enumerate(zip(axes, extent, strict=True))]
+        if len(rest) > 2 * d and rest[2 * d]:
+            c, s = np.cos(np.radians(rest[2 * d])), np.sin(np.radians(rest[2 * d]))
+            away[:2] = [away[0] * float(c) + away[1] * float(s), away[1] * float(c) - away[0] * float(s)]
+        far = sum(((x / rest[d + k]) * (x / rest[d + k]) for k, x in enumerate(away)), F.lit(0.0))
         total = total + F.when(far <= 1, float(value)).otherwise(0.0)
     return Grid(cells.select(*axes, total.alias("v")), axes, tuple(extent))
+
+
+def torus(spark: SparkSession, extent, turn: np.ndarray, centre=(0.0, 0.0, 0.0), ring: float = 0.35, tube: float = 0.14, edge: float = 0.12) -> Grid:
+    """A soft torus of 0 to 255 in the cube from -1 to 1: full inside, the square of a falling line over ``edge`` outside. ``turn`` is its 3 x 3 rotation."""
+    axes = ("i0", "i1", "i2")
+    at = [(F.col(a) + 0.5) * (2.0 / n) - 1.0 - float(c) for a, n, c in zip(axes, extent, centre, strict=True)]
+    x, y, z = (sum((at[j] * float(turn[j][k]) for j in range(1, 3)), at[0] * float(turn[0][k])) for k in range(3))
+    out = F.hypot(F.hypot(x, z) - ring, y) - tube
+    f = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - out / edge))
+    return Grid(lattice(spark, extent, axes).select(*axes, F.floor(f * f * 255.0).cast("int").alias("v")), axes, tuple(extent))

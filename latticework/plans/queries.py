@@ -962,3 +962,18 @@ def ring_last_n(s, d):
 @query("SELECT user_id, least(4, count(*)) AS n, count(*) AS total, greatest(0, count(*) - 4) AS oldest FROM events GROUP BY user_id")
 def ring_stats(s, d):
     return ring.stats(table(s, d, "events"), ["user_id"], 4)
+
+
+NOISY = QD + """, noisy AS (SELECT i0, i1, CASE WHEN h1 < CAST(0.05 * 4294967296 AS BIGINT) THEN CASE WHEN h2 % 2 = 0 THEN 0 ELSE 255 END ELSE v END AS v FROM (
+SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2 FROM (SELECT *, md5('7,' || i0 || ',' || i1) AS h FROM qd)))"""
+
+
+@query(f"WITH {NOISY} SELECT * FROM noisy")
+def salt_and_pepper(s, d):
+    return arith.salt_and_pepper(qd(s, d), 0.05, 0, 255, seed=7).df
+
+
+@query(f"WITH {NOISY} SELECT * FROM {taps_sql('noisy', 50, 11, 'clamp', 'list_sort(list(v))[5]')}")
+def median_of_noise(s, d):
+    """Noise of single cells, taken out again by a median."""
+    return stencil.median_filter(arith.salt_and_pepper(qd(s, d), 0.05, 0, 255, seed=7), stencil.box_kernel(2, 3)).df

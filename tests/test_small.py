@@ -2,10 +2,10 @@
 
 import numpy as np
 import pytest
-from helpers import grid_of
+from helpers import array_of, grid_of
 from pyspark.sql import functions as F
 
-from latticework.operators import flow, linalg
+from latticework.operators import arith, flow, linalg, tomography
 
 
 def matrices(spark, x):
@@ -76,3 +76,45 @@ def test_flow_of_volumes(spark):
     assert np.mean(np.abs(np.array(inner) - move).max(1) < 0.3) > 0.95
     flat = flow.lucas_kanade(grid_of(spark, np.ones((4, 4, 4)), "double"), grid_of(spark, np.ones((4, 4, 4)), "double"), 1).collect()
     assert all(r["u0"] == r["u1"] == r["u2"] == 0 for r in flat)
+
+
+def test_values_column_after_column(spark):
+    m = np.arange(9.0).reshape(3, 3)
+    assert (linalg.from_column_major(m.T.ravel(), 3) == m).all()
+    rows = spark.createDataFrame([(m.T.ravel().tolist(),), (None,)], "c array<double>")
+    assert [r[0] for r in rows.select(linalg.rows_of_column_major(F.col("c"), 3)).collect()] == [m.ravel().tolist(), [None] * 9]
+
+
+@pytest.mark.parametrize("extent", [(31, 40), (9, 11, 10)])
+def test_head_phantom(spark, extent):
+    got = array_of(tomography.head_phantom(spark, extent))
+    at = np.meshgrid(*[np.linspace(-1, 1, n) for n in extent], indexing="ij")
+    want, d = np.zeros(extent), len(extent)
+    for flat, solid, *rest, turn in tomography.HEAD:
+        x, y = at[0] - rest[0], -at[1] - rest[1]
+        c, s = np.cos(np.radians(turn)), np.sin(np.radians(turn))
+        far = ((x * c + y * s) / rest[3]) ** 2 + ((y * c - x * s) / rest[4]) ** 2
+        far = far if d == 2 else far + ((at[2] - rest[2]) / rest[5]) ** 2
+        want += np.where(far <= 1, flat if d == 2 else solid, 0.0)
+    assert (np.abs(got - want) < 1e-9).mean() > 0.995  # cells right on a border may fall either way
+    with pytest.raises(ValueError):
+        tomography.head_phantom(spark, (4,))
+
+
+def test_torus(spark):
+    turn = (linalg.rotate(3, 2, 0, 0.4) @ linalg.rotate(3, 1, 2, 0.6))[:3, :3]
+    got = array_of(tomography.torus(spark, (12, 10, 14), turn, (0.0, 0.2, 0.0)))
+    at = np.stack(np.meshgrid(*[(np.arange(n) + 0.5) / n * 2 - 1 for n in (12, 10, 14)], indexing="ij"), -1) - [0, 0.2, 0]
+    x, y, z = np.moveaxis(at @ turn, -1, 0)
+    f = np.clip(1 - (np.hypot(np.hypot(x, z) - 0.35, y) - 0.14) / 0.12, 0, 1)
+    assert np.abs(got - np.floor(f * f * 255)).max() <= 1 and got.max() == 255
+
+
+def test_noise_of_channels_falls_together(spark):
+    g = grid_of(spark, np.full((3, 20, 20), 7))
+    got = array_of(arith.salt_and_pepper(g, 0.2, 0, 255, 3, together=("i0",)))
+    assert (got == got[0]).all() and set(np.unique(got)) == {0, 7, 255}
+    assert 0.1 < (got[0] != 7).mean() < 0.3
+    assert (got == array_of(arith.salt_and_pepper(g, 0.2, 0, 255, 3, together=("i0",)))).all()
+    assert (got != array_of(arith.salt_and_pepper(g, 0.2, 0, 255, 4, together=("i0",)))).any()
+    assert (array_of(arith.salt_and_pepper(g, 0.0, 0, 255)) == 7).all() and (array_of(arith.salt_and_pepper(g, 1.0, 0, 255)) != 7).all()
