@@ -13,6 +13,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FEW_CELLS = 100_000  # a grid of which every executor may get a copy
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -182,6 +184,13 @@ class Grid:
         return got.select(*self.keys, F.transform("cells", lambda c: c["x"]).alias("payload"))
 
 
+def at_cells(rows: DataFrame, g: Grid, cells: DataFrame, on) -> DataFrame:
+    """``rows`` joined with ``cells``, the cells of ``g``. Rows are never broadcast: Spark takes exploded ones for as few as the table
+    they come from. A small grid is broadcast instead; otherwise both sides are shuffled."""
+    few = not g.keys and g.size <= FEW_CELLS
+    return rows.join(F.broadcast(cells) if few else cells.hint("merge"), on)
+
+
 def lattice(spark: SparkSession, extent, axes=None) -> DataFrame:
     """All coordinates of an extent, axis 0 fastest."""
     axes = axes or tuple(f"i{k}" for k in range(len(extent)))

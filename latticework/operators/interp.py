@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import fold
-from ..grid import Grid, lattice
+from ..grid import Grid, at_cells, lattice
 from .prefix import box_means, integral
 
 WIDTH = {"nearest": 1, "linear": 2, "quadratic": 3, "cubic": 4}
@@ -50,7 +50,7 @@ def tapped(points: DataFrame, extent, kind: str, border: str) -> DataFrame:
 def sample(g: Grid, points: DataFrame, kind: str = "linear", border: str = "clamp", name: str = "point") -> DataFrame:
     """Values at points (columns ``name``, c0, c1, ...)."""
     cells = g.df.select(*[F.col(a).alias(f"i{k}") for k, a in enumerate(g.axes)], F.col(g.value).alias("x"))
-    rows = tapped(points, g.extent, kind, border).join(cells, [f"i{k}" for k in range(g.dims)])
+    rows = at_cells(tapped(points, g.extent, kind, border), g, cells, [f"i{k}" for k in range(g.dims)])
     return rows.groupBy(name).agg(F.sum(F.col("w") * F.col("x")).alias("v"))
 
 

@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..grid import Grid
+from ..grid import Grid, at_cells
 
 BLOCK = 1 << 16  # cells of a line that one task sums
 
@@ -59,7 +59,7 @@ def box_corners(boxes: DataFrame, axes) -> DataFrame:
 def rectangle_sums(table: Grid, boxes: DataFrame, box: str = "box") -> DataFrame:
     """Sums of the cells in inclusive boxes (columns ``box``, lo0, hi0, lo1, ...) from 2^dims corners of a summed-area table."""
     rows = box_corners(boxes.select(box, *[f"{side}{k}" for k in range(table.dims) for side in ("lo", "hi")]), table.axes)
-    joined = rows.select(box, *table.axes, "sign").join(table.df, list(table.axes))
+    joined = at_cells(rows.select(box, *table.axes, "sign"), table, table.df, list(table.axes))
     sums = joined.groupBy(box).agg(F.sum(F.col("sign") * F.col(table.value)).alias("total"))
     return boxes.select(box).join(sums, box, "left").select(box, F.coalesce("total", F.lit(0).cast(dict(sums.dtypes)["total"])).alias("total"))
 

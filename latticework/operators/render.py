@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import hsv_to_rgb, reduce_channels, truncated
-from ..grid import Grid, lattice
+from ..grid import Grid, at_cells, lattice
 from . import reduce, stencil
 from .histogram import percentiles
 from .interp import tapped
@@ -164,7 +164,7 @@ def render_volume(rays: DataFrame, volume: Grid, opacity: float, steps: int = 96
     inside = " and ".join(f"c{j} between -0.5 and {n - 0.5}" for j, n in enumerate(extent))
     channel = F.lit(0) if color is None else F.col(volume.axes[volume.axis(color)])
     cells = volume.df.select(*[F.col(volume.axes[k]).alias(f"i{j}") for j, k in enumerate(space)], channel.alias("channel"), F.col(volume.value).cast("double").alias("x"))
-    values = tapped(rows.where(inside), extent, "linear", "clamp").join(cells, [f"i{j}" for j in range(len(space))])
+    values = at_cells(tapped(rows.where(inside), extent, "linear", "clamp"), volume, cells, [f"i{j}" for j in range(len(space))])
     part = F.col("w") * F.col("x")
     count = 1 if color is None else volume.extent[volume.axis(color)]
     sums = values.groupBy(*cols, "k", "dt").agg(*[F.sum(F.when(F.col("channel") == c, part)).alias(f"s{c}") for c in range(count)])
@@ -189,7 +189,7 @@ def render_volume(rays: DataFrame, volume: Grid, opacity: float, steps: int = 96
 def query_values(g: Grid, points: DataFrame, name: str = "point") -> DataFrame:
     """Values at coordinates c0, c1, ..., each cut to the grid."""
     at = [F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(f"c{k}"))).cast("int").alias(a) for k, (a, n) in enumerate(zip(g.axes, g.extent, strict=True))]
-    return points.select(name, *at).join(g.df, list(g.axes)).select(name, g.value)
+    return at_cells(points.select(name, *at), g, g.df, list(g.axes)).select(name, g.value)
 
 
 class Renderers:

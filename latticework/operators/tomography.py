@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..grid import Grid, lattice
+from ..grid import Grid, at_cells, lattice
 from . import stencil
 from .histogram import k_means, nearest_level
 from .interp import half_away, tapped
@@ -121,7 +121,7 @@ def forward(volume: Grid, entries: DataFrame, table: DataFrame) -> DataFrame:
     unit, axes = units(table), [f"i{k}" for k in range(volume.dims)]
     cells = Grid(volume.df.select(*[F.col(a).alias(f"i{k}") for k, a in enumerate(volume.axes)], F.col(volume.value).cast("double").alias("x")), tuple(axes), volume.extent, "x")
     both = cells.df.withColumn("corner", F.lit(False)).unionByName(integral(cells).df.withColumn("corner", F.lit(True)))
-    sums = entries.join(both, [*axes, "corner"]).groupBy(*unit).agg(F.sum(F.col("a") * F.col("x")).alias("v"))
+    sums = at_cells(entries, cells, both, [*axes, "corner"]).groupBy(*unit).agg(F.sum(F.col("a") * F.col("x")).alias("v"))
     return table.select(*unit).join(sums, unit, "left").select(*unit, F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
