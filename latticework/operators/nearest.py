@@ -19,7 +19,7 @@ from .tomography import kept
 
 MOST_PIVOTS = 256
 SPARE = 1e-9  # of a distance, for rounding
-PAIRS = 100_000  # whose exact distances are made at once
+AT_ONCE = 1 << 20  # numbers in any of a task's arrays beside the vectors of two blocks
 BLOCK_ID = ["cell", "shell", "part"]
 
 
@@ -36,18 +36,22 @@ def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def nearest_two(x: np.ndarray, y: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, name, distance) of the two rows of y nearest to each row of x; of equal distances the smaller names.
 
-    A matrix product finds all rows that may be among them, however many are equally near; their exact distances decide.
+    A matrix product finds all rows that may be among them, however many are equally near; their exact distances decide. It is made for a
+    few rows of x at a time, so that memory does not follow the size of the block or the number of ties.
     """
     rows, names, dist = [], [], []
-    yy = (y * y).sum(1)
-    for k in range(0, len(x), 256):
-        part = x[k : k + 256]
+    yy = np.einsum("ij,ij->i", y, y)
+    strip, pairs = max(1, AT_ONCE // len(y)), max(1, AT_ONCE // max(1, y.shape[1]))
+    for k in range(0, len(x), strip):
+        part = x[k : k + strip]
         xx = (part * part).sum(1)
-        rough = xx[:, None] - 2 * part @ y.T + yy[None, :]
+        rough = -2 * part @ y.T
+        rough += xx[:, None]
+        rough += yy
         spare = 1e-13 * y.shape[1] * (xx + yy.max())
         second = np.partition(rough, min(1, len(y) - 1), axis=1)[:, min(1, len(y) - 1)]
         i, j = np.nonzero(rough <= (second + 2 * spare)[:, None])
-        d = np.concatenate([gaps(part[i[p : p + PAIRS]], y[j[p : p + PAIRS]]) for p in range(0, len(i), PAIRS)])
+        d = np.concatenate([gaps(part[i[p : p + pairs]], y[j[p : p + pairs]]) for p in range(0, len(i), pairs)])
         order = np.lexsort((name[j], d, i))
         i, j, d = i[order], j[order], d[order]
         first = np.searchsorted(i, np.arange(len(part)))

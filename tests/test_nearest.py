@@ -1,5 +1,7 @@
 """The exact search for the two nearest vectors, and flow spread from moves, against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from helpers import grid_of
@@ -61,6 +63,27 @@ def test_most_blocks_are_not_visited(spark):
     assert found(spark, x, y, 25) == brute(x, y)
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_memory_of_a_block(equal):
+    """What is made beside the vectors follows neither the size of a block nor its ties."""
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(300, 16)), r.normal(size=(20_000, 16))
+    name = r.permutation(len(y))
+    if equal:
+        y[5_000:] = y[5_000]
+        x[::2] = y[5_000]
+    tracemalloc.start()
+    row, j, d = nearest.nearest_two(x, y, name)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20, peak
+    assert row.tolist() == [k for k in range(len(x)) for _ in range(2)]
+    for k in range(len(x)):
+        far = np.sqrt(((x[k] - y) ** 2).sum(1))
+        best = np.lexsort((name, far))[:2]
+        assert j[2 * k : 2 * k + 2].tolist() == name[best].tolist() and (d[2 * k : 2 * k + 2] == far[best]).all()
+
+
 def test_no_match_where_two_are_equally_near(spark):
     left = spark.createDataFrame([(1, [0.0, 0.0])], "id bigint, descriptor array<double>")
     right = spark.createDataFrame([(5, [1.0, 0.0]), (4, [0.0, 1.0]), (6, [9.0, 9.0])], "id bigint, descriptor array<double>")
