@@ -24,6 +24,9 @@ from .common import pieces, texts
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_BYTES = [(33, 126), (161, 172), (174, 255)]
 
+# Most characters of a word that is held, most answers about neighbouring tokens that are, and bytes of text encoded at a time.
+LONG, MOST_PAIRS, PIECE = 1024, 1 << 17, 1 << 22
+
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 
 
@@ -35,18 +38,28 @@ def byte_letters() -> dict[str, int]:
 
 
 class Words(dict):
-    """Packed ids of the words met so far; started anew when ``most`` are held."""
+    """Packed ids of the words met last: two generations that hold ``most`` words and 16 times as many characters together.
+
+    A full generation becomes the old one, and words of the old one that are met again go on to the next. So what a worker holds does not grow with the
+    texts that it has seen. Words of over LONG characters are not held.
+    """
 
     def __init__(self, bpe: PrefixBpe, most: int):
         super().__init__()
-        self.bpe, self.most = bpe, most
+        self.bpe, self.most, self.chars, self.old = bpe, max(1, most // 2), 0, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
+        out = self.old.get(word)
+        if out is None:
+            raw = self.bpe.encode_word(word.encode())
+            out = struct.pack(f"<{len(raw)}I", *raw)
+        if len(word) > LONG:
+            return out
+        if len(self) >= self.most or self.chars >= 16 * self.most:
+            self.old, self.chars = dict(self), 0
             self.clear()
-            self.bpe.pairs.clear()
-        raw = self.bpe.encode_word(word.encode())
-        self[word] = out = struct.pack(f"<{len(raw)}I", *raw)
+        self[word] = out
+        self.chars += len(word)
         return out
 
 
@@ -57,7 +70,7 @@ class PrefixBpe:
     compatibility test compares ages; ids of the file come out.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 1 << 19):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]
@@ -189,6 +202,8 @@ class PrefixBpe:
                 key = last[done - width - 1] << 32 | token
                 fits = pairs.get(key)
                 if fits is None:
+                    if len(pairs) >= MOST_PAIRS:
+                        pairs.clear()
                     fits = pairs[key] = self.compatible(key >> 32, token)
                 if fits:
                     break
@@ -231,7 +246,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator) -> Iterator:
         bpe = model(path)
-        for part in pieces(batches):
+        for part in pieces(batches, n_bytes=PIECE):
             column = part.column("text").to_pylist()
             known = {t: bpe.encode(t) for t in set(column)}
             plain = {t: bpe.decode(x) for t, x in known.items()}

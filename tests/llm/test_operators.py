@@ -76,6 +76,20 @@ def test_bpe_on_random_bytes():
         assert own.decode(own.encode(t)) == t
 
 
+def test_bpe_memory_does_not_grow_with_the_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib, r = Tokenizer.from_file(path), random.Random(2)
+    held = lambda e: [*e.known, *getattr(e.known, "old", ())]
+    monkeypatch.setattr(bpe, "MOST_PAIRS", 50, raising=False)
+    own = bpe.PrefixBpe(path, max_words=64)
+    for _ in range(30):
+        t = " ".join("".join(r.choice("aethorsn") for _ in range(r.choice([3, 200, 2000]))) for _ in range(20))
+        assert np.frombuffer(own.encode(t + " stone"), "<u4").tolist() == lib.encode(t + " stone", add_special_tokens=False).ids
+        assert sum(map(len, held(own))) <= 16 * 64 + 2 * 1024 and len(own.pairs) <= 50
+
+
 def test_token_counts_are_the_library(odd, empty):
     import sentencepiece
 
